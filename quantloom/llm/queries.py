@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import quality_rules, simhash
+from quantloom.llm import decontamination, quality_rules, simhash
 from quantloom.llm.common import table
 
 
@@ -12,12 +12,34 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_benchmark_decontamination": r"""
+with d as (select doc_id, row_number() over () as rid,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+     b as (select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from benchmark),
+     i as (select item_id, ws, least(10, len(ws)) as t from b where len(ws) > 0),
+     iw as (select distinct item_id, t, array_to_string(ws[s:s + t - 1], ' ') as win from (select item_id, ws, t, unnest(generate_series(1, len(ws) - t + 1)) as s from i)),
+     dw as (select rid, t, s, array_to_string(ws[s:s + t - 1], ' ') as win
+            from (select rid, ws, t, unnest(generate_series(1, len(ws) - t + 1)) as s from d cross join (select distinct t from i) where len(ws) >= t)),
+     m as (select rid, item_id, s, dw.t from dw join iw on dw.win = iw.win and dw.t = iw.t),
+     h as (select rid, count(distinct p) as n_hit from (select rid, unnest(generate_series(s, s + t - 1)) as p from m) group by rid),
+     n as (select rid, count(*) as n_items, sha256(string_agg(name, ',' order by name)) as items_sha256 from (select distinct rid, cast(item_id as varchar) as name from m) group by rid)
+select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+       coalesce(items_sha256, sha256('')) as items_sha256, n_hit is not null as contaminated
+from d left join h using (rid) left join n using (rid)
+""",
+}
