@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import decontamination, quality_rules, secrets, simhash
+from quantloom.llm import decontamination, mixing, quality_rules, secrets, simhash
 from quantloom.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed_counts(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,7 @@ QUERIES = {
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_secret_scans": op7_secret_scans,
+    "op9_mixing_sources": op9_mixing_sources,
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
