@@ -4,10 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quantloom.llm import decontamination, mixing, quality_rules, secrets, simhash
+from quantloom.llm import compression_classifier, decontamination, mixing, quality_rules, secrets, simhash, url_filter
 from quantloom.llm.common import table
 
 
+URL_RULES = [
+    ("block", "com", "/en/"),
+    ("allow", "example.com", "/en/7"),
+    ("allow", "net", "/de/"),
+    ("block", "example.net", "/de/8"),
+    ("block", "org", "/es/"),
+]
+
+
+def op1_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compression_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,6 +47,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_compression_classifier": op1_compression_classifier,
+    "op3_url_filters": op3_url_filters,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_secret_scans": op7_secret_scans,
@@ -37,6 +56,16 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
+    "op3_url_filters": r"""
+with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
+     r(ruled, site, prefix) as (values ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
+     f as (select *, (select arg_max(struct_pack(rule := site || prefix, ruled := ruled), length(site || prefix)) from r
+                      where (host = site or ends_with(host, '.' || site)) and starts_with(path, prefix)) as fit from p),
+     v as (select page_id, host, path, fit.rule as rule, fit.ruled as ruled from f),
+     l as (select host from v where host <> '' group by host having sum(case ruled when 'block' then 1 when 'allow' then -1 else 0 end) > 0)
+select page_id, host, path, rule, coalesce(ruled, case when host in (select host from l) then 'block' else 'allow' end) as verdict from v
+""",
     "op6_benchmark_decontamination": r"""
 with d as (select doc_id, row_number() over () as rid,
              regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
