@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quantloom.llm import compression_classifier, decontamination, mixing, quality_rules, secrets, simhash, url_filter
+from quantloom.llm import chat, compression_classifier, decontamination, mixing, quality_rules, secrets, simhash, url_filter
 from quantloom.llm.common import table
 
 
@@ -21,6 +22,16 @@ def op1_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_classifier.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversation null, if any, is one conversation; a tree key stands for it, as joins drop nulls."""
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(extra)
+    named = rows.withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
+    out = chat.digests(chat.format_trees(chat.as_chain(named)))
+    return out.withColumn("conv_id", F.when(F.col("conv_id") != "", F.col("conv_id")).cast("long"))
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -48,6 +59,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_compression_classifier": op1_compression_classifier,
+    "op2_chat_formatting": op2_chat_formatting,
     "op3_url_filters": op3_url_filters,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
@@ -56,6 +68,18 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 ORACLES: dict[str, str] = {
+    "op2_chat_formatting": r"""
+with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+           union all values (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')),
+     e as (select *, regexp_extract_all(role || chr(1) || text, '<\||</?s>|\[/?INST\]|<</?SYS>>') as marks,
+                  length(role || text) - length(replace(role || text, '\', '')) as slashes from c)
+select conv_id, count(*) as n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn nulls last, role, text)) as turns_sha256,
+       cast(sum(case when role = 'assistant' then length(text) else 0 end) as bigint) as loss_chars,
+       sha256(string_agg(case when role = 'assistant' then text else '' end, '' order by turn nulls last, role, text)) as loss_sha256,
+       cast(sum(length(role) + length(text) + len(marks) + slashes + 24) as bigint) as formatted_chars
+from e group by conv_id
+""",
     "op3_url_filters": r"""
 with p as (select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
                   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) as path from pages),
