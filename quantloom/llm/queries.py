@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import chat, compression_classifier, decontamination, mixing, quality_rules, secrets, simhash, url_filter
+from quantloom.llm import chat, compression_classifier, decontamination, html_extraction, mixing, quality_rules, secrets, simhash, url_filter
 from quantloom.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items")
@@ -62,6 +66,7 @@ QUERIES = {
     "op2_chat_formatting": op2_chat_formatting,
     "op3_url_filters": op3_url_filters,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_html_extraction": op5_html_extraction,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_secret_scans": op7_secret_scans,
     "op9_mixing_sources": op9_mixing_sources,
