@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import chat, compression_classifier, decontamination, html_extraction, mixing, quality_rules, secrets, simhash, url_filter
+from quantloom.llm import chat, compression_classifier, context_mixing, decontamination, html_extraction, mixing, quality_rules, secrets, simhash, url_filter
 from quantloom.llm.common import table
 
 
@@ -53,6 +53,10 @@ def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.text_scores(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_counts(table(spark, sf_dir, "documents"))
 
@@ -69,6 +73,7 @@ QUERIES = {
     "op5_html_extraction": op5_html_extraction,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_secret_scans": op7_secret_scans,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_quality_rules": op10_quality_rules,
 }
