@@ -18,8 +18,8 @@ WEIGHTS = {"factor": 0.30, "sentiment": 0.20, "macro": 0.20, "alternative": 0.15
 
 
 def macro_factor_pairs(macro: DataFrame, factors: DataFrame) -> DataFrame:
-    """(indicator_id, factor_name, trade_date, x, y): indicators beside the factors' daily means."""
-    daily = factors.groupBy("factor_name", "trade_date").agg(F.avg("factor_value").alias("y"))
+    """(indicator_id, factor_name, trade_date, x, y): indicators beside the factors' daily means (rounded, so that ties do not hang on the order of a sum)."""
+    daily = factors.groupBy("factor_name", "trade_date").agg(F.round(F.avg("factor_value"), 12).alias("y"))
     return macro.filter("value_type = 'raw'").select("indicator_id", "trade_date", F.col("value").alias("x")).join(daily, "trade_date")
 
 

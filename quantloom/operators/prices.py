@@ -63,7 +63,8 @@ def panel(rows: DataFrame, fields: Sequence[str], codes: Sequence[str], by: str
     maps = [F.map_from_entries(F.collect_list(F.struct("stock_code", f))).alias(f) for f in fields]
     slots = F.array(*map(F.lit, codes))
     out = rows.groupBy(by).agg(*maps)
-    return out.select(by, *(F.transform(slots, lambda c, f=f: F.try_element_at(F.col(f), c)).alias(f) for f in fields)).orderBy(by)
+    placed = lambda f: F.transform(slots, lambda c: F.try_element_at(F.col(f), c)).alias(f)
+    return out.select(by, *map(placed, fields)).orderBy(by)
 
 
 def bars(ticks: DataFrame, minutes: int | None = None) -> DataFrame:

@@ -174,7 +174,7 @@ def macro_rows(raw: DataFrame, indicator: str | None = None) -> DataFrame:
 
 
 def as_list(c: str) -> Column:
-    return F.coalesce(F.transform(F.split(F.col(c), ","), F.trim), F.array().cast("array<string>"))
+    return F.coalesce(F.transform(F.split(F.col(c), ","), lambda x: F.trim(x)), F.array().cast("array<string>"))
 
 
 def news_rows(raw: DataFrame) -> DataFrame:
