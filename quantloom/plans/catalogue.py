@@ -18,6 +18,7 @@ from quantloom.plans.fixtures import frame, with_fixtures
 from quantloom.sources import ingest, sinks
 from quantloom.streaming import feeds
 
+MAKE: dict[str, Callable] = {}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -37,11 +38,14 @@ class Tables:
         self.spark, self.sf_dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        df = frame(self.spark, self.sf_dir, name)
+        df = self.table(name)
         if name == "news_sentiment":
             return df.withColumn("related_stocks", F.array("stock_a", "stock_b")).drop("stock_a", "stock_b")
         return df
 
+    def table(self, name: str) -> DataFrame:
+        return frame(self.spark, self.sf_dir, name)
+
     def latest_bars(self) -> DataFrame:
         return pit.latest(self.bars_versions, non_null=("close",))
 
@@ -49,6 +53,17 @@ class Tables:
         return factors.factor("PE", self.factor_long, start=date, end=date)
 
 
+class Stored(Tables):
+    """The same tables as loaded: written once as Parquet, sorted by stock and date."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, root: str, names: list[str]):
+        super().__init__(spark, sf_dir)
+        self.paths = {n: sinks.publish(frame(spark, sf_dir, n), f"{root}/{n}", sort_by=[c for c in ("stock_code", "trade_date") if c in frame(spark, sf_dir, n).columns]) for n in names}
+
+    def table(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.paths[name]) if name in self.paths else super().table(name)
+
+
 def rounded(df: DataFrame, digits: int) -> DataFrame:
     return df.select(*((F.round(c, digits) + F.lit(0.0)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
@@ -57,6 +72,7 @@ def register(name: str, sql: str | None, doubles: str = "", digits: int = 6):
     """Decorator: a query over Tables, and its SQL with the named double columns rounded alike."""
 
     def add(make: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
+        MAKE[name] = make
         QUERIES[name] = lambda spark, sf_dir: rounded(make(Tables(spark, sf_dir)), digits)
         if sql is not None:
             parts = ", ".join(f"round(cast({c} as double), {digits}) + 0.0 as {c}" for c in doubles.replace(",", " ").split())
@@ -471,8 +487,8 @@ register("x12_sentiment_score", f"select * from {_x12} x", "sentiment_score")(la
 register("x13_macro_score", f"select * from {_x13} x", "macro_score")(lambda t: fusion.macro_score(t.macro_data, FUSION))
 register("x14_alternative_score", f"select entity_id as entity, alternative_score from {_x14} x", "alternative_score")(lambda t: fusion.alternative_score(t.alternative_data, FUSION))
 register("x15_price_score", f"select * from {_x15} x", "price_score")(lambda t: fusion.price_score(t.latest_bars(), FUSION))
-register("x16_combined_score", _x16, _scores)(scores)
-register("x17_screen", f"select * from ({_x16}) x where total_score >= 0.5 order by total_score desc, stock_code limit 50", _scores)(lambda t: fusion.best_stocks(scores(t), 0.5))
+register("x16_combined_score", _x16, _scores, 9)(scores)
+register("x17_screen", f"select * from ({_x16}) x where total_score >= 0.5 order by total_score desc, stock_code limit 50", _scores, 9)(lambda t: fusion.best_stocks(scores(t), 0.5))
 register(
     "x18_source_panel",
     f"select s.stock_code, close, pe, sentiment, coalesce(n_news, 0) as n_news from {{stock_info}} s left join (select stock_code, close from {BARS_NOW} x where trade_date = date '1998-01-01') p using (stock_code) left join (select stock_code, factor_value as pe from {PE_FUSION} y) f using (stock_code) left join (select stock_code, avg(sentiment_score) as sentiment, count(*) as n_news from (select distinct news_id, publish_date, stock_code, sentiment_score from {{news_stocks}}) d where publish_date = date '1998-01-01' group by 1) m using (stock_code)",

@@ -17,16 +17,14 @@ def code(x: str) -> str:
 
 
 _LINES = f"""select cast(l_shipdate as date) as trade_date, {code('l_suppkey')} as stock_code, l_extendedprice / l_quantity as px,
- l_quantity, l_extendedprice, l_discount, l_tax,
- row_number() over (partition by cast(l_shipdate as date), l_suppkey order by l_orderkey, l_linenumber, l_partkey) as n_first,
- row_number() over (partition by cast(l_shipdate as date), l_suppkey order by l_orderkey desc, l_linenumber desc, l_partkey desc) as n_last
- from {{lineitem}}"""
+ l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice, l_discount, l_tax from {{lineitem}}"""
+_PLACE = "(l_orderkey, l_linenumber, l_partkey)"
 
 SQL: dict[str, str] = {
     "lines": _LINES,
-    "bars": """select trade_date, stock_code, max(case when n_first = 1 then px end) as open, max(px) as high, min(px) as low,
- max(case when n_last = 1 then px end) as close, cast(sum(l_quantity) as bigint) as volume, sum(l_extendedprice) as amount,
- 1 - cast(0.5 as double) * avg(l_discount) as adj_factor, sum(l_quantity) / 1000 as turnover from {lines} group by trade_date, stock_code""",
+    "bars": f"""select trade_date, stock_code, min_by(px, {_PLACE}) as open, max(px) as high, min(px) as low,
+ max_by(px, {_PLACE}) as close, cast(sum(l_quantity) as bigint) as volume, sum(l_extendedprice) as amount,
+ 1 - cast(0.5 as double) * avg(l_discount) as adj_factor, sum(l_quantity) / 1000 as turnover from {{lines}} group by trade_date, stock_code""",
     "bars_versions": """select trade_date, stock_code, open, high, low, close, volume, amount, adj_factor, turnover, cast(trade_date as timestamp) + interval '1' day as loaded_at from {bars}
  union all select trade_date, stock_code, open, high, low, close * cast(1.01 as double), volume, amount, adj_factor, turnover, cast(trade_date as timestamp) + interval '10' day from {bars} where extract(day from trade_date) % 3 = 0
  union all select trade_date, stock_code, cast(null as double), cast(null as double), cast(null as double), cast(null as double), cast(null as bigint), cast(null as double), adj_factor * cast(1.1 as double), cast(null as double), cast(trade_date as timestamp) + interval '20' day from {bars} where extract(day from trade_date) % 5 = 0""",
