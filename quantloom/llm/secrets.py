@@ -163,7 +163,14 @@ def word_ranks(docs: DataFrame, top: int = 20_000) -> dict[str, int]:
 
     counted = map_rows(docs.select(F.col("text").cast("binary")), count, "word binary, n long")
     word = F.regexp_replace(F.col("word").cast("string"), r"[.,!?;:]+$", "")
-    rows = counted.groupBy(word.alias("word")).agg(F.sum("n").alias("n")).filter(F.col("word").rlike(r"^\p{L}{3,}$")).orderBy(F.desc("n"), "word").limit(top).collect()
+    words = cut(counted.groupBy(word.alias("word")).agg(F.sum("n").alias("n")).filter(F.col("word").rlike(r"^\p{L}{3,}$")))
+    by_size = words.groupBy(F.floor(8 * F.log2("n")).alias("k")).count().orderBy(F.desc("k")).collect()  # a few hundred rows
+    reached, least = 0, 0
+    for r in by_size:
+        reached, least = reached + r["count"], r["k"]
+        if reached >= top:
+            break
+    rows = words.filter(F.floor(8 * F.log2("n")) >= least).orderBy(F.desc("n"), "word").limit(top).collect()
     ranks: dict[str, int] = {}
     for word in [*COMMON, *(r["word"] for r in rows)]:
         ranks.setdefault(word, len(ranks) + 1)
@@ -171,16 +178,16 @@ def word_ranks(docs: DataFrame, top: int = 20_000) -> dict[str, int]:
 
 
 def scanned(docs: DataFrame, top: int = 20_000, least_cost: float = 8.0) -> DataFrame:
-    """``docs`` plus a column ``secrets``: array of kind:start:end:value_start:value_end strings."""
+    """``docs`` plus a column ``_secret_spans``: array of kind:start:end:value_start:value_end strings."""
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, top))
     columns = docs.columns
-    fields = docs.withColumn("secrets", F.array().cast("array<string>")).schema
+    fields = docs.withColumn("_secret_spans", F.array().cast("array<string>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(columns.index("text")).cast(pa.binary()).to_pylist()
             spans = [[":".join(map(str, s)) for s in secret_spans(t, ranks.value, least_cost)] for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, pa.list_(pa.string()))], names=[*columns, "secrets"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, pa.list_(pa.string()))], names=[*columns, "_secret_spans"])
 
     return docs.mapInArrow(run, fields)
 
@@ -193,7 +200,7 @@ def secret_report(docs: DataFrame, top: int = 20_000, least_cost: float = 8.0) -
     """
     found = scanned(docs.select(F.col("doc_id").cast("long"), "text"), top, least_cost)
     part = lambda s, i: F.element_at(F.split(s, ":"), i)
-    short = F.transform("secrets", lambda s: F.substring_index(s, ":", 3))
+    short = F.transform("_secret_spans", lambda s: F.substring_index(s, ":", 3))
     base = F.filter(short, lambda s: part(s, 1) != "guess")
     n = lambda kind: F.size(F.filter(short, lambda s: part(s, 1) == kind)).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(short, ",").alias("spans"))
@@ -202,7 +209,7 @@ def secret_report(docs: DataFrame, top: int = 20_000, least_cost: float = 8.0) -
 def redacted(docs: DataFrame, mark: str = "[SECRET]", top: int = 20_000, least_cost: float = 8.0) -> DataFrame:
     """``docs`` with every secret value replaced by ``mark`` and n_chars counted anew; clean rows are unchanged."""
     found = scanned(docs, top, least_cost)
-    ends = F.transform("secrets", lambda s: F.struct(F.element_at(F.split(s, ":"), 4).cast("int").alias("a"), F.element_at(F.split(s, ":"), 5).cast("int").alias("b")))
+    ends = F.transform("_secret_spans", lambda s: F.struct(F.element_at(F.split(s, ":"), 4).cast("int").alias("a"), F.element_at(F.split(s, ":"), 5).cast("int").alias("b")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, x):
@@ -210,7 +217,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", top: int = 20_000, least_c
         return F.struct(fresh.alias("out"), F.greatest(acc["at"], x["b"]).alias("at"))
 
     done = F.aggregate(F.array_sort(ends), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(1 << 30))))
-    text = F.when(F.size("secrets") > 0, done).otherwise(F.col("text"))
+    text = F.when(F.size("_secret_spans") > 0, done).otherwise(F.col("text"))
     out = found.withColumn("_new", text)
-    chars = {"n_chars": F.when(F.size("secrets") > 0, F.length("_new").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
+    chars = {"n_chars": F.when(F.size("_secret_spans") > 0, F.length("_new").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
     return out.withColumns({**chars, "text": F.col("_new")}).select(*docs.columns)
