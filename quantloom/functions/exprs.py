@@ -69,7 +69,8 @@ def guarded_corr(x: Column | str, y: Column | str) -> Column:
 
 
 def clamp(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    """Into 0 to 1; null stays null, which least and greatest alone would skip."""
+    return F.when(c.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), c)))
 
 
 def by_code(order: str = "trade_date", code: str = "stock_code") -> WindowSpec:

@@ -465,9 +465,9 @@ register("x10_sentiment_ic", ic_sql(f"(select trade_date, stock_code, round(scor
 )
 _x11 = f"(select stock_code, 1 - (rank() over (order by factor_value) + (count(*) over (partition by factor_value) - 1) / 2.0) / count(*) over () as factor_score from {PE_FUSION} x)"
 _x12 = "(select stock_code, (avg(sentiment_score) + 1) / 2 as sentiment_score from (select distinct news_id, publish_date, stock_code, sentiment_score from {news_stocks}) d where publish_date = date '1998-01-01' group by 1)"
-_x13 = "(select greatest(0, least(1, 0.5 + (max(value) - 50) / 20)) as macro_score from {macro_data} where indicator_id = 'PMI' and value_type = 'raw' and trade_date = date '1998-01-01')"
+_x13 = "(select case when max(value) is not null then greatest(0, least(1, 0.5 + (max(value) - 50) / 20)) end as macro_score from {macro_data} where indicator_id = 'PMI' and value_type = 'raw' and trade_date = date '1998-01-01')"
 _x14 = "(select entity_id, greatest(0, least(1, (arg_min(value, data_id) - 3000) / 1000)) as alternative_score from {alternative_data} where trade_date = date '1998-01-01' group by 1)"
-_x15 = f"(select stock_code, greatest(0, least(1, 0.5 + 10 * (arg_max(close, trade_date) / nullif(arg_min(close, trade_date), 0) - 1))) as price_score from {BARS_NOW} x where trade_date between date '1998-01-01' - 20 and date '1998-01-01' group by 1 having count(*) >= 5)"
+_x15 = f"(select stock_code, case when arg_min(close, trade_date) <> 0 then greatest(0, least(1, 0.5 + 10 * (arg_max(close, trade_date) / arg_min(close, trade_date) - 1))) end as price_score from {BARS_NOW} x where trade_date between date '1998-01-01' - 20 and date '1998-01-01' group by 1 having count(*) >= 5)"
 _x16 = f"""select s.stock_code, coalesce(factor_score, 0.5) as factor_score, coalesce(sentiment_score, 0.5) as sentiment_score, coalesce(macro_score, 0.5) as macro_score, coalesce(alternative_score, 0.5) as alternative_score, coalesce(price_score, 0.5) as price_score,
  0.30 * coalesce(factor_score, 0.5) + 0.20 * coalesce(sentiment_score, 0.5) + 0.20 * coalesce(macro_score, 0.5) + 0.15 * coalesce(alternative_score, 0.5) + 0.15 * coalesce(price_score, 0.5) as total_score
  from {{stock_info}} s left join {_x11} a using (stock_code) left join {_x12} b using (stock_code) cross join {_x13} c left join {_x14} d on d.entity_id = substring(s.stock_code, 1, 2) left join {_x15} e using (stock_code)"""

@@ -218,11 +218,12 @@ def fields_of(dictionary: DataFrame, category: str | None = None) -> DataFrame:
 def route(df: DataFrame) -> str:
     """Table that the columns belong to."""
     names = set(df.columns)
+    macro = names | {MACRO_ALIASES[c] for c in names if c in MACRO_ALIASES}
     if "report_id" in names:
         return "report_sentiment"
     if "news_id" in names or {"publish_date", "title"} <= names:
         return "news_sentiment"
-    if names & {"indicator_id", "indicator"} and "value" in names:
+    if {"indicator_id", "value"} <= macro:
         return "macro_data"
     if names & {"data_type", "data_id"}:
         return "alternative_data"
