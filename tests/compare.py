@@ -17,7 +17,7 @@ def oracle(sql: str, sf_dir: str) -> pd.DataFrame:
 
 
 def shown(x) -> str:
-    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
+    if pd.api.types.is_scalar(x) and pd.isna(x):
         return "null"
     if isinstance(x, float):
         return f"{x:.6g}"
@@ -27,7 +27,7 @@ def shown(x) -> str:
 def rows(df: pd.DataFrame) -> list[tuple]:
     columns = sorted(df.columns)
     numeric = {c for c in columns if pd.api.types.is_numeric_dtype(df[c]) and not pd.api.types.is_bool_dtype(df[c])}
-    values = [[shown(float(x)) if c in numeric and x == x else shown(x) for x in df[c]] for c in columns]
+    values = [[shown(float(x)) if c in numeric and not pd.isna(x) else shown(x) for x in df[c]] for c in columns]
     return sorted(zip(*values, strict=True)) if columns else []
 
 
