@@ -93,6 +93,15 @@ def chi2_cdf(x: float, p: int) -> float:
     return NormalDist().cdf(((x / p) ** (1 / 3) - 1 + 2 / (9 * p)) / (2 / (9 * p)) ** 0.5)
 
 
+#: Tables of a row per group are broadcast up to this many groups (some 400 bytes each), and joined by a shuffle beyond.
+BROADCAST_GROUPS = 10_000
+
+
+def beside(groups: DataFrame) -> DataFrame:
+    """``groups``, checkpointed, for a join on the group: broadcast if few, so that a large group is not dealt to one task."""
+    return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
+
+
 def grouped(rows: DataFrame, least: int) -> DataFrame:
     """Adds ``grp``: language and source, or the language's rest, or the rest of all, whichever has ``least`` rows."""
     key = F.concat_ws("\t", F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0")))
@@ -103,7 +112,7 @@ def grouped(rows: DataFrame, least: int) -> DataFrame:
     names = sizes.join(small, "g_lang", "left").select(
         "g_full", F.when(F.col("n") >= least, F.col("g_full")).when(F.col("n_rest") >= least, F.col("g_lang")).otherwise(F.lit("")).alias("grp")
     )
-    return rows.join(names, "g_full").drop("g_full", "g_lang")
+    return rows.join(beside(cut(names)), "g_full").drop("g_full", "g_lang")
 
 
 def distance(dims: list[str]) -> Column:
@@ -151,9 +160,9 @@ def mcd_estimates(rows: DataFrame, floors: dict[str, float] = FLOORS, support: f
     solve = precision(list(floors.values()), factor)
     for _ in range(steps):
         est = cut(est)
-        near = rows.join(est, "grp").withColumn("_d", F.round(F.log1p(distance(dims)), 3))
+        near = rows.join(beside(est), "grp").withColumn("_d", F.round(F.log1p(distance(dims)), 3))
         limit = near.groupBy("grp").agg(F.percentile("_d", support).alias("_q"))
-        kept = rows.join(est.join(limit, "grp"), "grp").withColumn("_d", F.round(F.log1p(distance(dims)), 3)).filter("_d <= _q")
+        kept = rows.join(beside(cut(est.join(limit, "grp"))), "grp").withColumn("_d", F.round(F.log1p(distance(dims)), 3)).filter("_d <= _q")
         sums = [F.sum(x).alias(f"_s{i}") for i, x in enumerate(dims)]
         products = [F.sum(F.col(x) * F.col(y)).alias(f"_p{i}_{j}") for i, x in enumerate(dims) for j, y in enumerate(dims) if j >= i]
         moments = kept.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
@@ -177,6 +186,6 @@ def quality_verdicts(docs: DataFrame, least: int = 200, quantile: float = 1 - 1e
     rows = grouped(rows, least)
     est = mcd_estimates(rows.filter(~F.col("base_failed")), support=support)
     enough = rows.filter(~F.col("base_failed")).groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
-    judged = rows.join(est.join(enough.filter(F.col("_n") >= least // 2), "grp"), "grp", "left").withColumn("distance", distance(DIMS))
+    judged = rows.join(beside(cut(est.join(enough.filter(F.col("_n") >= least // 2), "grp"))), "grp", "left").withColumn("distance", distance(DIMS))
     kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= chi2_quantile(quantile, len(DIMS))))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
