@@ -139,8 +139,7 @@ def resampled(df: DataFrame, freq: str, empty: bool = False) -> DataFrame:
 def filled_calendar(df: DataFrame, columns: Sequence[str] = ("close",)) -> DataFrame:
     """Every calendar day between the first and last date of all, for each stock, carried forward; leading gaps stay null."""
     span = df.agg(F.min(DATE).alias("a"), F.max(DATE).alias("b"))
-    days = span.select(F.explode(F.sequence("a", "b")).alias(DATE))
-    grid = df.select(CODE).distinct().join(F.broadcast(days))  # a row per calendar day, as the result asks for
+    grid = df.select(CODE).distinct().join(F.broadcast(span)).select(CODE, F.explode(F.sequence("a", "b")).alias(DATE))  # span is one row
     joined = grid.join(df.select(CODE, DATE, *columns), [CODE, DATE], "left")
     carried = by_code().rowsBetween(Window.unboundedPreceding, 0)
     return joined.select(CODE, DATE, *(F.last(c, ignorenulls=True).over(carried).alias(c) for c in columns))
