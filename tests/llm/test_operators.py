@@ -324,7 +324,7 @@ def test_spelling_is_a_distribution():
     rng = random.Random(3)
     words = sorted({"".join(rng.choices("abc", k=rng.randint(1, 4))).encode() for _ in range(60)})
     orders = context_mixing.order_counts(words).astype(np.float32)
-    model = (orders, *context_mixing.learned(words, orders))
+    model = (context_mixing.prepared(orders), *context_mixing.learned(words, orders))
     some = [bytes([k]) for k in range(1, 256) if k != 32] + [b""]
     total = float((10 ** context_mixing.log10_probabilities(some, model)).sum())
     assert 0 < total <= 1 + 1e-6
