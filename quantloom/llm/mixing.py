@@ -55,8 +55,13 @@ def targets(rows: DataFrame, weights: tuple[float, ...], share: float, most: flo
 
 
 def placed(rows: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
-    """Adds ``start``: how many words of the source come before the row's."""
-    n = max(1, rows.count() // bucket_rows)
+    """Adds ``start``: how many words of the source come before the row's.
+
+    Sums run inside buckets of ``bucket_rows`` rows at most in expectation (fewer in a small
+    table, so that a large source is spread there too), and then over a source's buckets.
+    """
+    count = rows.count()
+    n = max(1, count // bucket_rows, min(1_000, count // 100))
     rows = rows.withColumn("bucket", F.pmod(F.col("h"), F.lit(n)))
     sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("s"))
     offsets = sums.withColumn("base", F.coalesce(F.sum("s").over(Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("s")
