@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import MIX_1, MIX_2, cut
@@ -130,13 +130,29 @@ def mix_plan(rows: DataFrame, goals: DataFrame, block_words: int, shard_slots: i
     blocks = F.ceil(size / block_words).cast("long")
     slots = F.least(F.round(F.col("target") * blocks / size).cast("long"), 2 * blocks)
     drawn = drawn_slots(goals.filter(size > 0).select("skey", blocks.alias("blocks"), slots.alias("slots")), shard_slots, seed)
-    end = F.col("start") + F.col("size")
-    first = F.floor(F.col("start") / block_words).cast("long")
-    last = F.floor((end - 1) / block_words).cast("long")
-    pieces = rows.filter(F.col("size") > 0).withColumn("block", F.explode(F.sequence(first, last)))
-    a = F.greatest("start", F.col("block") * block_words)
-    b = F.least(end, (F.col("block") + 1) * block_words)
-    return pieces.withColumn("from_word", a - F.col("start")).withColumn("n_words", b - a), drawn
+    return pieces_of(rows, block_words), drawn
+
+
+def pieces_of(rows: DataFrame, block_words: int) -> DataFrame:
+    """``rows`` by the blocks that they reach into: block, from_word, n_words, and the words' text where rows have any.
+
+    A text is split once, then cut inside its row, so that a long one costs no more a word than others.
+    """
+    size, start = F.col("size"), F.col("start")
+    blocks = F.sequence(F.floor(start / block_words).cast("long"), F.floor((start + size - 1) / block_words).cast("long"))
+
+    def piece(block: Column, words: Column | None) -> Column:
+        a = F.greatest(start, block * block_words)
+        n = F.least(start + size, (block + 1) * block_words) - a
+        text = [] if words is None else [F.array_join(F.slice(words, (a - start + 1).cast("int"), n.cast("int")), " ").alias("piece")]
+        return F.struct(block.alias("block"), (a - start).alias("from_word"), n.alias("n_words"), *text)
+
+    if "text" in rows.columns:
+        split = F.array(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""))
+        cuts = F.flatten(F.transform(split, lambda words: F.transform(blocks, lambda b: piece(b, words))))
+    else:
+        cuts = F.transform(blocks, lambda b: piece(b, None))
+    return rows.filter(size > 0).select(*(c for c in rows.columns if c != "text"), F.inline(cuts))
 
 
 def mixed_counts(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 128, shard_slots: int = 4096, seed: int = 17) -> DataFrame:
@@ -164,8 +180,7 @@ def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     goals = cut(targets(rows, weights, share, most))
     rows = placed(sized(docs, keep_text=True))
     pieces, slots = mix_plan(rows, goals, block_words, shard_slots, seed)
-    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
-    piece = F.struct("start", "doc_id", F.array_join(F.slice(words, (F.col("from_word") + 1).cast("int"), F.col("n_words").cast("int")), " ").alias("text"), "n_words")
+    piece = F.struct("start", "doc_id", F.col("piece").alias("text"), "n_words")
     filled = pieces.select("skey", "source", "block", piece.alias("p")).groupBy("skey", "source", "block").agg(F.array_sort(F.collect_list("p")).alias("p"))
     return filled.join(slots, ["skey", "block"]).select(
         "shard", "slot", "source", "block", F.col("p.doc_id").alias("doc_ids"), F.aggregate("p", F.lit(0).cast("long"), lambda t, x: t + x["n_words"]).alias("n_words"), F.array_join("p.text", " ").alias("text")
