@@ -25,20 +25,26 @@ from quantloom.llm.components import connected_components
 BYTES = 8
 
 
-def fingerprint(text: bytes | None, width: int = 3) -> int:
-    """Signed 64-bit SimHash of the text's word shingles (XXH64, seed 42)."""
+def shingle_hashes(text: bytes | None, width: int) -> list[int]:
+    """XXH64 (seed 42) of each word shingle, in order; of all words where they are fewer."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return []
     line = b" ".join(words)
     n = len(words) - width + 1
     digest = xxhash.xxh64_intdigest
     if n <= 1:
-        hashes = [digest(line, 42)]
-    else:
-        ends = np.cumsum([len(w) + 1 for w in words])
-        starts = [0, *ends[: n - 1].tolist()]
-        hashes = [digest(line[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+        return [digest(line, 42)]
+    ends = np.cumsum([len(w) + 1 for w in words])
+    starts = [0, *ends[: n - 1].tolist()]
+    return [digest(line[a:b], 42) for a, b in zip(starts, (ends[width - 1 :] - 1).tolist(), strict=True)]
+
+
+def fingerprint(text: bytes | None, width: int = 3) -> int:
+    """Signed 64-bit SimHash of the text's word shingles (XXH64, seed 42)."""
+    hashes = shingle_hashes(text, width)
+    if not hashes:
+        return 0
     h = np.array(hashes, dtype=np.uint64)
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(h), 65536):  # bits as bytes, a bounded block at a time
