@@ -60,3 +60,18 @@ def test_near_copies_go(spark):
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     want = sorted(min(rows[i][0] for i in g) for g in groups_by_hand([t for _, t in rows]))
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, DATA).collect()) == want
+
+
+def test_stages_judge_rows_and_not_ids(spark):
+    """Null and repeated ids: each row's own text decides."""
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(30))
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").filter("length(text) > 100").orderBy("item_id").first()["text"]
+    clean = [text() for _ in range(6)]
+    rows = [(None if k % 2 else 7, t, "en", "s", len(t)) for k, t in enumerate(clean)]
+    same = spark.createDataFrame([*rows, *rows], ROW)
+    assert sorted(r["text"] for r in corpus_pipeline.near_duplicate_stage(spark, same, DATA).collect()) == sorted(clean)
+    leaked = spark.createDataFrame([*rows, (None, item, "en", "s", 9), (7, item, "en", "s", 9)], ROW)
+    assert sorted(r["text"] for r in corpus_pipeline.decontamination_stage(spark, leaked, DATA).collect()) == sorted(clean)
+    bad = spark.createDataFrame([*rows, (None, "too few words", "en", "s", 13), (7, "few", "en", "s", 3)], ROW)
+    assert sorted(r["text"] for r in corpus_pipeline.quality_stage(spark, bad, DATA).collect()) == sorted(clean)
