@@ -1,8 +1,8 @@
 """HTML main-text extraction by consensus host paths.
 
 Each page's containers are scored by the share of its running text that they hold, and the
-deepest container that holds most of it votes, under a generalised tag-class path, for its
-host. The votes are summed in Spark; every page is then extracted again along its host's
+deepest container that holds most of it is widened to the article around it, which votes, under
+a generalised tag-class path, for its host. The votes are summed in Spark; every page is then extracted again along its host's
 winning path, or along its own best where it lacks that path.
 """
 
@@ -37,6 +37,10 @@ MARKS = frozenset(
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 CONTENT = frozenset("article content main post entry story body text".split())
 
+#: Elements that are parts of a text, never the whole of an article, and those that are one by name.
+PARTS = frozenset("ul ol dl table tbody thead tfoot tr blockquote figure details center".split())
+WHOLE = ("article", "main")
+
 
 def named(attributes: str) -> tuple[str, bool]:
     """(generalised class suffix, whether the attributes mark something that is not the article)."""
@@ -108,8 +112,32 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
     return out
 
 
+def article_around(path: str, found: list[tuple[str, str, int]]) -> str:
+    """The outermost article or else main that holds ``path``; without one, as far up as what is added is mostly not links.
+
+    Parts of a text (lists, tables, quotations) always give way to what holds them; the body and
+    the document are taken for an article only then.
+    """
+    steps = path.split("/")
+    for name in WHOLE:
+        for k, step in enumerate(steps):
+            if step.partition(".")[0] == name:
+                return "/".join(steps[: k + 1])
+    best = path
+    while len(steps) > 1:
+        inner, outer = "/".join(steps), "/".join(steps[:-1])
+        beside = [(len(cleaned(text)), linked) for at, text, linked in found if (at == outer or at.startswith(outer + "/")) and not (at == inner or at.startswith(inner + "/"))]
+        part = steps[-1].partition(".")[0] in PARTS
+        if not part and (steps[-2].partition(".")[0] in ("", "html", "body") or 2 * sum(linked for _, linked in beside) > sum(size for size, _ in beside)):
+            break
+        if part or beside:
+            best = outer
+        steps.pop()
+    return best
+
+
 def best_container(found: list[tuple[str, str, int]], share: float = 0.6) -> tuple[str, float]:
-    """(path, share) of the deepest container with most of the text outside links; article-like names need less."""
+    """(path, share) of the article around the deepest container with most of the text outside links; article-like names need less."""
     held: Counter = Counter()
     total = 0
     for path, text, linked in found:
@@ -125,7 +153,7 @@ def best_container(found: list[tuple[str, str, int]], share: float = 0.6) -> tup
         words = set(re.split(r"[^a-z]+", path.rpartition("/")[2]))
         return held[path] >= (share / 2 if words & CONTENT and not path.endswith("/body") else share) * total
 
-    path = max((p for p in held if p == "" or enough(p)), key=lambda p: (p.count("/"), held[p], p))
+    path = article_around(max((p for p in held if p == "" or enough(p)), key=lambda p: (p.count("/"), held[p], p)), found)
     return path, held[path] / total
 
 

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from quantloom.llm import shingle_join
+from quantloom.llm import html_extraction, shingle_join
 
 DATA = "/root/testdata/sf0.001"
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
@@ -75,3 +75,22 @@ def test_stages_judge_rows_and_not_ids(spark):
     assert sorted(r["text"] for r in corpus_pipeline.decontamination_stage(spark, leaked, DATA).collect()) == sorted(clean)
     bad = spark.createDataFrame([*rows, (None, "too few words", "en", "s", 13), (7, "few", "en", "s", 3)], ROW)
     assert sorted(r["text"] for r in corpus_pipeline.quality_stage(spark, bad, DATA).collect()) == sorted(clean)
+
+
+LONG = "some running words of the article " * 4
+NESTED = [
+    ("<article><h1>T</h1><p>intro</p><div class=\"content\"><p>{x}</p></div></article>", "T\nintro\n{x}"),
+    ("<article><p>{x}{x}</p><div class=\"text\"><p>{x}</p></div><p>end</p></article>", "{x} {x}\n{x}\nend"),
+    ("<article><p>intro</p><table><tr><td>{x}</td></tr><tr><td>b</td></tr></table></article>", "intro\n{x}\nb"),
+    ("<div class=\"page\"><h1>T</h1><ul><li>{x}</li></ul><p>end</p></div>", "T\n{x}\nend"),
+    ("<main><h1>T</h1><section><p>{x}</p></section><div class=\"share\">s</div></main>", "T\n{x}"),
+    ("<div class=\"wrap\"><div class=\"list\"><a href=x>other one</a> <a href=y>other two</a></div><div class=\"post\"><h1>T</h1><p>{x}</p></div></div>", "T\n{x}"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), NESTED)
+def test_nothing_of_the_article_is_dropped(spark, page, want):
+    fill = lambda s, x: s.replace("{x}", x)
+    html = "<html><body><nav><a href=x>menu</a></nav>" + fill(page, LONG) + "<footer>foot</footer></body></html>"
+    df = spark.createDataFrame([(k, f"http://h.com/{k}", html) for k in range(2)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_extraction.main_text(df).collect()} == {fill(want, LONG.strip())}
