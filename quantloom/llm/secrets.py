@@ -117,7 +117,7 @@ def matches_at(pattern: re.Pattern, text: bytes, starts: list[int]) -> Iterator[
             yield m
 
 
-def secret_spans(text: bytes | None, ranks: dict[str, int], least_cost: float = 8.0, least_length: int = 8) -> list[tuple[str, int, int, int, int]]:
+def secret_spans(text: bytes | None, ranks: dict[str, int], least_cost: float = 8.0) -> list[tuple[str, int, int, int, int]]:
     """(kind, start, end, value start, value end) in code points, by start and then kind as in KINDS."""
     text = text or b""
     low = text.lower()
@@ -132,10 +132,10 @@ def secret_spans(text: bytes | None, ranks: dict[str, int], least_cost: float =
         a, b = m.span(1)
         value = m[1].rstrip(b".!?:")
         b = a + len(value)
-        if any(x < b and a < y for x, y in values):
+        if any(x <= a and b <= y for x, y in values):
             continue
-        shown = value.decode("utf-8", "replace")
-        if len(shown) >= least_length and not shown.isalpha() and guess_cost(shown, ranks) >= least_cost:
+        partly = any(x < b and a < y for x, y in values)  # what the base patterns found is not all of the value
+        if partly or guess_cost(value.decode("utf-8", "replace"), ranks) >= least_cost:
             found.append(("guess", *m.span()[:1], b, a, b))
     if not text.isascii() and found:
         ends = sorted({x for _, *span in found for x in span})
@@ -195,7 +195,8 @@ def scanned(docs: DataFrame, top: int = 20_000, least_cost: float = 8.0) -> Data
 def secret_report(docs: DataFrame, top: int = 20_000, least_cost: float = 8.0) -> DataFrame:
     """For each row of ``docs(doc_id, text)``: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Spans are those of whole matches; kind guess adds credential values that no base span covers.
+    Spans are those of whole matches; kind guess adds credential values that no base span covers
+    whole: those of high guess cost, and those of which a base span covers a part.
     Null and empty texts have none; repeated rows each get their row; other columns are ignored.
     """
     found = scanned(docs.select(F.col("doc_id").cast("long"), "text"), top, least_cost)

@@ -5,7 +5,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from quantloom.llm import html_extraction, shingle_join
+from quantloom.llm import html_extraction, secrets, shingle_join
 
 DATA = "/root/testdata/sf0.001"
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
@@ -77,6 +77,21 @@ def test_stages_judge_rows_and_not_ids(spark):
     assert sorted(r["text"] for r in corpus_pipeline.quality_stage(spark, bad, DATA).collect()) == sorted(clean)
 
 
+@pytest.mark.parametrize("value", ["QzXvKpWmTrYb", "x9#Q!z7", "qzkxvwpj"])
+@pytest.mark.parametrize("before", ["pwd: ", "private_key = ", "passphrase: ", "credential is "])
+def test_guess_cost_alone_decides(before, value):
+    ranks = {w: i for i, w in enumerate([*secrets.COMMON, "correcthorse"], 1)}
+    least = secrets.guess_cost(value, ranks)
+    assert [s[0] for s in secrets.secret_spans((before + value).encode(), ranks, least)] == ["guess"]
+    assert secrets.secret_spans((before + value).encode(), ranks, least + 0.1) == []
+    assert least > 8 and secrets.secret_spans((before + "correcthorse").encode(), ranks) == []
+
+
+def test_redaction_covers_whole_values(spark):
+    df = spark.createDataFrame([(1, "a password=Abcdefgh1234!Zx9#q b")], "doc_id long, text string")
+    assert [r["text"] for r in secrets.redacted(df).collect()] == ["a password=[SECRET] b"]
+
+
 LONG = "some running words of the article " * 4
 NESTED = [
     ("<article><h1>T</h1><p>intro</p><div class=\"content\"><p>{x}</p></div></article>", "T\nintro\n{x}"),
