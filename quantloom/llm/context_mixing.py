@@ -1,40 +1,59 @@
-"""Language-model scores by logistic context mixing.
-
-A text is its lower-cased words and one end token; a word is spelled as its bytes and a space,
-bit by bit. Each bit is predicted from counts under several hashed contexts (the last one to
-five bytes of the word), the predictions are mixed in the logistic domain by weights that a gate
-of their confidences selects, learned online, and a table refines the mix. The spelling gives
-the probability of a word that has not been seen; how often a word has been seen then adapts it,
-by absolute discounting. Counts come from every training token of the corpus: Spark aggregates
-them to a row per distinct word, and the context tables are sums over those rows. As a word's
-probability does not depend on its neighbours, it is computed once per distinct word; frequent
-words are looked up in a bounded broadcast, all others are joined. A second gate chooses among
-kinds of text: each has its own counts of the frequent words, and a text's probability is the
-mixture over the kinds.
+"""Language-model scores of running text by online logistic context mixing.
+
+A text is its lower-cased words and one end token. A frequent word is coded by the bits of its
+Huffman code; any other by an escape and then its bytes and a space, eight bits each. Every bit
+is predicted under several hashed contexts: for codes the last two very common words of the text
+(they tell its language and kind), the word before, and the two words before; for spelled words
+the last one, three and five bytes (the first of them with the last very common word); and the
+bit's place alone. The predictions are mixed in the logistic domain by weights that a gate of
+their confidences selects; a text's own weights follow its errors block by block while it is
+read, and a table refines what the mix says. Context tables are sums over all training texts;
+weights and refinement are learned on a tenth of the training texts, before those join the
+tables. A training text is predicted with each of its bits taken out of the counts.
+
+Long repeats are told apart by a match model that grows with the corpus: texts are cut at places
+that their words decide, Spark counts which chunk follows which in all training texts, and a
+chunk's probability is that of the mix, smoothed into those counts (Pitman-Yor), where the chunk
+before it has been seen elsewhere.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import MIX_1, MIX_2, held_out, map_rows, stored
 
-ORDERS = 5
-BITS = 20
-CHUNK = 1 << 16
-PRIOR = 0.4
-INPUTS = ORDERS + 1
-GATES = 5 * 4
+ORDERS = 3
+BITS = 22
+INPUTS = ORDERS + 2
+COMMON = 64
+LEVELS = (0.5, 2.5, 8.5, 64.5)
+GATES = 2 * (len(LEVELS) + 1) ** 2
+REFINED = 2 * (len(LEVELS) + 1)
 BINS = 33
+FINE = 32
+REACH = 12
+PRIOR = 0.4
+STEP = 10  # packed predictions are tenths
+BLOCK = 64
+RATE = 0.0005
+GROUP_TOKENS = 60_000
+GROUP_TEXTS = 256
+CHUNK_CELLS = 1 << 18
+CHUNK_WORDS = 32
 GOLD = np.uint64(0x9E3779B97F4A7C15)
+SPREAD = np.uint32(0x9E3779B1)
+SALT = np.uint32(0x85EBCA77)
 
 
 def mix64(z: np.ndarray) -> np.ndarray:
@@ -44,132 +63,322 @@ def mix64(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-class Spelling:
-    """All bytes of some words, each followed by a space, with the hashes of their contexts."""
-
-    def __init__(self, words: list[bytes]):
-        self.bytes = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8) if words else np.zeros(0, np.uint8)
-        lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
-        self.word = np.repeat(np.arange(len(words)), lengths)
-        start = np.cumsum(lengths) - lengths
-        place = np.arange(len(self.bytes)) - start[self.word]
-        wide = self.bytes.astype(np.uint64) + np.uint64(1)
-        self.contexts = []
+class Codes(NamedTuple):
+    """Bit paths of symbols: frequent words by index, then the escape, then 256 bytes."""
+
+    index: dict[bytes, int]
+    start: np.ndarray
+    length: np.ndarray
+    node: np.ndarray
+    bit: np.ndarray
+    hashes: np.ndarray
+    common: np.ndarray
+
+    @property
+    def escape(self) -> int:
+        return len(self.index)
+
+    @property
+    def nodes(self) -> int:
+        return len(self.index) + 256
+
+
+def codes_of(words: list[bytes], counts: list[int], others: int) -> Codes:
+    """Huffman codes of ``words`` and of the escape, which stands for ``others`` occurrences; bytes have plain ones."""
+    weight = [*counts, max(others, 1)]
+    n = len(weight)
+    order = sorted(range(n), key=lambda i: (weight[i], i))
+    leaves, inner = deque(order), deque()
+    parent = np.zeros(2 * n - 1, dtype=np.int64)
+    side = np.zeros(2 * n - 1, dtype=np.uint8)
+    for k in range(n - 1):
+        new = n + k
+        weight.append(0)
+        for s in (0, 1):
+            queue = leaves if leaves and (not inner or weight[leaves[0]] <= weight[inner[0]]) else inner
+            child = queue.popleft()
+            parent[child], side[child] = new, s
+            weight[new] += weight[child]
+        inner.append(new)
+    steps = []  # (leaf, its depth from below, node, bit)
+    leaf, at = np.arange(n), np.arange(n)
+    root, depth = 2 * n - 2, 0
+    while n > 1 and len(leaf):
+        steps.append((leaf, np.full(len(leaf), depth), parent[at] - n, side[at]))
+        at = parent[at]
+        leaf, at, depth = leaf[at != root], at[at != root], depth + 1
+    owner, below, node, bit = (np.concatenate(x) for x in zip(*steps, strict=True)) if steps else (np.zeros(0, np.int64),) * 4
+    top_down = np.lexsort((-below, owner))
+    byte, place = np.repeat(np.arange(256), 8), np.tile(np.arange(8), 256)
+    node = np.concatenate([node[top_down], n - 1 + ((1 << place) | (byte >> (8 - place)))]).astype(np.int32)
+    bit = np.concatenate([bit[top_down], (byte >> (7 - place)) & 1]).astype(np.uint8)
+    length = np.concatenate([np.bincount(owner.astype(np.int64), minlength=n), np.full(256, 8)])
+    hashes = np.array([xxhash.xxh64_intdigest(w) for w in words], dtype=np.uint64)
+    common = np.zeros(n + 1, dtype=bool)
+    common[sorted((i for i in range(len(words)) if words[i]), key=lambda i: (-counts[i], i))[:COMMON]] = True
+    return Codes({w: i for i, w in enumerate(words)}, np.cumsum(length) - length, length, node, bit, hashes, common)
+
+
+def tokens_of(text: bytes) -> list[bytes]:
+    words = text.lower().split()
+    words.append(b"")
+    return words
+
+
+class Tokens(NamedTuple):
+    """Words of some texts in their order: text of each, code index, words without a code by place, context hashes by order, common word before."""
+
+    text: np.ndarray
+    ids: np.ndarray
+    rare: np.ndarray
+    spelled: list[bytes]
+    contexts: np.ndarray
+    kind: np.ndarray
+
+
+def tokens(lists: list[list[bytes]], codes: Codes) -> Tokens:
+    flat = [w for words in lists for w in words]
+    get, escape = codes.index.get, codes.escape
+    ids = np.array([get(w, escape) for w in flat], dtype=np.int64)
+    sizes = np.array([len(x) for x in lists], dtype=np.int64)
+    text = np.repeat(np.arange(len(lists)), sizes)
+    place = np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[text]
+    rare = np.nonzero(ids == escape)[0]
+    before = [np.where(place >= k, np.concatenate([np.zeros(min(k, len(ids)), np.int64), ids[:-k]]), escape + k).astype(np.uint64) for k in (1, 2)]
+    is_common = codes.common[ids]
+    at = np.concatenate([np.full(2, -1), np.nonzero(is_common)[0]])
+    passed = np.cumsum(is_common) - is_common
+    kinds = [np.where(at[passed + k] >= np.arange(len(ids)) - place, ids[at[passed + k]], escape).astype(np.uint64) for k in (1, 0)]
+    with np.errstate(over="ignore"):
+        kind = kinds[0] * GOLD + np.uint64(5)
+        two_kinds = (kind ^ (kinds[1] + np.uint64(1))) * GOLD + np.uint64(6)
+        one = before[0] * GOLD + np.uint64(1)
+        two = (one ^ (before[1] + np.uint64(1))) * GOLD + np.uint64(2)
+    return Tokens(text, ids, rare, [flat[k] for k in rare.tolist()], short(mix64(np.stack([two_kinds, one, two]))), kind)
+
+
+def short(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(32)).astype(np.uint32)
+
+
+class Symbols(NamedTuple):
+    """Codes and bytes to predict, in order: symbol, its token's place, context hashes by order."""
+
+    symbol: np.ndarray
+    token: np.ndarray
+    contexts: np.ndarray
+
+
+def symbols(t: Tokens, order: np.ndarray, codes: Codes) -> Symbols:
+    """What codes the tokens, taken in ``order``: a code, or an escape and the bytes of the word and a space."""
+    ids = t.ids[order]
+    sizes = np.ones(len(ids), dtype=np.int64)
+    rank = np.zeros(len(t.ids), dtype=np.int64)
+    rank[t.rare] = np.arange(len(t.rare))
+    at = np.nonzero(ids == codes.escape)[0]
+    words = [t.spelled[k] for k in rank[order[at]].tolist()]
+    sizes[at] += np.array([len(w) + 1 for w in words], dtype=np.int64) if words else 0
+    token = np.repeat(np.arange(len(ids)), sizes)
+    symbol = ids[token]
+    contexts = t.contexts[:, order][:, token]
+    if words:
+        byte = np.frombuffer(b" ".join(words) + b" ", dtype=np.uint8)
+        lengths = np.array([len(w) + 1 for w in words])
+        place = np.arange(len(byte)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        spelled = np.ones(len(symbol), dtype=bool)
+        spelled[np.cumsum(sizes) - sizes] = False
+        where = np.nonzero(spelled)[0]
+        symbol[where] = codes.escape + 1 + byte.astype(np.int64)
+        wide = byte.astype(np.uint64) + np.uint64(1)
+        h = np.full(len(byte), 7, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            h = np.full(len(wide), 7, dtype=np.uint64)
-            for k in range(1, ORDERS + 1):
-                before = np.concatenate([np.zeros(min(k, len(wide)), np.uint64), wide[:-k]])
-                h = h * GOLD + np.where(place >= k, before, np.uint64(0)) + np.uint64(k)
-                self.contexts.append(mix64(h))
-
-    def bits(self) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """For each of the eight bits: its value and its slot under each order."""
-        for b in range(8):
-            with np.errstate(over="ignore"):
-                node = ((np.uint64(1) << np.uint64(b)) | (self.bytes >> np.uint8(8 - b)).astype(np.uint64) if b else np.ones(len(self.bytes), np.uint64)) * GOLD
-                yield (self.bytes >> np.uint8(7 - b)) & 1, [(mix64(c + node) >> np.uint64(64 - BITS)).astype(np.int64) for c in self.contexts]
-
-
-def order_counts(words: list[bytes], out: np.ndarray | None = None) -> np.ndarray:
-    """Counts of zeros and ones by order and slot, each distinct word once, added to ``out`` if given."""
-    out = (np.zeros(ORDERS * (2 << BITS)) if out is None else out).reshape(ORDERS, 2 << BITS)
-    for k in range(0, len(words), 100_000):
-        for bit, slots in Spelling(words[k : k + 100_000]).bits():
-            for o, at in enumerate(slots):
-                out[o] += np.bincount(2 * at + bit, minlength=2 << BITS)
-    return out.reshape(ORDERS, 1 << BITS, 2)
-
-
-#: Counts from which a context of the longest and of the next order counts as surer.
-SURER = ((0.5, 3, 20, 200), (0.5, 3, 20))
-
-
-def stretched(n: np.ndarray) -> np.ndarray:
-    """Log odds of a one from counts of zeros and ones."""
-    return np.log((n[..., 1] + PRIOR) / (n[..., 0] + PRIOR)).clip(-12, 12)
-
-
-def surer(total: np.ndarray, which: int) -> np.ndarray:
-    return np.searchsorted(SURER[which], total, side="right").astype(np.uint8)
+            for k in range(1, 6):
+                h = h * GOLD + np.where(place >= k, np.concatenate([np.zeros(min(k, len(wide)), np.uint64), wide[:-k]]), np.uint64(0)) + np.uint64(k)
+                if k in (1, 3, 5):
+                    contexts[k // 2, where] = short(mix64(h if k > 1 else h ^ t.kind[order][token[where]]))
+    return Symbols(symbol, token, contexts)
+
+
+def events(symbol: np.ndarray, contexts: np.ndarray, codes: Codes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(place of the symbol, node, bit, slots by order) of every bit of the symbols."""
+    length = codes.length[symbol]
+    of = np.repeat(np.arange(len(symbol)), length)
+    at = np.arange(len(of)) + np.repeat(codes.start[symbol] - (np.cumsum(length) - length), length)
+    node, bit = codes.node.take(at), codes.bit.take(at)
+    salt = node.astype(np.uint32) * SALT
+    slots = [((c.take(of) ^ salt) * SPREAD) >> np.uint32(32 - BITS) for c in contexts]
+    return of, node, bit, slots
+
+
+def cells(codes: Codes) -> int:
+    """Counts held: zeros and ones by order and slot, then by node."""
+    return ORDERS * (2 << BITS) + 2 * codes.nodes
+
+
+def count_texts(lists: list[list[bytes]], codes: Codes, total: np.ndarray) -> None:
+    for part in groups([len(x) for x in lists]):
+        t = tokens([lists[k] for k in part], codes)
+        s = symbols(t, np.arange(len(t.ids)), codes)
+        _, node, bit, slots = events(s.symbol, s.contexts, codes)
+        one = np.uint32(1)
+        for o, slot in enumerate(slots):
+            np.add.at(total[o * (2 << BITS) : (o + 1) * (2 << BITS)], pair(slot, bit), one)
+        np.add.at(total[ORDERS * (2 << BITS) :], pair(node, bit), one)
+
+
+def pair(slot: np.ndarray, bit: np.ndarray) -> np.ndarray:
+    """Index of a slot's count of the bit."""
+    return (slot.astype(np.int64) << 1) | bit
+
+
+def groups(sizes: list[int]) -> list[np.ndarray]:
+    """Texts of like length together, as many as make a bounded amount of work (or one)."""
+    order = np.argsort(np.array(sizes, dtype=np.int64), kind="stable")
+    out, held = [], 0
+    first = 0
+    for k, i in enumerate(order.tolist()):
+        if k > first and (held + sizes[i] > GROUP_TOKENS or k - first >= GROUP_TEXTS):
+            out.append(order[first:k])
+            first, held = k, 0
+        held += sizes[i]
+    if first < len(order):
+        out.append(order[first:])
+    return out
 
 
-def prepared(orders: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By slot: stretched predictions of each order, and confidence levels of the longest order and the next."""
-    return stretched(orders).astype(np.float32), surer(orders[-1].sum(axis=-1), 0), surer(orders[-2].sum(axis=-1), 1)
+def packed(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Predictions by slot as counted, and by slot and bit with one such bit taken out: log odds in tenths, times 256, plus a confidence level."""
+    out = np.empty((len(n), 3), dtype=np.int16)
+    for k in range(3):
+        zeros, ones = (np.maximum(n[:, b].astype(np.float32) - (k == b + 1), 0) for b in (0, 1))
+        level = np.searchsorted(LEVELS, zeros + ones, side="right")
+        out[:, k] = np.rint(STEP * np.log((ones + np.float32(PRIOR)) / (zeros + np.float32(PRIOR))).clip(-12, 12)).astype(np.int16) * 256 + level
+    return out[:, 0].copy(), out[:, 1:].ravel()
 
 
-def unseen_inputs(spelling: Spelling, orders: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(bit, stretched predictions, gate, confidence level) for each bit position, with the word itself taken out of the counts."""
-    for bit, slots in spelling.bits():
-        x = np.full((len(bit), INPUTS), 0.3)
-        for o, at in enumerate(slots):
-            n = orders[o][at].astype(float)
-            n[np.arange(len(bit)), bit] = np.maximum(n[np.arange(len(bit)), bit] - 1, 0)
-            x[:, o] = stretched(n)
-            if o == ORDERS - 2:
-                second = surer(n.sum(axis=1), 1)
-        first = surer(n.sum(axis=1), 0)
-        yield bit, x, first.astype(np.int64) * 4 + second, first
+class Model(NamedTuple):
+    codes: Codes
+    orders: list[tuple[np.ndarray, np.ndarray]]
+    zero: tuple[np.ndarray, np.ndarray]
+    weights: np.ndarray
+    refine: np.ndarray
 
 
 def squash(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
-
-
-def refined(p: np.ndarray, sure: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """The mix averaged with what a table interpolated at its stretched value says."""
-    x = np.clip(np.log(p / (1 - p)), -7.999, 7.999) * 2 + (BINS - 1) / 2
-    low = np.floor(x).astype(np.int64)
-    part = x - low
-    return np.clip((p + table[sure, low] * (1 - part) + table[sure, low + 1] * part) / 2, 1e-7, 1 - 1e-7)
-
-
-def learned(words: list[bytes], orders: np.ndarray, seed: int = 5, batch: int = 2048) -> tuple[np.ndarray, np.ndarray]:
-    """(weights, refinement table) after online passes over a sample of training words, each predicted as if it were new."""
-    w = np.full((GATES, INPUTS), 0.3)
-    table = np.repeat(squash((np.arange(BINS) - (BINS - 1) / 2)[None, :] / 2), 5, axis=0)
-    if not words:
-        return w, table
-    s = Spelling(words)
-    steps = list(unseen_inputs(s, orders))
-    y = np.concatenate([b for b, *_ in steps]).astype(float)
-    x = np.concatenate([v for _, v, _, _ in steps])
-    gate, sure = np.concatenate([g for *_, g, _ in steps]), np.concatenate([c for *_, c in steps])
-    order = np.random.default_rng(seed).permutation(len(y))
-    squares = np.full((GATES, INPUTS), 1e-3)
-    for turn in range(3):
-        for k in range(0, len(order), batch):
-            at = order[k : k + batch]
-            p = squash((x[at] * w[gate[at]]).sum(axis=1))
-            pull = (y[at] - p)[:, None] * x[at]
-            g = np.stack([np.bincount(gate[at], weights=pull[:, i], minlength=GATES) for i in range(INPUTS)], axis=1) / len(at)
-            squares += g * g
-            w += 0.05 / (1 + turn) * g / np.sqrt(squares)
-    p = squash((x * w[gate]).sum(axis=1))
-    bin_ = np.rint(np.clip(np.log(np.clip(p, 1e-9, 1 - 1e-9) / np.clip(1 - p, 1e-9, 1)), -8, 8) * 2 + (BINS - 1) / 2).astype(np.int64)
-    flat = sure * BINS + bin_
-    n, ones = (np.bincount(flat, weights=v, minlength=5 * BINS).reshape(5, BINS) for v in (None, y))
-    return w, (ones + 20 * table) / (n + 20)
-
-
-def log10_probabilities(words: list[bytes], model: tuple) -> np.ndarray:
-    """Of each word, spelled to its final space."""
-    (stretch, first, second), w, table = model
-    w = w.astype(np.float32)
-    out = np.zeros(len(words))
-    for k in range(0, len(words), 5_000):  # few enough to stay in a core's cache
-        s = Spelling(words[k : k + 5_000])
-        total = np.zeros(len(s.bytes))
-        for bit, slots in s.bits():
-            sure = first[slots[-1]]
-            by = w[sure.astype(np.int64) * 4 + second[slots[-2]]]
-            x = by[:, ORDERS] * np.float32(0.3)
-            for o, at in enumerate(slots):
-                x += by[:, o] * stretch[o][at]
-            p = refined(np.clip(squash(x), 1e-7, 1 - 1e-7), sure, table)
-            total += np.log(np.where(bit == 1, p, 1 - p))
-        out[k : k + 5_000] = np.bincount(s.word, weights=total, minlength=len(words[k : k + 5_000])) / np.log(10)
-    return out
+    return 1 / (1 + np.exp(-x))
+
+
+#: The mix, in steps of 1 / FINE, as a probability.
+CURVE = squash((np.arange(2 * REACH * FINE + 1) - REACH * FINE) / FINE).astype(np.float32)
+
+
+def fresh(codes: Codes, counts: np.ndarray) -> Model:
+    weights = np.full((GATES, INPUTS), 0.3, dtype=np.float32)
+    refine = np.repeat(squash((np.arange(BINS) - (BINS - 1) / 2)[None, :] / 2), REFINED, axis=0).astype(np.float32)
+    size = 2 << BITS
+    orders = [packed(counts[o * size : (o + 1) * size].reshape(-1, 2)) for o in range(ORDERS)]
+    return Model(codes, orders, packed(counts[ORDERS * size :].reshape(-1, 2)), weights, refine)
+
+
+def bit_logs(refine: np.ndarray) -> np.ndarray:
+    """Log probability of a zero and a one by refinement row and step of the mix: the mean of the mix and the table, read between its bins."""
+    x = np.clip((np.arange(len(CURVE)) - REACH * FINE) / FINE, -7.999, 7.999) * 2 + (BINS - 1) // 2
+    low = x.astype(np.int64)
+    p = (CURVE + refine[:, low] * (1 - (x - low)) + refine[:, low + 1] * (x - low)) / 2
+    return np.log(np.stack([1 - p, p], axis=-1).clip(1e-7, 1)).astype(np.float32)
+
+
+class Learner:
+    """Weights that follow every block's errors (Adagrad), and counts for the refinement, over the texts of one task."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = weights.astype(np.float64)
+        self.squares = np.full(weights.shape, 1e-3)
+        self.seen = np.zeros(GATES)
+        self.bins = np.zeros((2, REFINED * BINS))
+
+    def learn(self, gate: np.ndarray, inputs: np.ndarray, error: np.ndarray, at: np.ndarray, bit: np.ndarray) -> None:
+        n = np.bincount(gate, minlength=GATES)
+        g = np.stack([np.bincount(gate, weights=error * x, minlength=GATES) for x in inputs], axis=1) / np.maximum(n, 1)[:, None]
+        self.squares += g * g
+        self.weights += 0.02 * g / np.sqrt(self.squares)
+        self.seen += n
+        self.bins += np.stack([np.bincount(at, minlength=REFINED * BINS), np.bincount(at, weights=bit, minlength=REFINED * BINS)])
+
+
+def predicted(lists: list[list[bytes]], out_of_counts: bool, model: Model, learner: Learner | None = None) -> Iterator[tuple[np.ndarray, Tokens, np.ndarray]]:
+    """(places of some texts, their tokens, natural log probability of each token); with each bit taken out of the counts if they hold the texts."""
+    logs_of = bit_logs(model.refine).ravel()
+    for part in groups([len(x) for x in lists]):
+        t = tokens([lists[k] for k in part], model.codes)
+        place = np.arange(len(t.ids)) - np.searchsorted(t.text, t.text)
+        block = (place // BLOCK).astype(np.int32)
+        order = np.argsort(block, kind="stable")
+        s = symbols(t, order, model.codes)
+        logs = np.zeros(len(t.ids))
+        own = np.zeros((2, len(part), INPUTS), dtype=np.float32)  # for codes, for spelled words
+        ends = np.searchsorted(block[order][s.token], np.arange(1, block.max() + 2))
+        first = 0
+        for end in ends.tolist():
+            read_block(t, s, order, slice(first, end), out_of_counts, model, logs_of, own, logs, learner)
+            first = end
+        yield part, t, logs
+
+
+def read_block(t: Tokens, s: Symbols, order: np.ndarray, span: slice, out_of_counts: bool, model: Model, logs_of: np.ndarray, own: np.ndarray, logs: np.ndarray, learner: Learner | None) -> None:
+    """One block of every text that reaches it: log probabilities go to ``logs``, and each text's ``own`` weights follow its errors."""
+    of, node, bit, slots = events(s.symbol[span], s.contexts[:, span], model.codes)
+    if not len(of):
+        return
+    token_of = order[s.token[span]]
+    text = t.text[token_of].take(of)
+    if out_of_counts:
+        held = [alone.take(pair(slot, bit)) for (_, alone), slot in zip([*model.orders, model.zero], [*slots, node], strict=True)]
+    else:
+        held = [plain.take(slot) for (plain, _), slot in zip([*model.orders, model.zero], [*slots, node], strict=True)]
+    levels = len(LEVELS) + 1
+    row = (node >= model.codes.escape) * np.int64(levels) + (held[2] & 255)
+    gate = row * levels + (held[1] & 255)
+    inputs = np.empty((INPUTS, len(of)), dtype=np.float32)
+    for i, v in enumerate(held):
+        np.multiply(v >> 8, np.float32(1 / STEP), out=inputs[i], casting="unsafe")
+    inputs[-1] = 0.3
+    starts = np.concatenate([[0], np.nonzero(text[1:] != text[:-1])[0] + 1])
+    readers = text[starts]
+    weights = learner.weights.astype(np.float32) if learner else model.weights
+    both = (weights.reshape(1, 2, -1, INPUTS) + own[:, readers].transpose(1, 0, 2)[:, :, None]).reshape(-1, INPUTS)
+    reader = np.repeat(np.arange(len(starts)) * GATES, np.diff([*starts, len(of)]))
+    mix = np.einsum("ei,ie->e", both.take(reader + gate, axis=0), inputs)
+    step = np.rint((mix * FINE).clip(-REACH * FINE, REACH * FINE)).astype(np.int64) + REACH * FINE
+    error = bit - CURVE.take(step)
+    log = logs_of.take(((row * len(CURVE) + step) << 1) | bit)
+    if learner:
+        learner.learn(gate, inputs, error, row * BINS + np.rint(np.clip(step / FINE - REACH, -8, 8) * 2).astype(np.int64) + (BINS - 1) // 2, bit)
+    token = token_of.take(of)
+    first = np.concatenate([[0], np.nonzero(token[1:] != token[:-1])[0] + 1])
+    logs[token[first]] = np.add.reduceat(log, first, dtype=np.float64)
+    slope = inputs * error
+    pull = np.add.reduceat(slope, starts, axis=1).T
+    slope *= node >= model.codes.escape
+    pull_spelled = np.add.reduceat(slope, starts, axis=1).T
+    own[:, readers] = np.clip(own[:, readers] + np.float32(RATE) * np.stack([pull - pull_spelled, pull_spelled]), -0.5, 0.5)
+
+
+def chunks(t: Tokens, codes: Codes) -> tuple[np.ndarray, np.ndarray]:
+    """(first token, key) of each chunk of the texts: a chunk ends where two words hash to a place in ``CHUNK_WORDS``, or the text does."""
+    h = np.zeros(len(t.ids), dtype=np.uint64)
+    coded = t.ids < codes.escape
+    h[coded] = codes.hashes[t.ids[coded]]
+    h[t.rare] = np.array([xxhash.xxh64_intdigest(w) for w in t.spelled], dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        pair = mix64(h * np.uint64(3) + np.concatenate([np.zeros(1, np.uint64), h[:-1]]))
+        cuts = np.zeros(len(h), dtype=bool)
+        cuts[1:] = (pair[:-1] % np.uint64(CHUNK_WORDS) == 0) | (t.text[1:] != t.text[:-1])
+        cuts[:1] = True
+        starts = np.nonzero(cuts)[0]
+        inside = np.arange(len(h)) - np.repeat(starts, np.diff([*starts, len(h)]))
+        key = np.add.reduceat(mix64(h + (inside.astype(np.uint64) + np.uint64(1)) * GOLD), starts)
+    return starts, key
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -179,195 +388,165 @@ def vocabulary(docs: DataFrame) -> DataFrame:
         counts: Counter = Counter()
         seen: set = set()
         for t, out in zip(texts, outs, strict=True):
-            words = (t or b"").lower().split()
-            words.append(b"")
+            words = tokens_of(t)
             if out:
                 seen.update(words)
             else:
                 counts.update(words)
-        tokens = [*counts, *(w for w in seen if w not in counts)]
-        return tokens, [counts[w] for w in tokens]
+        held = [*counts, *(w for w in seen if w not in counts)]
+        return held, [counts[w] for w in held]
 
     return map_rows(docs.select("text", "held_out"), count, "token binary, c long").groupBy("token").agg(F.sum("c").alias("c"))
 
 
-def summed(df: DataFrame, add, cells: int, rows_at_once: int = 1) -> np.ndarray:
-    """Sum of arrays of ``cells`` numbers, a fixed size, to which ``add(total, batch)`` adds batches of at least so many rows."""
+def summed(df: DataFrame, add, size: int) -> np.ndarray:
+    """Sum over all rows of arrays of ``size`` counts, a fixed number, to which ``add(total, batch)`` adds a batch."""
+
+    def pack(x: np.ndarray) -> bytes:
+        return zstd.ZstdCompressor(level=1).compress(x.tobytes())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(-(-cells // CHUNK) * CHUNK)
-        held: list[pa.RecordBatch] = []
+        total = np.zeros(-(-size // CHUNK_CELLS) * CHUNK_CELLS, dtype=np.uint32)
         for b in batches:
-            held.append(b)
-            if sum(map(len, held)) >= rows_at_once:
-                add(total[:cells], pa.concat_batches(held))
-                held = []
-        if held:
-            add(total[:cells], pa.concat_batches(held))
-        flat = total.reshape(-1, CHUNK)
+            add(total[:size], b)
+        flat = total.reshape(-1, CHUNK_CELLS)
         live = [k for k in range(len(flat)) if flat[k].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([zlib.compress(flat[k].tobytes(), 1) for k in live], pa.binary())], names=["chunk", "data"])
+        yield pa.RecordBatch.from_arrays([pa.array(live, pa.int32()), pa.array([pack(flat[k].astype(np.uint64)) for k in live], pa.binary())], names=["chunk", "data"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(CHUNK)
+        total = np.zeros(CHUNK_CELLS, dtype=np.uint64)
         for d in pdf["data"]:
-            total += np.frombuffer(zlib.decompress(d))
-        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "data": [zlib.compress(total.tobytes(), 1)]})
+            total += np.frombuffer(zstd.ZstdDecompressor().decompress(d), dtype=np.uint64)
+        return pd.DataFrame({"chunk": pdf["chunk"].iloc[:1], "data": [pack(total)]})
 
     schema = "chunk int, data binary"
-    # partial sums meet in a hundred groups for each chunk first, so that no task adds up what all tasks made
-    parts = df.mapInArrow(build, schema).withColumn("part", F.spark_partition_id() % 100)
-    merged = parts.groupBy("chunk", "part").applyInPandas(merge, schema).groupBy("chunk").applyInPandas(merge, schema)
-    flat = np.zeros((-(-cells // CHUNK), CHUNK), dtype=np.float32)
+    # what all tasks made meets in parts of each chunk first, so that no task adds up all of it
+    made = df.mapInArrow(build, schema).withColumn("part", F.pmod(F.xxhash64(F.spark_partition_id()), F.lit(8)))
+    merged = made.groupBy("chunk", "part").applyInPandas(merge, schema).groupBy("chunk").applyInPandas(merge, schema)
+    flat = np.zeros((-(-size // CHUNK_CELLS), CHUNK_CELLS), dtype=np.uint64)
     for r in merged.toLocalIterator():
-        flat[r["chunk"]] = np.frombuffer(zlib.decompress(r["data"]))
-    return flat.ravel()[:cells]
-
-
-def summed_orders(vocab: DataFrame) -> np.ndarray:
-    """The context tables of all distinct training words."""
-
-    def add(total: np.ndarray, b: pa.RecordBatch) -> None:
-        order_counts(b.column(0).to_pylist(), total)
-
-    return summed(vocab.filter("c > 0").select("token"), add, ORDERS * (2 << BITS), 100_000).reshape(ORDERS, 1 << BITS, 2)
-
-
-def topics(samples: list[list[int]], words: int, kinds: int, seed: int = 3, rounds: int = 30) -> np.ndarray:
-    """(kinds, words) log probabilities of a mixture of unigrams, fitted by expectation maximization on sampled texts."""
-    rng = np.random.default_rng(seed)
-    at = np.repeat(np.arange(len(samples)), [len(x) for x in samples])
-    word = np.concatenate([np.array(x, dtype=np.int64) for x in samples]) if samples else np.zeros(0, np.int64)
-    share = rng.dirichlet(np.full(kinds, 0.3), len(samples))
-    logp = np.zeros((kinds, words))
-    overall = (np.bincount(word, minlength=words) + 0.1) / (len(word) + 0.1 * words)
-    for turn in range(rounds):
-        for k in range(kinds):
-            n = np.bincount(word, weights=share[at, k], minlength=words)
-            logp[k] = np.log((n + 50 * overall) / (n.sum() + 50))
-        prior = np.log(share.sum(axis=0) + 1)
-        like = np.stack([np.bincount(at, weights=logp[k][word], minlength=len(samples)) for k in range(kinds)], axis=1) + prior
-        cool = min(1.0, 0.02 * 1.3**turn)  # annealed: early rounds decide softly
-        like = (like - like.max(axis=1, keepdims=True)) * cool
-        share = np.exp(like)
-        share /= share.sum(axis=1, keepdims=True)
-    return logp
-
-
-def experts(counts: np.ndarray, total: np.ndarray, shared: np.ndarray, outside: float, discount: float, extra: float = 50.0) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 probability of each frequent word under each kind of text, log10 of each kind's share of other words).
-
-    What discounting takes from a kind's counts goes to the shared probabilities, those of words
-    that are not frequent (``outside``) included.
-    """
-    size = total + extra
-    back = (discount * (counts > 0).sum(axis=1) + extra) / size
-    p = np.maximum(counts - discount, 0) / size[:, None] + back[:, None] * shared[None, :]
-    rest = np.maximum(total - counts.sum(axis=1), 0)
-    return np.log10(np.maximum(p, 1e-300)), np.log10(rest / size + back * outside)
+        flat[r["chunk"]] = np.frombuffer(zstd.ZstdDecompressor().decompress(bytes(r["data"])), dtype=np.uint64)
+    return flat.ravel()[:size]
 
 
 def least_count(vocab: DataFrame, most: int) -> int:
-    """The least count such that no more than ``most`` tokens reach it."""
-    by = vocab.filter("c > 0").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    """The least count, two or more, such that no more than ``most`` tokens reach it."""
+    by = vocab.filter("c > 1").groupBy("c").agg(F.count(F.lit(1)).alias("n"))
     small = by.filter("c < 10000").select("c", "n").union(by.filter("c >= 10000").groupBy(F.floor(F.log2("c") * 16).alias("k")).agg(F.max("c").alias("c"), F.sum("n").alias("n")).select("c", "n"))
     reached = 0
     for r in sorted(small.collect(), reverse=True):  # at most some ten thousand rows
         reached += r["n"]
         if reached > most:
             return r["c"] + 1
-    return 1
+    return 2
 
 
-def text_scores(docs: DataFrame, mod: int = 5, rest: int = 1, frequent_words: int = 100_000, sample_words: int = 12_000, kinds: int = 8, sample_texts: int = 1_500, gate_words: int = 4_000) -> DataFrame:
+def learned(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """(weights, refinement) from all of ``texts(text)``: each task learns over its own, and tasks count by the bits they saw."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        learner = Learner(shared.value.weights)
+        for b in batches:
+            for _ in predicted([tokens_of(x) for x in b.column(0).to_pylist()], False, shared.value, learner):
+                pass
+        if learner.seen.any():
+            flat = np.concatenate([(learner.weights * learner.seen[:, None]).ravel(), learner.seen, learner.bins.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["i", "v"])
+
+    rows = texts.mapInArrow(work, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as many rows as weights and bins
+    if not rows:
+        return model.weights, model.refine
+    flat = np.array([r["v"] for r in sorted(rows)])
+    total, seen, bins = np.split(flat, [GATES * INPUTS, GATES * INPUTS + GATES])
+    weights = np.where(seen[:, None] > 0, total.reshape(GATES, INPUTS) / np.maximum(seen, 1)[:, None], model.weights)
+    n, ones = bins.reshape(2, REFINED, BINS)
+    return np.round(weights, 6).astype(np.float32), ((ones + 20 * model.refine) / (n + 20)).astype(np.float32)
+
+
+def match_gains(read: DataFrame, concentration: float = 0.5, discount: float = 0.5) -> DataFrame:
+    """(row, gain): what the match model adds to a text's log10 probability.
+
+    ``read(row, held_out, prev, cur, logp)`` has arrays of chunk keys and of the mix's log10 probabilities. Counts are of
+    training texts; a training text's own chunk is taken out of them.
+    """
+    rows = read.select("row", "held_out", F.inline(F.arrays_zip("prev", "cur", "logp"))).filter("prev is not null")
+    pairs = rows.filter(~F.col("held_out")).groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("c"))
+    pairs = stored(pairs)
+    totals = pairs.groupBy("prev").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("t"))
+    known = rows.join(totals, "prev")
+    known = known.withColumn("own", (~F.col("held_out")).cast("int")).filter("n - own > 0").join(pairs, ["prev", "cur"], "left")
+    c = F.coalesce("c", F.lit(0)) - F.col("own")
+    n = F.col("n") - F.col("own")
+    t = F.col("t") - F.when(c == 0, F.col("own")).otherwise(0)
+    p = (F.greatest(c - discount, F.lit(0.0)) + (concentration + discount * t) * F.pow(F.lit(10.0), "logp")) / (n + concentration)
+    least = F.log10((concentration + discount * t) / (n + concentration)) + F.col("logp")  # where the power is below any double
+    return known.groupBy("row").agg(F.round(F.sum(F.greatest(F.log10(p), least) - F.col("logp")), 9).alias("gain"))
+
+
+def text_scores(docs: DataFrame, mod: int = 5, rest: int = 1, frequent_words: int = 65_000, learning_share: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for ``docs(doc_id, text)``.
 
-    Counts come from all rows that are not held out. ``frequent_words`` bounds what is broadcast
-    and collected, ``sample_words`` the words on which the mixing weights are learned,
-    ``sample_texts`` (in expectation) and ``gate_words`` what the kinds are found from; none of
-    them bounds what is counted or scored. Null and empty texts are the end token alone; repeated rows
-    are scored (and counted) each; other columns are ignored; an empty table gives an empty result.
+    Counts come from all rows that are not held out. ``frequent_words`` bounds the words that have
+    codes, all of which are broadcast; context tables have a fixed number of slots for each order, in
+    which contexts may meet; one in ``learning_share`` training rows teaches the weights. The
+    chunk counts of the match model are tables that grow with the corpus. Null and empty texts are
+    the end token alone; repeated rows are scored (and counted) each; other columns are ignored;
+    an empty table gives an empty result.
     """
-    spark = docs.sparkSession
+    sc = docs.sparkSession.sparkContext
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), held_out(mod, rest).alias("held_out"))
     vocab = stored(vocabulary(rows))
     n_train, n_distinct = vocab.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    once, twice = vocab.agg(F.count(F.when(F.col("c") == 1, 1)), F.count(F.when(F.col("c") == 2, 1))).first()
-    discount = (once + 0.5) / (once + 2 * twice + 1)
-    least = least_count(vocab, frequent_words)
-    orders = summed_orders(vocab)
-    sample = [bytes(r["token"]) for r in vocab.filter("c > 0").orderBy(F.xxhash64("token"), "token").limit(sample_words).collect()]
-    model = spark.sparkContext.broadcast((prepared(orders), *learned(sample, orders)))
-    del orders
-
-    def spell(tokens, counts):
-        return tokens, counts, log10_probabilities(tokens, model.value).tolist()
-
+    frequent = sorted((bytes(r["token"]), r["c"]) for r in vocab.filter(F.col("c") >= least_count(vocab, frequent_words)).toLocalIterator())
+    words, counts = [w for w, _ in frequent], [c for _, c in frequent]
+    codes = codes_of(words, counts, n_train - sum(counts))
     base_of = F.log10((F.col("c") + 0.5) / (n_train + 0.5 * (n_distinct + 1)))
-    new_mass = discount * n_distinct / n_train if n_train else 1.0
-    seen = F.log10((F.col("c") - discount) / max(n_train, 1) + new_mass * F.pow(F.lit(10.0), F.col("logp")))
-    adapted = F.when(F.col("c") > 0, seen).otherwise(F.col("logp") + float(np.log10(new_mass)))
-    spelled = map_rows(vocab, spell, "token binary, c long, logp double")
-    scored = stored(spelled.select("token", "c", adapted.alias("logp"), base_of.alias("base")))
-    known = sorted((bytes(r["token"]), r["base"], r["logp"]) for r in scored.filter(F.col("c") >= least).toLocalIterator())
-    index = {t: i for i, (t, _, _) in enumerate(known)}
-    base_head, shared = np.array([b for _, b, _ in known] + [0.0]), np.array([p for _, _, p in known])
-    del known
-    n_head, outside = len(index), max(1e-6, 1 - float(np.sum(10.0**shared)))
-    words = spark.sparkContext.broadcast(index)
+    base_head = np.log10((np.array([*counts, 0], dtype=float) + 0.5) / (n_train + 0.5 * (n_distinct + 1)))
+    base_head[-1] = 0.0
+    coder = sc.broadcast(codes)
+
+    def count(total: np.ndarray, b: pa.RecordBatch) -> None:
+        count_texts([tokens_of(x) for x in b.column(0).to_pylist()], coder.value, total)
 
+    teaches = F.pmod(F.xxhash64(F.lit(2), "doc_id", "text"), F.lit(learning_share)) == 0
     train = rows.filter(~F.col("held_out"))
-    ends = vocab.filter(F.octet_length("token") == 0).agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
-    gate = np.sort(np.argsort(-shared, kind="stable")[:gate_words])
-    place = np.full(n_head + 1, -1)
-    place[gate] = np.arange(len(gate))
-    place_of = spark.sparkContext.broadcast(place)
-
-    def sampled(texts):
-        return ([[g for g in place_of.value[[words.value.get(x, n_head) for x in [*t.lower().split(), b""]]].tolist() if g >= 0] for t in texts],)
-
-    few = train.filter(F.pmod(F.xxhash64(F.lit(2), "doc_id", "text"), F.lit(max(1, ends))) < sample_texts)
-    samples = [list(r["words"]) for r in map_rows(few.select("text"), sampled, "words array<int>").collect()]
-    samples.sort()
-    gates = spark.sparkContext.broadcast(np.concatenate([topics(samples, len(gate), kinds).T, np.zeros((1, kinds))]))
-    del samples
-
-    def tally(total: np.ndarray, b: pa.RecordBatch) -> None:
-        table, sizes = total[: kinds * n_head].reshape(kinds, n_head), total[kinds * n_head :]
-        for t in b.column(0).to_pylist():
-            at = np.array([words.value.get(x, n_head) for x in [*t.lower().split(), b""]])
-            kind = int((np.ones(len(at)) @ gates.value[place_of.value[at]]).argmax())
-            sizes[kind] += len(at)
-            np.add.at(table[kind], at[at < n_head], 1)
-
-    counted = summed(train.select("text"), tally, kinds * n_head + kinds).astype(float)
-    by_kind, sizes_of = counted[: kinds * n_head].reshape(kinds, n_head), counted[kinds * n_head :]
-    logs, others = experts(by_kind, sizes_of, 10.0**shared, outside, discount)
-    prior = np.log10((sizes_of + 1) / (sizes_of.sum() + kinds))
-    matrix = np.concatenate([logs.T, (others - np.log10(outside))[None, :]]).astype(np.float32)
-    del by_kind, logs, counted
-    lookup = spark.sparkContext.broadcast((base_head, matrix, prior))
+    teachers, others = train.filter(teaches).select("text"), train.filter(~teaches).select("text")
+    tables = summed(others, count, cells(codes))
+    weights, refine = learned(teachers, fresh(codes, tables))
+    tables += summed(teachers, count, cells(codes))
+    shared = sc.broadcast(fresh(codes, tables)._replace(weights=weights, refine=refine))
+    del tables
 
     def look(ids, texts, outs):
-        base, by, first = lookup.value
-        result = [ids, outs, [], [], [], [], [], []]
-        for t in texts:
-            tokens = t.lower().split()
-            tokens.append(b"")
-            where = np.array([words.value.get(x, n_head) for x in tokens])
-            rare = [x for x, i in zip(tokens, where.tolist(), strict=True) if i == n_head]
-            under = first + by[where].sum(axis=0, dtype=np.float64)
-            logp = under.max() + np.log10(np.sum(10.0 ** (under - under.max())))
-            for column, value in zip(result[2:], (len(t), len(tokens), len(tokens) - len(rare), float(base[where].sum()), float(logp), rare), strict=True):
-                column.append(value)
-        return tuple(result)
-
-    looked = map_rows(rows, look, "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, logp double, rare array<binary>")
-    looked = stored(looked.withColumn("row", F.monotonically_increasing_id()))
-    rest_of = looked.select("row", F.explode("rare").alias("token")).join(scored, "token")
-    extra = rest_of.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("more_known"), F.sum("base").alias("more_base"), F.sum("logp").alias("more_logp"))
-    score = F.col("logp") + F.coalesce("more_logp", F.lit(0.0))
-    return looked.drop("rare").join(extra, "row", "left").select(
+        model, n = shared.value, len(ids)
+        columns: list[list] = [ids, outs, [len(t) for t in texts], *([None] * n for _ in range(7))]
+        for out in (False, True):
+            some = [k for k in range(n) if outs[k] == out]
+            for part, t, logs in predicted([tokens_of(texts[k]) for k in some], not out, model):
+                starts, keys = chunks(t, model.codes)
+                ends = np.searchsorted(t.text, np.arange(len(part)), side="right")
+                rare, cuts = np.searchsorted(t.rare, ends), np.searchsorted(starts, ends)
+                chunk, base, known = keys.view(np.int64).tolist(), np.concatenate([[0], np.cumsum(base_head[t.ids])]), 0
+                log10 = (np.add.reduceat(logs, starts) / np.log(10)).tolist()
+                last = [0, 0, 0]
+                for k, e, r, c in zip(part.tolist(), ends.tolist(), rare.tolist(), cuts.tolist(), strict=True):
+                    n_tokens, mine = e - last[0], chunk[last[2] : c]
+                    known = n_tokens - (r - last[1])
+                    values = n_tokens, known, float(base[e] - base[last[0]]), t.spelled[last[1] : r], [None, *mine[:-1]], mine, log10[last[2] : c]
+                    for column, value in zip(columns[3:], values, strict=True):
+                        column[some[k]] = value
+                    last = [e, r, c]
+        return tuple(columns)
+
+    schema = "doc_id long, held_out boolean, n_bytes long, n_tokens long, n_known long, base double, rare array<binary>, prev array<bigint>, cur array<bigint>, logp array<double>"
+    read = stored(map_rows(rows, look, schema).withColumn("row", F.monotonically_increasing_id()))
+    spelled = read.select("row", F.explode("rare").alias("token")).join(vocab.withColumn("base", base_of), "token")
+    extra = spelled.groupBy("row").agg(F.sum((F.col("c") > 0).cast("long")).alias("more_known"), F.round(F.sum("base"), 9).alias("more_base"))
+    logp = F.aggregate("logp", F.lit(0.0), lambda a, x: a + x)
+    score = F.col("logp_sum") + F.coalesce("gain", F.lit(0.0))
+    slim = read.select("row", "doc_id", "held_out", "n_bytes", "n_tokens", "n_known", "base", logp.alias("logp_sum"))
+    return slim.join(extra, "row", "left").join(match_gains(read), "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
