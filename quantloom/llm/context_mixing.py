@@ -19,6 +19,7 @@ before it has been seen elsewhere.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter, deque
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -441,20 +442,39 @@ def least_count(vocab: DataFrame, most: int) -> int:
     return 2
 
 
+def shipped(sc, model: Model):
+    """A broadcast of the model, compressed, since it is written to disk wherever it is used."""
+    return sc.broadcast(zstd.ZstdCompressor(level=1).compress(pickle.dumps(model, protocol=5)))
+
+
+#: The model that this worker process unpacked last, by its hash: tasks of one stage use the same.
+UNPACKED: dict[int, Model] = {}
+
+
+def received(shared) -> Model:
+    key = xxhash.xxh64_intdigest(shared.value)
+    if key not in UNPACKED:
+        UNPACKED.clear()
+        UNPACKED[key] = pickle.loads(zstd.ZstdDecompressor().decompress(shared.value))
+    return UNPACKED[key]
+
+
 def learned(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """(weights, refinement) from all of ``texts(text)``: each task learns over its own, and tasks count by the bits they saw."""
-    shared = texts.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(texts.sparkSession.sparkContext, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        learner = Learner(shared.value.weights)
+        given = received(shared)
+        learner = Learner(given.weights)
         for b in batches:
-            for _ in predicted([tokens_of(x) for x in b.column(0).to_pylist()], False, shared.value, learner):
+            for _ in predicted([tokens_of(x) for x in b.column(0).to_pylist()], False, given, learner):
                 pass
         if learner.seen.any():
             flat = np.concatenate([(learner.weights * learner.seen[:, None]).ravel(), learner.seen, learner.bins.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["i", "v"])
 
     rows = texts.mapInArrow(work, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).collect()  # as many rows as weights and bins
+    shared.destroy()
     if not rows:
         return model.weights, model.refine
     flat = np.array([r["v"] for r in sorted(rows)])
@@ -515,11 +535,11 @@ def text_scores(docs: DataFrame, mod: int = 5, rest: int = 1, frequent_words: in
     tables = summed(others, count, cells(codes))
     weights, refine = learned(teachers, fresh(codes, tables))
     tables += summed(teachers, count, cells(codes))
-    shared = sc.broadcast(fresh(codes, tables)._replace(weights=weights, refine=refine))
+    shared = shipped(sc, fresh(codes, tables)._replace(weights=weights, refine=refine))
     del tables
 
     def look(ids, texts, outs):
-        model, n = shared.value, len(ids)
+        model, n = received(shared), len(ids)
         columns: list[list] = [ids, outs, [len(t) for t in texts], *([None] * n for _ in range(7))]
         for out in (False, True):
             some = [k for k in range(n) if outs[k] == out]
