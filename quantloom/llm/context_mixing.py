@@ -50,6 +50,7 @@ BLOCK = 64
 RATE = 0.0005
 GROUP_TOKENS = 60_000
 GROUP_TEXTS = 256
+AT_ONCE = 1000  # texts that are lists of words at a time
 CHUNK_CELLS = 1 << 18
 CHUNK_WORDS = 32
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -312,7 +313,8 @@ def predicted(lists: list[list[bytes]], out_of_counts: bool, model: Model, learn
     logs_of = bit_logs(model.refine).ravel()
     for part in groups([len(x) for x in lists]):
         t = tokens([lists[k] for k in part], model.codes)
-        place = np.arange(len(t.ids)) - np.searchsorted(t.text, t.text)
+        sizes = np.bincount(t.text, minlength=len(part))
+        place = np.arange(len(t.ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         block = (place // BLOCK).astype(np.int32)
         order = np.argsort(block, kind="stable")
         s = symbols(t, order, model.codes)
@@ -358,7 +360,7 @@ def read_block(t: Tokens, s: Symbols, order: np.ndarray, span: slice, out_of_cou
     token = token_of.take(of)
     first = np.concatenate([[0], np.nonzero(token[1:] != token[:-1])[0] + 1])
     logs[token[first]] = np.add.reduceat(log, first, dtype=np.float64)
-    slope = inputs * error
+    slope = np.multiply(inputs, error, out=inputs)
     pull = np.add.reduceat(slope, starts, axis=1).T
     slope *= node >= model.codes.escape
     pull_spelled = np.add.reduceat(slope, starts, axis=1).T
@@ -467,8 +469,9 @@ def learned(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
         given = received(shared)
         learner = Learner(given.weights)
         for b in batches:
-            for _ in predicted([tokens_of(x) for x in b.column(0).to_pylist()], False, given, learner):
-                pass
+            for k in range(0, len(b), AT_ONCE):
+                for _ in predicted([tokens_of(x) for x in b.column(0).slice(k, AT_ONCE).to_pylist()], False, given, learner):
+                    pass
         if learner.seen.any():
             flat = np.concatenate([(learner.weights * learner.seen[:, None]).ravel(), learner.seen, learner.bins.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat)), pa.int32()), pa.array(flat)], names=["i", "v"])
@@ -504,7 +507,7 @@ def match_gains(read: DataFrame, concentration: float = 0.5, discount: float = 0
     return known.groupBy("row").agg(F.round(F.sum(F.greatest(F.log10(p), least) - F.col("logp")), 9).alias("gain"))
 
 
-def text_scores(docs: DataFrame, mod: int = 5, rest: int = 1, frequent_words: int = 65_000, learning_share: int = 10) -> DataFrame:
+def text_scores(docs: DataFrame, mod: int = 5, rest: int = 1, frequent_words: int = 200_000, learning_share: int = 10) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte for ``docs(doc_id, text)``.
 
     Counts come from all rows that are not held out. ``frequent_words`` bounds the words that have
@@ -527,7 +530,8 @@ def text_scores(docs: DataFrame, mod: int = 5, rest: int = 1, frequent_words: in
     coder = sc.broadcast(codes)
 
     def count(total: np.ndarray, b: pa.RecordBatch) -> None:
-        count_texts([tokens_of(x) for x in b.column(0).to_pylist()], coder.value, total)
+        for k in range(0, len(b), AT_ONCE):
+            count_texts([tokens_of(x) for x in b.column(0).slice(k, AT_ONCE).to_pylist()], coder.value, total)
 
     teaches = F.pmod(F.xxhash64(F.lit(2), "doc_id", "text"), F.lit(learning_share)) == 0
     train = rows.filter(~F.col("held_out"))
@@ -541,8 +545,8 @@ def text_scores(docs: DataFrame, mod: int = 5, rest: int = 1, frequent_words: in
     def look(ids, texts, outs):
         model, n = received(shared), len(ids)
         columns: list[list] = [ids, outs, [len(t) for t in texts], *([None] * n for _ in range(7))]
-        for out in (False, True):
-            some = [k for k in range(n) if outs[k] == out]
+        for at, out in ((at, out) for at in range(0, n, AT_ONCE) for out in (False, True)):
+            some = [k for k in range(at, min(at + AT_ONCE, n)) if outs[k] == out]
             for part, t, logs in predicted([tokens_of(texts[k]) for k in some], not out, model):
                 starts, keys = chunks(t, model.codes)
                 ends = np.searchsorted(t.text, np.arange(len(part)), side="right")
