@@ -1,31 +1,38 @@
 """Quality rules: base counts for each text, then robust multivariate outliers.
 
 The statistics of a text are transformed to a vector; for each language and source a
-minimum-covariance-determinant estimate is fitted on all rows by concentration steps
-(median and quartile start, then mean and covariance of the three quarters of the rows that
-lie nearest, repeated), and rows beyond a chi-square quantile of the Mahalanobis distance
-are rejected. Every step is one grouped aggregate over all rows; only sums leave a task, so a
-source that holds a third of all rows is no hot spot.
+minimum-covariance-determinant estimate is made from all of its rows. Concentration steps (mean
+and covariance of the three quarters of the rows that lie nearest, repeated) run from three fixed
+starts, the start of the least determinant goes on, and rows beyond a chi-square quantile of the
+Mahalanobis distance are rejected. An estimate is shrunk toward that of its language, and that
+one toward all rows, with a weight that falls smoothly with the number of rows, so that a small
+group is judged by what is known of it and no size turns a rule on or off. Every step is one
+grouped aggregate over all rows; only sums leave a task, so a source that holds a third of all
+rows is no hot spot.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import cut, map_rows
+from quantloom.llm.common import cut
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 DIGITS = b"0123456789"
 SPACES = b" \t\n\r\x0b\x0c"
-#: A statistic's spread counts as this much at least, so that a constant statistic does not reject small deviations.
+#: What counts as measurement noise of each statistic (a standard deviation, added to every covariance): a few symbols, a repeated
+#: line or a number more or less in a text of usual length. Statistics that most texts have at zero have no spread of their own,
+#: and without this their covariance would be singular and one symbol an outlier.
 FLOORS = {"v_symbols": 0.05, "v_length": 0.08, "v_lines": 0.05, "v_repeats": 0.05, "v_upper": 0.06, "v_digits": 0.06}
 DIMS = list(FLOORS)
 
@@ -58,14 +65,23 @@ def count_text(text: bytes | None) -> tuple[int, ...]:
     return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words), len(lines), upper, digits
 
 
-def text_counts(docs: DataFrame) -> DataFrame:
-    """One row of counts per row of ``docs(doc_id, text, lang, source)``; null text counts as empty."""
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_digits")
 
-    def work(ids, texts, langs, sources):
-        return (ids, langs, sources, *map(list, zip(*map(count_text, texts), strict=True))) if ids else ([],) * 11
 
-    slim = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"), F.col("lang").cast("string"), F.col("source").cast("string"))
-    return map_rows(slim, work, "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long, n_digits long")
+def text_counts(docs: DataFrame, carry: Column | None = None) -> DataFrame:
+    """(carried, lang, source, counts) for each row of ``docs``; ``carry`` is by default the doc_id. Null text counts as empty."""
+    carried = (F.col("doc_id").cast("long") if carry is None else carry).alias("carried")
+    slim = docs.select(carried, F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.col("text").cast("binary").alias("text"))
+    fields = slim.drop("text").schema
+    for name in COUNTS:
+        fields = fields.add(name, "long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [pa.array(x, pa.int64()) for x in zip(*map(count_text, b.column(3).to_pylist()), strict=True)] or [pa.array([], pa.int64())] * len(COUNTS)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *found], names=fields.names)
+
+    return slim.mapInArrow(run, fields)
 
 
 def vectors(counts: DataFrame) -> DataFrame:
@@ -102,17 +118,17 @@ def beside(groups: DataFrame) -> DataFrame:
     return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
 
 
-def grouped(rows: DataFrame, least: int) -> DataFrame:
-    """Adds ``grp``: language and source, or the language's rest, or the rest of all, whichever has ``least`` rows."""
-    key = F.concat_ws("\t", F.coalesce("lang", F.lit("\0")), F.coalesce("source", F.lit("\0")))
-    lang = F.coalesce("lang", F.lit("\0"))
-    rows = rows.withColumns({"g_full": key, "g_lang": lang})
-    sizes = rows.groupBy("g_full", "g_lang").agg(F.count(F.lit(1)).alias("n"))
-    small = sizes.filter(F.col("n") < least).groupBy("g_lang").agg(F.sum("n").alias("n_rest"))
-    names = sizes.join(small, "g_lang", "left").select(
-        "g_full", F.when(F.col("n") >= least, F.col("g_full")).when(F.col("n_rest") >= least, F.col("g_lang")).otherwise(F.lit("")).alias("grp")
-    )
-    return rows.join(beside(cut(names)), "g_full").drop("g_full", "g_lang")
+def grouped(rows: DataFrame) -> DataFrame:
+    """Adds ``grp``: the row's language and source; nulls are groups of their own."""
+    lang, source = (F.coalesce(c, F.lit("\0")) for c in ("lang", "source"))
+    return rows.withColumn("grp", F.concat_ws("\t", F.lit("source"), lang, source))
+
+
+def language_of(grp: Column) -> Column:
+    return F.concat_ws("\t", F.lit("language"), F.split(grp, "\t")[1])
+
+
+EVERYTHING = "all"
 
 
 def distance(dims: list[str]) -> Column:
@@ -126,66 +142,123 @@ def distance(dims: list[str]) -> Column:
     return F.greatest(total, F.lit(0.0))
 
 
-def precision(floors: list[float], factor: float):
-    """Pandas UDF: grouped sums -> mean and inverse of the (floored, rescaled) covariance."""
+def moments_of(rows: DataFrame, keys: list[str], dims: list[str]) -> DataFrame:
+    """(keys, n, mean, cov): row-major covariance over ``rows``, by one aggregate."""
+    p = len(dims)
+    sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(dims)]
+    products = [F.sum(F.col(x) * F.col(y)).alias(f"p{i}_{j}") for i, x in enumerate(dims) for j, y in enumerate(dims) if j >= i]
+    got = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *products)
+    mean = [F.col(f"s{i}") / F.col("n") for i in range(p)]
+    cov = [F.col(f"p{min(i, j)}_{max(i, j)}") / F.col("n") - mean[i] * mean[j] for i in range(p) for j in range(p)]
+    return got.select(*keys, "n", F.array(*mean).alias("mean"), F.array(*cov).alias("cov"))
+
 
-    @F.pandas_udf("mu array<double>, prec array<double>")
-    def solve(n: pd.Series, sums: pd.Series, products: pd.Series) -> pd.DataFrame:
-        mus, precs = [], []
-        p = len(floors)
-        for k, s, ss in zip(n, sums, products, strict=True):
-            mu = np.asarray(s) / k
-            cov = np.zeros((p, p))
-            cov[np.triu_indices(p)] = np.asarray(ss) / k
-            cov = cov + np.triu(cov, 1).T - np.outer(mu, mu)
-            cov = factor * cov + np.diag(np.square(floors))
-            mus.append(mu)
-            precs.append(np.linalg.inv(cov).ravel())
-        return pd.DataFrame({"mu": mus, "prec": precs})
+def inverted(floors: list[float], factor: float):
+    """Pandas UDF: covariance -> inverse and log determinant of it rescaled, with the floors added."""
+    noise = np.diag(np.square(floors))
+
+    @F.pandas_udf("prec array<double>, logdet double")
+    def solve(cov: pd.Series) -> pd.DataFrame:
+        full = [factor * np.asarray(c).reshape(noise.shape) + noise for c in cov]
+        return pd.DataFrame({"prec": [np.linalg.inv(c).ravel() for c in full], "logdet": [np.linalg.slogdet(c)[1] for c in full]})
 
     return solve
 
 
-def mcd_estimates(rows: DataFrame, floors: dict[str, float] = FLOORS, support: float = 0.75, steps: int = 4) -> DataFrame:
-    """(grp, mu, prec) for each ``grp`` of ``rows``, from all of its rows.
+def consistency(support: float, p: int) -> float:
+    """What the covariance of the nearest ``support`` of normal rows must be multiplied by."""
+    return support / chi2_cdf(chi2_quantile(support, p), p + 2)
+
+
+def concentrated(rows: DataFrame, est: DataFrame, keys: list[str], dims: list[str], support: float, solve) -> DataFrame:
+    """One concentration step for each row of ``est(keys, mu, prec)``, checkpointed: (keys, n, mean, cov, mu, prec, logdet).
+
+    Distances are compared after rounding, so that what the quantile's aggregate holds is bounded.
+    """
+    far = F.round(F.log1p(distance(dims)), 3)
+    near = rows.join(beside(est.select(*keys, "mu", "prec")), "grp").withColumn("far", far)
+    limit = cut(near.groupBy(*keys).agg(F.percentile("far", support).alias("limit")))
+    kept = rows.join(beside(cut(est.select(*keys, "mu", "prec").join(limit, keys))), "grp").filter(far <= F.col("limit"))
+    got = moments_of(kept, keys, dims).withColumn("e", solve("cov"))
+    return cut(got.select(*keys, "n", "mean", "cov", F.col("mean").alias("mu"), "e.prec", "e.logdet"))
+
+
+def mcd_estimates(rows: DataFrame, floors: dict[str, float] = FLOORS, support: float = 0.75, first_steps: int = 2, steps: int = 4) -> DataFrame:
+    """(grp, n, mean, cov) of the nearest ``support`` of each ``grp`` of ``rows``, from all of its rows.
 
-    Quantiles are exact over values rounded to 0.001, so that what an aggregate holds is bounded.
+    Starts: medians with quartile spreads; mean and covariance of all rows; and of those within the medians' inner half.
+    Quantiles are exact over values rounded to 0.001.
     """
     dims, p = list(floors), len(floors)
-    factor = support / chi2_cdf(chi2_quantile(support, p), p + 2)
+    solve = inverted(list(floors.values()), consistency(support, p))
     quartiles = rows.groupBy("grp").agg(*(F.percentile(F.round(x, 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(x) for x in dims))
     spread = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(f)) for x, f in floors.items()]
     diag = [1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
-    est = quartiles.select("grp", F.array(*(F.col(x)[1] for x in dims)).alias("mu"), F.array(*diag).alias("prec"))
-    solve = precision(list(floors.values()), factor)
+    middle = cut(quartiles.select("grp", F.lit(0).alias("start"), F.array(*(F.col(x)[1] for x in dims)).alias("mu"), F.array(*diag).alias("prec")))
+    every = moments_of(rows.withColumn("start", F.lit(1)), ["grp", "start"], dims)
+    inner = concentrated(rows, middle.withColumn("start", F.lit(2)), ["grp", "start"], dims, 0.5, solve)
+    every = every.withColumn("e", solve("cov")).select("grp", "start", F.col("mean").alias("mu"), "e.prec")
+    est = cut(middle.unionByName(every).unionByName(inner.select("grp", "start", "mu", "prec")))
+    for _ in range(first_steps):
+        est = concentrated(rows, est, ["grp", "start"], dims, support, solve)
+    # determinants that agree but for rounding are a tie, which goes to the first start
+    est = cut(est.groupBy("grp").agg(F.min_by(F.struct("mu", "prec"), F.struct(F.round("logdet", 6), "start")).alias("b")).select("grp", "b.mu", "b.prec"))
     for _ in range(steps):
-        est = cut(est)
-        near = rows.join(beside(est), "grp").withColumn("_d", F.round(F.log1p(distance(dims)), 3))
-        limit = near.groupBy("grp").agg(F.percentile("_d", support).alias("_q"))
-        kept = rows.join(beside(cut(est.join(limit, "grp"))), "grp").withColumn("_d", F.round(F.log1p(distance(dims)), 3)).filter("_d <= _q")
-        sums = [F.sum(x).alias(f"_s{i}") for i, x in enumerate(dims)]
-        products = [F.sum(F.col(x) * F.col(y)).alias(f"_p{i}_{j}") for i, x in enumerate(dims) for j, y in enumerate(dims) if j >= i]
-        moments = kept.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
-        solved = solve("n", F.array(*(F.col(f"_s{i}") for i in range(p))), F.array(*(F.col(f"_p{i}_{j}") for i in range(p) for j in range(i, p))))
-        est = moments.select("grp", solved.alias("e")).select("grp", "e.mu", "e.prec")
-    return cut(est)
-
-
-def quality_verdicts(docs: DataFrame, least: int = 200, quantile: float = 1 - 1e-6, support: float = 0.75) -> DataFrame:
+        est = concentrated(rows, est, ["grp"], dims, support, solve)
+    return est.select("grp", "n", "mean", "cov")
+
+
+def shrunk(small: DataFrame, large: DataFrame, weight: float) -> DataFrame:
+    """``small(grp, part, n, mean, cov)`` toward ``large(part, mean, cov)``, which counts as ``weight`` rows."""
+    wide = large.select("part", F.col("mean").alias("mean_2"), F.col("cov").alias("cov_2"))
+    share = F.col("n") / (F.col("n") + weight)
+    blend = lambda a, b: F.zip_with(a, b, lambda x, y: share * x + (1 - share) * y)
+    return small.join(wide, "part").select("grp", "n", blend("mean", "mean_2").alias("mean"), blend("cov", "cov_2").alias("cov"))
+
+
+def judges(rows: DataFrame, support: float, shrink_rows: float) -> DataFrame:
+    """(grp, mu, prec) for each language and source of ``rows``: its estimate shrunk toward its language's and that toward that of all."""
+    levels = F.array("grp", language_of(F.col("grp")), F.lit(EVERYTHING))
+    est = mcd_estimates(rows.select(F.explode(levels).alias("grp"), *DIMS), support=support)
+    whole = est.filter(F.col("grp") == EVERYTHING).withColumn("part", F.lit(EVERYTHING))
+    tongues = est.filter(F.col("grp").startswith("language")).withColumn("part", F.lit(EVERYTHING))
+    tongues = shrunk(tongues, whole, shrink_rows).withColumn("part", F.col("grp"))
+    groups = shrunk(est.filter(F.col("grp").startswith("source")).withColumn("part", language_of(F.col("grp"))), tongues, shrink_rows)
+    solve = inverted(list(FLOORS.values()), consistency(support, len(DIMS)))
+    return cut(groups.withColumn("e", solve("cov")).select("grp", F.col("mean").alias("mu"), "e.prec"))
+
+
+def judged(counts: DataFrame, judge: DataFrame, quantile: float) -> DataFrame:
+    """``counts`` plus base_failed, kept and distance."""
+    rows = with_base(counts)
+    seen = rows.join(beside(judge), "grp", "left").withColumn("distance", distance(DIMS))
+    kept = ~F.col("base_failed") & F.coalesce(F.col("distance") <= chi2_quantile(quantile, len(DIMS)), F.lit(True))
+    return seen.withColumn("kept", kept)
+
+
+def with_base(counts: DataFrame) -> DataFrame:
+    failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return grouped(vectors(counts)).withColumn("base_failed", failed)
+
+
+def quality_verdicts(docs: DataFrame, shrink_rows: float = 100.0, quantile: float = 1 - 1e-6, support: float = 0.75) -> DataFrame:
     """Counts and verdict for every row of ``docs(doc_id, text, lang, source)``.
 
-    base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows.
-    kept: not base_failed and within the chi-square ``quantile`` of the robust distance of its
-    language and source. Null text is empty; null language or source is a group of its own;
-    groups under ``least`` rows are judged with their language's rest, then with all rests, and a
-    rest of fewer rows rejects nobody. Repeated rows each get the same verdict; other columns
-    are ignored; an empty table gives an empty result.
+    base_failed: under 10 words, or over a fifth of the words in repeated 5-word windows; such rows
+    do not count in any estimate. kept: not base_failed and within the chi-square ``quantile`` of
+    the robust distance of its language and source, whose estimate is shrunk as if ``shrink_rows``
+    more rows were as its language's. Null text is empty; null language or source is a group of
+    its own. Repeated rows each get the same verdict; other columns are ignored; an empty table
+    gives an empty result.
     """
-    rows = cut(vectors(text_counts(docs)))
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    rows = grouped(rows, least)
-    est = mcd_estimates(rows.filter(~F.col("base_failed")), support=support)
-    enough = rows.filter(~F.col("base_failed")).groupBy("grp").agg(F.count(F.lit(1)).alias("_n"))
-    judged = rows.join(beside(cut(est.join(enough.filter(F.col("_n") >= least // 2), "grp"))), "grp", "left").withColumn("distance", distance(DIMS))
-    kept = ~F.col("base_failed") & (F.col("distance").isNull() | (F.col("distance") <= chi2_quantile(quantile, len(DIMS))))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "distance")
+    counts = cut(text_counts(docs))
+    judge = judges(with_base(counts).filter(~F.col("base_failed")), support, shrink_rows)
+    out = judged(counts, judge, quantile)
+    return out.select(F.col("carried").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+def accepted(docs: DataFrame, shrink_rows: float = 100.0, quantile: float = 1 - 1e-6, support: float = 0.75) -> DataFrame:
+    """The rows of ``docs`` that are kept, with their own columns; texts are counted again and not shuffled."""
+    counts = cut(text_counts(docs.withColumn("doc_id", F.lit(0)) if "doc_id" not in docs.columns else docs))
+    judge = judges(with_base(counts).filter(~F.col("base_failed")), support, shrink_rows)
+    return judged(text_counts(docs, F.struct(*docs.columns)), judge, quantile).filter("kept").select("carried.*")
