@@ -120,12 +120,13 @@ def format_trees(messages: DataFrame, best: int | None = None, learn: str = "ass
 def as_chain(conversations: DataFrame) -> DataFrame:
     """Messages of ``conversations(conv_id, turn, role, text)``: each row replies to the one before it.
 
-    Rows are ordered by turn (null last), then role and text, so that ties and repeated rows stay.
+    Rows are ordered by turn (null last), then role and text, so that ties and repeated rows stay. A
+    message's score is the length of its text (a chain has one branch, which any score makes the best).
     """
     order = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "text")
     n = F.row_number().over(order).cast("long")
     rows = conversations.select(F.col("conv_id").alias("tree"), n.alias("node"), "role", "text")
-    return rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.lit(0.0))
+    return rows.withColumn("parent", F.when(F.col("node") > 1, F.col("node") - 1)).withColumn("score", F.length("text").cast("double"))
 
 
 def digests(chats: DataFrame) -> DataFrame:

@@ -20,15 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that driver and executors share; a temporary one only where none is set (tests)."""
+    """The checkpoint folder that driver and executors share; without one only a local session (tests) gets a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return sc.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: computed once, written to the shared folder, dropped with the last reference."""
+    """Reliable checkpoint: computed once and written to the shared folder.
+
+    Where spark.cleaner.referenceTracking.cleanCheckpoints is set it goes with the last reference, elsewhere with the folder.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
@@ -41,6 +47,24 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(spark: SparkSession, path: str) -> None:
+    """Delete a table of the shared folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def spread_by_key(docs: DataFrame) -> DataFrame:
+    """(row, key): whole rows as a struct beside a 64-bit key of them, so that no name of theirs can clash."""
+    return docs.select(F.struct(*docs.columns).alias("row"), row_key(*docs.columns).alias("key"))
+
+
+def without_keys(docs: DataFrame, keys: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
+    """Rows of ``docs`` whose row key is not in ``keys(key)``; up to ``broadcast_rows`` keys (16 MB) no text is shuffled."""
+    keys = cut(keys.distinct())
+    few = F.broadcast(keys) if keys.count() <= broadcast_rows else keys
+    return spread_by_key(docs).join(few, "key", "left_anti").select("row.*")
+
+
 def map_rows(df: DataFrame, work: Callable[..., tuple], schema: str) -> DataFrame:
     """Apply ``work(*columns as lists) -> tuple of lists`` to each Arrow batch; ``schema`` names its lists.
 

@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 from quantloom.llm.common import cut, map_rows
 from quantloom.llm.url_filter import host_of
 
+#: Comments; raw text up to its end tag (scripts and styles that never end take the rest, as browsers have it); whole elements that are
+#: no text, where they do end; declarations; tags.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|title|textarea|noscript|template|iframe|svg|math|object|select|button|xmp)\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>(?:.*?</\1\s*>|.*\Z)|<(title|textarea|noscript|template|iframe|xmp)\b[^>]*(?<!/)>(?:(?!<\2\b).)*?</\2\s*>|<[!?][^>]*(?:>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(?:>|\Z)",
     re.S | re.I,
 )
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -34,6 +37,9 @@ MARKS = frozenset(
     "overlay sidebar side aside widget widgets related recommended share sharing social comment comments commentlist respond reply replies disqus breadcrumb breadcrumbs pagination pager menu nav "
     "navbar navigation topbar toolbar footer masthead newsletter subscribe subscription signup login search skip hidden".split()
 )
+#: Elements whose own text is none of the page's; they end with their end tag, or where a block begins that cannot be inside.
+SILENT = frozenset("svg math object select button iframe noscript template textarea".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 CONTENT = frozenset("article content main post entry story body text".split())
 
@@ -54,10 +60,17 @@ def named(attributes: str) -> tuple[str, bool]:
 
 
 def blocks(page: str) -> list[tuple[str, str, int]]:
-    """(container path, raw text, characters of it in links) of each block outside what is never the article."""
-    out: list[tuple[str, str, int]] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path, left out
-    path, skip = "", False
+    """(container path, raw text, characters of it in links) of each block outside what is never the article.
+
+    Marks of what is not the article count on any element, but not on a container that holds most of
+    the page's text (a class like ``has-sidebar`` on the whole page).
+    """
+    found: list[tuple[str, str, int, frozenset[int]]] = []
+    stack: list[tuple[str, str, bool, frozenset[int]]] = []  # tag, path, left out for good, marked containers around
+    path, skip, around = "", False, frozenset()
+    block_skip = False
+    silent, inline = "", ["", 0]  # the silent element that is open; the marked inline element and how often it is open
+    marks = 0
     parts: list[str] = []
     linked = 0
     in_link = False
@@ -68,30 +81,39 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if parts:
             text = "".join(parts)
             if not text.isspace():
-                out.append((path, text, linked))
+                found.append((path, text, linked, around))
             parts.clear()
         linked = 0
 
     for m in TOKEN.finditer(page):
-        if not skip and m.start() > at:
+        if not (skip or block_skip or silent or inline[1]) and m.start() > at:
             text = page[at : m.start()]
             parts.append(text)
             if in_link:
                 linked += len(text)
         at = m.end()
-        name = m[3]
-        if name is None:
+        if m[4] is None:
             continue
-        tag = name.lower()
-        closing = bool(m[2])
-        if tag == "a":
+        tag, closing, given = m[4].lower(), bool(m[3]), m[5]
+        if silent and (tag == silent or tag in BREAKS):
+            silent = ""
+            if tag in SILENT:
+                continue
+        if tag in SILENT:
+            if not (closing or given.rstrip().endswith("/")):
+                silent = tag
+        elif tag == "a":
             in_link = not closing
         elif tag in ("br", "td", "th"):
-            if not skip:
+            if not (skip or block_skip or silent or inline[1]):
                 parts.append(" ")
-        elif tag in BREAKS:
+        if tag in BREAKS:
             end_block()
+            inline[:] = "", 0
+            block_skip = False
+            suffix, junk = named(given) if given and not closing and not given.isspace() else ("", False)
             if tag not in CONTAINERS:
+                block_skip = junk
                 continue
             if closing:
                 k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
@@ -101,15 +123,29 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
                 if tag == "body":
                     while stack and stack[-1][0] == "head":
                         stack.pop()
-                suffix, junk = named(m[4]) if m[4] and not m[4].isspace() else ("", False)
-                inside = any(t in ("article", "main") for t, *_ in stack)
-                junk = (junk and tag not in ("html", "body", "article", "main")) or tag in NEVER or (tag == "header" and not inside)
-                stack.append((tag, f"{stack[-1][1] if stack else ''}/{tag}{suffix}", junk or (bool(stack) and stack[-1][2])))
-            path, skip = (stack[-1][1], stack[-1][2]) if stack else ("", False)
-    if not skip and at < len(page):
+                whole = any(t in WHOLE for t, *_ in stack)
+                never = tag in NEVER or (tag == "header" and not whole)
+                if junk and tag not in ("html", "body", *WHOLE):
+                    marks += 1
+                    around = around | {marks}
+                stack.append((tag, f"{path}/{tag}{suffix}", never or skip, around))
+            path, skip, around = stack[-1][1:] if stack else ("", False, frozenset())
+        elif tag == inline[0]:
+            inline[1] += -1 if closing else 1
+            if not inline[1]:
+                inline[0] = ""
+        elif not (closing or inline[1] or tag in VOID or tag in SILENT) and given and "=" in given and named(given)[1]:
+            inline[:] = tag, 1
+    if not (skip or block_skip or silent or inline[1]) and at < len(page):
         parts.append(page[at:])
     end_block()
-    return out
+    held: Counter = Counter()
+    for _, text, _, marked in found:
+        for k in marked:
+            held[k] += len(text)
+    total = sum(len(text) for _, text, _, _ in found)
+    whole_page = {k for k, n in held.items() if 2 * n > total}
+    return [(p, text, n) for p, text, n, marked in found if marked <= whole_page]
 
 
 def article_around(path: str, found: list[tuple[str, str, int]]) -> str:
@@ -189,7 +225,8 @@ def main_text(pages: DataFrame, broadcast_hosts: int = 100_000) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages(page_id, url, html)``.
 
     Null and empty html give an empty text. Pages without a host form a group of their own.
-    Repeated rows each get their row; other columns are ignored. The winners, a row per host,
+    Repeated rows each get their row; other columns are ignored; an empty table gives an empty
+    result. The winners, a row per host,
     are broadcast up to ``broadcast_hosts`` hosts and joined by a shuffle beyond.
     """
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))

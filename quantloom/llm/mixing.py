@@ -95,14 +95,17 @@ def block_of(slot: pd.Series, key: pd.Series, blocks: pd.Series) -> pd.Series:
     return pd.Series(permuted(slot.to_numpy() % b, key.to_numpy() + epoch * 1_000_003, b))
 
 
-def drawn_slots(goals: DataFrame, shard_slots: int, seed: int) -> DataFrame:
+def drawn_slots(goals: DataFrame, shard_slots: int, seed: int, most_sources: int = 1_000_000) -> DataFrame:
     """(skey, shard, slot, block) for all ``goals(skey, blocks, slots)``: multinomial counts per shard.
 
     A source's slots end exactly at its goal: what the shards drew beyond is left out, and what
-    they fell short goes to one more shard. One row per source reaches the driver.
+    they fell short goes to one more shard. One row per source reaches the driver, ``most_sources``
+    at most; a shard has a row for each source that it drew, so no more than it has slots.
     """
     spark = goals.sparkSession
-    rows = goals.orderBy("skey").collect()
+    rows = goals.orderBy("skey").limit(most_sources + 1).collect()
+    if len(rows) > most_sources:
+        raise ValueError(f"more than {most_sources} sources: group them first")
     total = sum(r["slots"] for r in rows)
     schema = "shard long, i int, n long"
     shards = -(-total // shard_slots) if total else 0
@@ -113,7 +116,8 @@ def drawn_slots(goals: DataFrame, shard_slots: int, seed: int) -> DataFrame:
             for shard in f["id"]:
                 size = min(shard_slots, total - shard * shard_slots)
                 n = np.random.Generator(np.random.Philox(key=[seed, int(shard)])).multinomial(size, chance)
-                yield pd.DataFrame({"shard": int(shard), "i": np.arange(len(n), dtype=np.int32), "n": n})
+                drew = np.nonzero(n)[0]
+                yield pd.DataFrame({"shard": int(shard), "i": drew.astype(np.int32), "n": n[drew]})
 
     counts = spark.range(shards).mapInPandas(draw, schema) if shards else spark.createDataFrame([], schema)
     names = spark.createDataFrame([(i, r["skey"], r["blocks"], r["slots"]) for i, r in enumerate(rows)], "i int, skey string, blocks long, slots long")

@@ -28,7 +28,7 @@ def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text").union(extra)
     named = rows.withColumn("conv_id", F.coalesce(F.col("conv_id").cast("string"), F.lit("")))
-    out = chat.digests(chat.format_trees(chat.as_chain(named)))
+    out = chat.digests(chat.format_trees(chat.as_chain(named), best=1))
     return out.withColumn("conv_id", F.when(F.col("conv_id") != "", F.col("conv_id")).cast("long"))
 
 

@@ -15,7 +15,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.llm.common import cut, map_rows
@@ -39,6 +39,7 @@ COMMON = (
     "example sample dummy placeholder your here insert none null true false value string redacted hidden xxx"
 ).split()
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0?[1-9]|[12]\d|3[01])[-/.](?:0?[1-9]|1[0-2])[-/.](?:(?:19|20)\d\d|\d\d)")
+YEAR = re.compile(r"(?:19|20)\d\d")
 LEET = str.maketrans("4301$57@!", "aeolsstai")
 
 
@@ -47,51 +48,71 @@ def walks() -> dict[str, tuple[int, int]]:
     return {c: (r, i) for r, row in reversed(list(enumerate(ROWS))) for i, c in enumerate(row)}
 
 
-def guess_cost(value: str, ranks: dict[str, int]) -> float:
-    """Least log10 guesses over all segmentations of ``value``."""
+def word_cost(part: str, ranks: dict[str, int]) -> float | None:
+    """log10 guesses of a dictionary word, as it is or with digits for letters, in some capitalisation; None if it is none."""
+    lower = part.lower()
+    rank = ranks.get(lower)
+    turned = ranks.get(lower.translate(LEET)) if rank is None else None
+    if rank is None and turned is None:
+        return None
+    caps, n = sum(x.isupper() for x in part), len(part)
+    variants = 1 if not caps else 2 if caps == n or (caps == 1 and part[0].isupper()) else math.comb(n, caps) + 1
+    return math.log10((rank or turned) + 1) + math.log10(variants) + (0.0 if rank is not None else 0.6)
+
+
+def letter_cost(c: str) -> float:
+    """log10 of the characters of its kind: digits, small or capital letters, other ASCII, the rest."""
+    return math.log10(10 if c.isdigit() else 26 if c.islower() or c.isupper() else 33 if c.isascii() else 1000)
+
+
+def segments(value: str, i: int, ranks: dict[str, int], longest: int) -> Iterator[tuple[int, float]]:
+    """(end, log10 guesses) of every word, date, repeat and keyboard walk that begins at ``i``."""
+    n, c = len(value), value[i]
+    ends = {m.end() for m in [DATE.match(value, i)] if m} | ({i + 4} if YEAR.match(value, i) else set())
+    yield from ((j, 2.0 if j - i <= 4 else 4.6) for j in ends)
+    j = n if i and value[i - 1] == c else i + 1
+    while j < n and value[j] == c:  # the same character again, from where it begins
+        j += 1
+        if j - i >= 3:
+            yield j, letter_cost(c) + math.log10(j - i)
+    row, place = WALKS.get(c.lower(), (-1, 0))
+    for step in (1, -1):  # a walk along a row of keys
+        j, at = i + 1, place + step
+        while j < n and row >= 0 and 0 <= at < len(ROWS[row]) and ROWS[row][at] == value[j].lower():
+            j, at = j + 1, at + step
+            if j - i >= 3:
+                yield j, math.log10(4 * 10 * (j - i))
+    for j in range(i + 3, min(n, i + longest) + 1):
+        cost = word_cost(value[i:j], ranks)
+        if cost is not None:
+            yield j, cost
+    for size in range(2, (n - i) // 2 + 1):  # a block that repeats at once, from where it begins
+        if value[i + size] != c or value[i : i + size] != value[i + size : i + 2 * size] or (i >= size and value[i - size : i] == value[i : i + size]):
+            continue
+        block, j = value[i : i + size], i + size
+        while value[j : j + size] == block:
+            j += size
+            yield j, size * math.log10(36) + math.log10((j - i) // size)
+
+
+def guess_cost(value: str, ranks: dict[str, int], longest: int = 48, enough: float | None = None) -> float:
+    """Least log10 guesses over all segmentations of ``value``; words are looked up to ``longest`` characters.
+
+    With ``enough`` the search ends as soon as it is known on which side of it the cost lies, and some
+    number on that side is returned: no later segment can lower what all segmentations so far have reached.
+    """
     n = len(value)
-    lower = value.lower()
-    plain = lower.translate(LEET)
     best = [0.0] + [math.inf] * n
-    dates: dict[int, list[int]] = {}
-    for i in range(n):
-        ends = {m.end() for m in [DATE.match(value, i)] if m} | ({i + 4} if re.match(r"(?:19|20)\d\d", value[i : i + 4]) else set())
-        dates[i] = sorted(ends)
+    reached = {}  # what segmentations have got to, beyond the place being looked at
     for i in range(n):
+        reached.pop(i, None)
         here = best[i] + (math.log10(2) if i else 0.0)  # another segment doubles what must be tried
-        c = value[i]
-        size = 10 if c.isdigit() else 26 if c.islower() else 26 if c.isupper() else 33 if c.isascii() else 1000
-        best[i + 1] = min(best[i + 1], best[i] + math.log10(size))
-        for j in dates[i]:
-            best[j] = min(best[j], here + (2.0 if j - i <= 4 else 4.6))
-        j = n if i and value[i - 1] == c else i + 1
-        while j < n and value[j] == c:  # the same character again, from where it begins
-            j += 1
-            if j - i >= 3:
-                best[j] = min(best[j], here + math.log10(size * (j - i)))
-        for step in (1, -1):  # a walk along a row of keys
-            j = i + 1
-            row, place = WALKS.get(lower[i], (-1, 0))
-            while j < n and row >= 0 and ROWS[row][place + step * (j - i) : place + step * (j - i) + 1] == lower[j] and place + step * (j - i) >= 0:
-                j += 1
-                if j - i >= 3:
-                    best[j] = min(best[j], here + math.log10(4 * 10 * (j - i)))
-        for j in range(i + 3, min(n, i + 24) + 1):
-            rank = ranks.get(lower[i:j])
-            turned = ranks.get(plain[i:j]) if rank is None else None
-            if rank is not None or turned is not None:
-                caps = sum(x.isupper() for x in value[i:j])
-                variants = 1 if not caps else 2 if caps == j - i or (caps == 1 and value[i].isupper()) else math.comb(j - i, caps) + 1
-                cost = math.log10((rank or turned) + 1) + math.log10(variants) + (0.0 if rank is not None else 0.6)
-                best[j] = min(best[j], here + cost)
-        for size_ in range(2, min(12, (n - i) // 2) + 1):  # a block that repeats at once
-            block, j = value[i : i + size_], i + size_
-            if i >= size_ and value[i - size_ : i] == block:
-                continue
-            while value[j : j + size_] == block:
-                j += size_
-            if j - i > size_:
-                best[j] = min(best[j], here + size_ * math.log10(36) + math.log10((j - i) // size_))
+        best[i + 1] = reached[i + 1] = min(best[i + 1], best[i] + letter_cost(value[i]))
+        for j, cost in segments(value, i, ranks, longest):
+            if here + cost < best[j]:
+                best[j] = reached[j] = here + cost
+        if enough is not None and (best[n] < enough or min(reached.values()) >= enough):
+            return min(reached.values()) if best[n] >= enough else best[n]
     return best[n]
 
 
@@ -135,7 +156,7 @@ def secret_spans(text: bytes | None, ranks: dict[str, int], least_cost: float =
         if any(x <= a and b <= y for x, y in values):
             continue
         partly = any(x < b and a < y for x, y in values)  # what the base patterns found is not all of the value
-        if partly or guess_cost(value.decode("utf-8", "replace"), ranks) >= least_cost:
+        if partly or guess_cost(value.decode("utf-8", "replace"), ranks, enough=least_cost) >= least_cost:
             found.append(("guess", *m.span()[:1], b, a, b))
     if not text.isascii() and found:
         ends = sorted({x for _, *span in found for x in span})
@@ -177,19 +198,19 @@ def word_ranks(docs: DataFrame, top: int = 20_000) -> dict[str, int]:
     return ranks
 
 
-def scanned(docs: DataFrame, top: int = 20_000, least_cost: float = 8.0) -> DataFrame:
-    """``docs`` plus a column ``_secret_spans``: array of kind:start:end:value_start:value_end strings."""
+def scanned(docs: DataFrame, carry: Column, top: int = 20_000, least_cost: float = 8.0) -> DataFrame:
+    """(carried, text, spans) for each row of ``docs``: spans are kind:start:end:value_start:value_end strings."""
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, top))
-    columns = docs.columns
-    fields = docs.withColumn("_secret_spans", F.array().cast("array<string>")).schema
+    slim = docs.select(carry.alias("carried"), "text")
+    fields = slim.withColumn("spans", F.array().cast("array<string>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(columns.index("text")).cast(pa.binary()).to_pylist()
+            texts = b.column(1).cast(pa.binary()).to_pylist()
             spans = [[":".join(map(str, s)) for s in secret_spans(t, ranks.value, least_cost)] for t in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, pa.list_(pa.string()))], names=[*columns, "_secret_spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, pa.list_(pa.string()))], names=fields.names)
 
-    return docs.mapInArrow(run, fields)
+    return slim.mapInArrow(run, fields)
 
 
 def secret_report(docs: DataFrame, top: int = 20_000, least_cost: float = 8.0) -> DataFrame:
@@ -197,20 +218,25 @@ def secret_report(docs: DataFrame, top: int = 20_000, least_cost: float = 8.0) -
 
     Spans are those of whole matches; kind guess adds credential values that no base span covers
     whole: those of high guess cost, and those of which a base span covers a part.
-    Null and empty texts have none; repeated rows each get their row; other columns are ignored.
+    Null and empty texts have none; repeated rows each get their row; other columns are ignored;
+    an empty table gives an empty result.
     """
-    found = scanned(docs.select(F.col("doc_id").cast("long"), "text"), top, least_cost)
+    found = scanned(docs, F.col("doc_id").cast("long"), top, least_cost)
     part = lambda s, i: F.element_at(F.split(s, ":"), i)
-    short = F.transform("_secret_spans", lambda s: F.substring_index(s, ":", 3))
+    short = F.transform("spans", lambda s: F.substring_index(s, ":", 3))
     base = F.filter(short, lambda s: part(s, 1) != "guess")
     n = lambda kind: F.size(F.filter(short, lambda s: part(s, 1) == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(short, ",").alias("spans"))
+    return found.select(F.col("carried").alias("doc_id"), n("assign"), n("access"), n("hex"), F.sha2(F.array_join(base, ",").cast("binary"), 256).alias("base_sha256"), F.array_join(short, ",").alias("spans"))
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]", top: int = 20_000, least_cost: float = 8.0) -> DataFrame:
-    """``docs`` with every secret value replaced by ``mark`` and n_chars counted anew; clean rows are unchanged."""
-    found = scanned(docs, top, least_cost)
-    ends = F.transform("_secret_spans", lambda s: F.struct(F.element_at(F.split(s, ":"), 4).cast("int").alias("a"), F.element_at(F.split(s, ":"), 5).cast("int").alias("b")))
+    """``docs`` with every secret value replaced by ``mark`` and n_chars counted anew; clean rows are unchanged.
+
+    All columns stay, whatever their names; null texts stay null, and an empty table stays empty.
+    """
+    found = scanned(docs, F.struct(*docs.columns), top, least_cost)
+    end = lambda s, i: F.element_at(F.split(s, ":"), i).cast("int")
+    ends = F.transform("spans", lambda s: F.struct(end(s, 4).alias("a"), end(s, 5).alias("b")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc, x):
@@ -218,7 +244,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", top: int = 20_000, least_c
         return F.struct(fresh.alias("out"), F.greatest(acc["at"], x["b"]).alias("at"))
 
     done = F.aggregate(F.array_sort(ends), start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(1 << 30))))
-    text = F.when(F.size("_secret_spans") > 0, done).otherwise(F.col("text"))
-    out = found.withColumn("_new", text)
-    chars = {"n_chars": F.when(F.size("_secret_spans") > 0, F.length("_new").cast("long")).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {}
-    return out.withColumns({**chars, "text": F.col("_new")}).select(*docs.columns)
+    clean = F.size("spans") == 0
+    out = found.select("carried", clean.alias("clean"), F.when(clean, F.col("text")).otherwise(done).alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("clean"), F.col("carried.n_chars")).otherwise(F.length("text").cast("long"))}
+    return out.select(*(new.get(c, F.col("carried").getField(c)).alias(c) for c in docs.columns))

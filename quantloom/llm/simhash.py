@@ -120,7 +120,10 @@ def near_links(fps: DataFrame, bits: int = 2) -> DataFrame:
     Not every such pair is listed, but every one is connected by the rows listed.
     """
     shared = BYTES - bits
-    lists = postings(fps.select("fp").distinct(), shared).groupBy("key").agg(F.collect_list(F.struct("free", "fp")).alias("m")).filter(F.size("m") > 1)
+    distinct = fps.select("fp").distinct()
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out evenly first: 28 postings are made of each row, too much for the few tasks that so narrow a table is read in
+    lists = postings(distinct.repartition(tasks), shared).groupBy("key").agg(F.collect_list(F.struct("free", "fp")).alias("m")).filter(F.size("m") > 1)
     slim = lists.select(F.col("m.free").alias("free"), F.col("m.fp").alias("fp"))
 
     def verify(frees, members):
