@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +25,11 @@ def momentum(df: DataFrame, periods: Sequence[int] = (5, 10, 20)) -> DataFrame:
 
 
 def volatility(df: DataFrame, window: int = 20) -> DataFrame:
-    df = df.withColumn("_ret", daily_return())
-    return df.withColumn("volatility", full_window(F.stddev_samp("_ret").over(rolling(window)), "_ret", rolling(window), window)).drop("_ret")
+    return with_volatility(df.withColumn("_ret", daily_return()), window).drop("_ret")
+
+
+def with_volatility(df: DataFrame, window: int) -> DataFrame:
+    return df.withColumn("volatility", full_window(F.stddev_samp("_ret").over(rolling(window)), "_ret", rolling(window), window))
 
 
 def turnover_adjusted(df: DataFrame, window: int = 5) -> DataFrame:
@@ -35,9 +39,13 @@ def turnover_adjusted(df: DataFrame, window: int = 5) -> DataFrame:
 
 
 def volume_price_trend(df: DataFrame) -> DataFrame:
+    return with_volume_price_trend(df.withColumn("_ret", daily_return())).drop("_ret")
+
+
+def with_volume_price_trend(df: DataFrame) -> DataFrame:
     moved = F.coalesce((F.col("volume") - F.lag("volume").over(by_code())) * F.col("_ret"), F.lit(0.0))
     running = by_code().rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("_ret", daily_return()).withColumn("_m", moved).withColumn("vpt", F.sum("_m").over(running)).drop("_ret", "_m")
+    return df.withColumn("_m", moved).withColumn("vpt", F.sum("_m").over(running)).drop("_m")
 
 
 def bollinger_bands(df: DataFrame, window: int = 20, width: float = 2.0) -> DataFrame:
@@ -63,8 +71,8 @@ def average_true_range(df: DataFrame, window: int = 14) -> DataFrame:
 
 def industry_neutral(df: DataFrame, value: str, industry: str = "industry", by: Sequence[str] = ()) -> DataFrame:
     """Value minus its industry's mean (per date with ``by``); null without an industry."""
-    mean = F.avg(value).over(Window.partitionBy(industry, *by))
-    return df.withColumn(f"{value}_neutral", F.when(F.col(industry).isNotNull(), F.col(value) - mean))
+    means = df.groupBy(industry, *by).agg(F.avg(value).alias("_mean")).filter(F.col(industry).isNotNull())
+    return df.join(means, [industry, *by], "left").withColumn(f"{value}_neutral", F.col(value) - F.col("_mean")).drop("_mean").select(*df.columns, f"{value}_neutral")
 
 
 def cap_neutral(df: DataFrame, value: str, cap: str, by: Sequence[str] = (DATE,)) -> DataFrame:
@@ -79,8 +87,9 @@ def cap_neutral(df: DataFrame, value: str, cap: str, by: Sequence[str] = (DATE,)
 
 
 def all_factors(df: DataFrame) -> DataFrame:
-    """The common set; windows over one order share one sort."""
-    return average_true_range(volume_price_trend(bollinger_position(volatility(momentum(df, (5, 20))))))
+    """The common set; windows over one order share one sort, and the daily return is computed once."""
+    df = momentum(df, (5, 20)).withColumn("_ret", daily_return())
+    return average_true_range(with_volume_price_trend(bollinger_position(with_volatility(df, 20)))).drop("_ret")
 
 
 def moving_averages(df: DataFrame, windows: Sequence[int] = (5, 20)) -> DataFrame:
@@ -88,28 +97,31 @@ def moving_averages(df: DataFrame, windows: Sequence[int] = (5, 20)) -> DataFram
 
 
 def relative_strength(df: DataFrame, window: int = 14) -> DataFrame:
+    """From the first row on, over as many rows as there are; the first row has no change and so 0."""
     delta = F.col("close") - F.lag("close").over(by_code())
     df = df.withColumns({"_up": F.greatest(F.coalesce(delta, F.lit(0.0)), F.lit(0.0)), "_down": F.greatest(F.coalesce(-delta, F.lit(0.0)), F.lit(0.0))})
     w = rolling(window)
     ratio = F.avg("_up").over(w) / (F.avg("_down").over(w) + 1e-10)
-    return df.withColumn("rsi", full_window(100 - 100 / (1 + ratio), "close", w, window)).drop("_up", "_down")
-
-
-def weighted_mean(value: str, span: int, tail: float = 1e-12) -> Column:
-    """Exponentially weighted mean with adjusted weights, over the rows whose weight is above ``tail``."""
-    keep = 1 - 2 / (span + 1)
-    rows = 1
-    while keep**rows > tail:
-        rows += 1
-    recent = F.reverse(F.collect_list(value).over(rolling(rows)))
-    zero = F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("w"), F.lit(1.0).alias("f"))
-    total = F.aggregate(recent, zero, lambda a, x: F.struct((a["s"] + a["f"] * x).alias("s"), (a["w"] + a["f"]).alias("w"), (a["f"] * keep).alias("f")), lambda a: F.try_divide(a["s"], a["w"]))
-    return total
+    return df.withColumn("rsi", 100 - 100 / (1 + ratio)).drop("_up", "_down")
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    df = df.withColumn("macd", weighted_mean("close", fast) - weighted_mean("close", slow))
-    return df.withColumn("macd_signal", weighted_mean("macd", signal)).withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
+    """Difference of two exponentially weighted means (adjusted weights), its own such mean, and what is between them.
+
+    A recurrence over a stock's days, which no window frame expresses: one pass of a stock's history in pandas.
+    """
+    names = ("macd", "macd_signal", "macd_hist")
+    fields = df.drop(*names).schema
+    for name in names:
+        fields = fields.add(name, "double")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(DATE)
+        mean = lambda x, span: x.ewm(span=span, adjust=True).mean()
+        line = mean(pdf["close"], fast) - mean(pdf["close"], slow)
+        return pdf.assign(macd=line, macd_signal=mean(line, signal), macd_hist=line - mean(line, signal))
+
+    return df.drop(*names).groupBy(CODE).applyInPandas(run, fields)
 
 
 def period_end(date: str, freq: str) -> Column:

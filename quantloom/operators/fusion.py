@@ -45,12 +45,12 @@ def z_scores(macro: DataFrame, ids: list[str], lookback: int) -> DataFrame:
     return grid.select("trade_date", *z).dropna()
 
 
-def macro_factor(macro: DataFrame, ids: list[str], lookback: int = 12) -> DataFrame:
+def macro_factor(macro: DataFrame, ids: list[str], lookback: int = 20) -> DataFrame:
     total = sum((F.col(c) for c in ids[1:]), F.col(ids[0]))
     return z_scores(macro, ids, lookback).select("trade_date", (total / len(ids)).alias("macro_factor"))
 
 
-def macro_factor_pca(macro: DataFrame, ids: list[str], lookback: int = 12) -> DataFrame:
+def macro_factor_pca(macro: DataFrame, ids: list[str], lookback: int = 20) -> DataFrame:
     """First principal component of the centred z-scores; its largest loading is positive."""
     z = z_scores(macro, ids, lookback).cache()
     means = z.agg(*(F.avg(c).alias(c) for c in ids)).first()  # one row

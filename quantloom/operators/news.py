@@ -33,15 +33,15 @@ def report_sentiment(reports: DataFrame, code: str, start: dt.date | None = None
 
 
 def sentiment_stocks(news: DataFrame, label: str, date: dt.date | None = None, limit: int | None = 20) -> DataFrame:
-    """Stocks of a day's news with a label (the last such day by default), by mean score, extreme first."""
+    """Stocks of a day's news with a label, highest mean score first; by default the last day of all news, with the label or not."""
     rows = news.filter(F.col("sentiment_label") == label)
     if date is None:
-        last = rows.agg(F.max("publish_date").alias("_last"))
+        last = news.agg(F.max("publish_date").alias("_last"))
         rows = rows.join(F.broadcast(last), F.col("publish_date") == F.col("_last"))  # one row
     else:
         rows = between(rows, date, date, "publish_date")
     scores = rows.select("sentiment_score", F.explode("related_stocks").alias("stock_code")).groupBy("stock_code").agg(F.avg("sentiment_score").alias("mean"), F.count(F.lit(1)).alias("n"))
-    scores = scores.orderBy(F.asc("mean") if label == "negative" else F.desc("mean"), "stock_code")
+    scores = scores.orderBy(F.desc("mean"), "stock_code")
     return scores if limit is None else scores.limit(limit)
 
 
@@ -70,7 +70,9 @@ def sentiment_signals(news: DataFrame, label: str, date: dt.date, least: int = 2
     return first.orderBy(F.asc("mean") if label == "negative" else F.desc("mean"), "stock_code").limit(top)
 
 
-def event_study(news: DataFrame, code: str, event: dt.date, days: int = 5) -> DataFrame:
+def event_study(news: DataFrame, code: str, event: dt.date, days: int = 10) -> DataFrame:
+    """Mean score before and on or after a day, within ``days`` of it, and the change."""
     near = between(news, event - dt.timedelta(days), event + dt.timedelta(days), "publish_date").filter(F.array_contains("related_stocks", code))
     before = F.col("publish_date") < F.lit(event)
-    return near.agg(F.avg(F.when(before, F.col("sentiment_score"))).alias("before"), F.avg(F.when(~before, F.col("sentiment_score"))).alias("after"), F.count(F.lit(1)).alias("n"))
+    means = near.agg(F.avg(F.when(before, F.col("sentiment_score"))).alias("before"), F.avg(F.when(~before, F.col("sentiment_score"))).alias("after"), F.count(F.lit(1)).alias("n"))
+    return means.withColumn("change", F.col("after") - F.col("before"))

@@ -58,8 +58,11 @@ def date_range(versions: DataFrame) -> DataFrame:
 
 
 def panel(rows: DataFrame, fields: Sequence[str], codes: Sequence[str], by: str = "trade_date") -> DataFrame:
-    """Per date one array for each field in the order of ``codes``, null where a code has none; one scan for all fields."""
-    rows = members(rows, codes)
+    """Per date one array for each field in the order of ``codes``, null where a code has none; one scan for all fields.
+
+    Of several rows of a date and code (versions loaded at one time) each field takes the greatest.
+    """
+    rows = members(rows, codes).groupBy(by, "stock_code").agg(*(F.max(f).alias(f) for f in fields))
     maps = [F.map_from_entries(F.collect_list(F.struct("stock_code", f))).alias(f) for f in fields]
     slots = F.array(*map(F.lit, codes))
     out = rows.groupBy(by).agg(*maps)

@@ -49,6 +49,10 @@ class Tables:
     def latest_bars(self) -> DataFrame:
         return pit.latest(self.bars_versions, non_null=("close",))
 
+    def codes(self) -> list[str]:
+        """All stock codes: the columns of a matrix of prices."""
+        return [r["stock_code"] for r in self.stock_info.select("stock_code").orderBy("stock_code").collect()]
+
     def pe(self, date: dt.date) -> DataFrame:
         return factors.factor("PE", self.factor_long, start=date, end=date)
 
@@ -334,7 +338,7 @@ register("n2_aggregation", f"select cast(date_trunc('week', publish_date) as dat
 register("n3_report_sentiment", "select report_id, publish_date, brokerage, sentiment_score from {report_sentiment} where related_stock = '000007'", "sentiment_score")(
     lambda t: news.report_sentiment(t.report_sentiment, "000007").select("report_id", "publish_date", "brokerage", "sentiment_score")
 )
-register("n4_sentiment_stocks", "select stock_code, avg(sentiment_score) as mean, count(*) as n from {news_stocks} where sentiment_label = 'positive' and publish_date = (select max(publish_date) from {news_sentiment} where sentiment_label = 'positive') group by 1", "mean")(
+register("n4_sentiment_stocks", "select stock_code, avg(sentiment_score) as mean, count(*) as n from {news_stocks} where sentiment_label = 'positive' and publish_date = (select max(publish_date) from {news_sentiment}) group by 1", "mean")(
     lambda t: news.sentiment_stocks(t.news_sentiment, "positive", limit=None)
 )
 register("n5_trend", "select stock_code, publish_date, mean, avg(mean) over (partition by stock_code order by publish_date rows between 4 preceding and current row) as moving from (select stock_code, publish_date, avg(sentiment_score) as mean from {news_stocks} group by 1, 2) x", "mean moving")(
@@ -392,7 +396,7 @@ register(
 register("c10_moving_averages", f"select trade_date, stock_code, avg(close) {frame_sql(5)} as ma_5, avg(close) {frame_sql(20)} as ma_20 from {{bars}}", "ma_5 ma_20", 4)(lambda t: calc.moving_averages(t.bars).select("trade_date", "stock_code", "ma_5", "ma_20"))
 register(
     "c11_relative_strength",
-    f"select trade_date, stock_code, case when count(close) {frame_sql(14)} = 14 then 100 - 100 / (1 + avg(up) {frame_sql(14)} / (avg(down) {frame_sql(14)} + 1e-10)) end as rsi from (select *, greatest(coalesce(close - lag(close) over ({_w}), 0), 0) as up, greatest(coalesce(lag(close) over ({_w}) - close, 0), 0) as down from {{bars}}) x",
+    f"select trade_date, stock_code, 100 - 100 / (1 + avg(up) {frame_sql(14)} / (avg(down) {frame_sql(14)} + 1e-10)) as rsi from (select *, greatest(coalesce(close - lag(close) over ({_w}), 0), 0) as up, greatest(coalesce(lag(close) over ({_w}) - close, 0), 0) as down from {{bars}}) x",
     "rsi", 5,
 )(lambda t: calc.relative_strength(t.bars).select("trade_date", "stock_code", "rsi"))
 
@@ -406,12 +410,12 @@ def ewm_sql(source: str, value: str, span: int, name: str, keep: str) -> str:
  from (select *, list({value}) over ({_w} rows between {rows - 1} preceding and current row) as recent from ({source}) s_{name}) r_{name}"""
 
 
-_macd_rows = "select trade_date, stock_code, close from {bars} where stock_code in ('000001', '000002', '000007')"
+_macd_rows = "select trade_date, stock_code, close from {bars}"
 _fast = ewm_sql(_macd_rows, "close", 12, "fast", "trade_date, stock_code, close")
 _slow = ewm_sql(_fast, "close", 26, "slow", "trade_date, stock_code, fast")
 _signal = ewm_sql(f"select trade_date, stock_code, fast - slow as macd from ({_slow}) q", "macd", 9, "macd_signal", "trade_date, stock_code, macd")
 register("c12_macd", f"select trade_date, stock_code, macd, macd_signal, macd - macd_signal as macd_hist from ({_signal}) z", "macd macd_signal macd_hist", 4)(
-    lambda t: calc.macd(t.bars.filter(F.col("stock_code").isin(*CODES))).select("trade_date", "stock_code", "macd", "macd_signal", "macd_hist")
+    lambda t: calc.macd(t.bars.select("trade_date", "stock_code", "close")).select("trade_date", "stock_code", "macd", "macd_signal", "macd_hist")
 )
 register("c13_bollinger_bands", f"select trade_date, stock_code, m as bb_middle, s as bb_std, m + 2 * s as bb_upper, m - 2 * s as bb_lower from (select *, {_bb} from {{bars}}) x", "bb_middle bb_std bb_upper bb_lower", 4)(
     lambda t: calc.bollinger_bands(t.bars).select("trade_date", "stock_code", "bb_middle", "bb_std", "bb_upper", "bb_lower")
@@ -424,7 +428,7 @@ register("c15_filled_calendar", f"select stock_code, trade_date, last_value(clos
 )
 _cw = ", ".join(f"max(case when stock_code = '{c}' then close end) as \"{c}\"" for c in CODES)
 register("c16_long_to_wide", f"select trade_date, {_cw} from {{bars}} where {IN_CODES} group by trade_date", " ".join(f'"{c}"' for c in CODES), 7)(lambda t: calc.wide(t.bars, "close", CODES))
-register("c16_wide_to_long", f"select trade_date, stock_code, close from {{bars}} where {IN_CODES}", "close", 7)(lambda t: calc.long(calc.wide(t.bars, "close", CODES), "close"))
+register("c16_wide_to_long", "select trade_date, stock_code, close from {bars}", "close", 7)(lambda t: calc.long(calc.wide(t.bars, "close", t.codes()), "close"))
 
 # --- X: multi-source ---------------------------------------------------------------------------------------------
 
@@ -434,8 +438,8 @@ register("x1_macro_factor_spearman", f"""select indicator_id, factor_name, count
     lambda t: fusion.macro_factor_correlation(t.macro_data.withColumn("value", F.round("value", 9)), t.factor_long, "spearman")
 )
 register("x2_macro_factor_matrix", f"select indicator_id, factor_name, count(*) as n, case when count(*) < 3 then 0 else {corr('x', 'y')} end as corr from {_pairs} p group by 1, 2", "corr", 5)(lambda t: fusion.macro_factor_correlation(t.macro_data, t.factor_long))
-_z = ", ".join(f"case when count({i}) over w = 12 then ({i} - avg({i}) over w) / nullif(stddev_samp({i}) over w, 0) end as {i}" for i in IDS)
-_zs = f"(select trade_date, {_z} from (select trade_date, {_mm} from {{macro_data}} where value_type = 'raw' group by trade_date) g window w as (order by trade_date rows between 11 preceding and current row))"
+_z = ", ".join(f"case when count({i}) over w = 20 then ({i} - avg({i}) over w) / nullif(stddev_samp({i}) over w, 0) end as {i}" for i in IDS)
+_zs = f"(select trade_date, {_z} from (select trade_date, {_mm} from {{macro_data}} where value_type = 'raw' group by trade_date) g window w as (order by trade_date rows between 19 preceding and current row))"
 register("x3_macro_factor", f"select trade_date, (PMI + CPI_yoy + M2_yoy) / 3 as macro_factor from {_zs} z where PMI is not null and CPI_yoy is not null and M2_yoy is not null", "macro_factor", 5)(lambda t: fusion.macro_factor(t.macro_data, IDS))
 register("x4_macro_factor_pca", None)(lambda t: fusion.macro_factor_pca(t.macro_data, IDS))
 register("x5_regime_counts", f"select regime, count(*) as n from (select case when PMI >= 50 and CPI_yoy >= 2 then '过热' when PMI >= 50 and CPI_yoy < 2 then '复苏' when PMI < 50 and CPI_yoy >= 2 then '滞胀' else '衰退' end as regime from (select trade_date, {_mm} from {{macro_data}} where value_type = 'raw' group by trade_date) x) y group by regime")(
@@ -453,7 +457,7 @@ register("x7_sentiment_factor", "select bucket, mean, n, avg(mean) over (order b
 register("x8_sentiment_signals", "select * from (select * from (select stock_code, avg(sentiment_score) as mean, count(*) as n from {news_stocks} where sentiment_label = 'positive' and publish_date = date '1998-01-15' group by 1) s order by mean desc, stock_code limit 20) q where n >= 2 order by mean desc, stock_code limit 10", "mean")(
     lambda t: news.sentiment_signals(t.news_sentiment, "positive", DAY)
 )
-register("x9_event_study", "select avg(case when publish_date < date '1998-01-15' then sentiment_score end) as before, avg(case when publish_date >= date '1998-01-15' then sentiment_score end) as after, count(*) as n from {news_sentiment} where publish_date between date '1998-01-10' and date '1998-01-20' and '000007' in (stock_a, stock_b)", "before after")(
+register("x9_event_study", "select avg(case when publish_date < date '1998-01-15' then sentiment_score end) as before, avg(case when publish_date >= date '1998-01-15' then sentiment_score end) as after, count(*) as n, avg(case when publish_date >= date '1998-01-15' then sentiment_score end) - avg(case when publish_date < date '1998-01-15' then sentiment_score end) as change from {news_sentiment} where publish_date between date '1998-01-05' and date '1998-01-25' and '000007' in (stock_a, stock_b)", "before after change")(
     lambda t: news.event_study(t.news_sentiment, "000007", DAY)
 )
 _mood = "(select publish_date as trade_date, stock_code, avg(sentiment_score) as score from (select distinct news_id, publish_date, stock_code, sentiment_score from {news_stocks}) d group by 1, 2)"
@@ -497,16 +501,18 @@ register(
 
 # --- L: loading --------------------------------------------------------------------------------------------------
 
-_long_day = f"select trade_date, stock_code, close from {{bars}} where {IN_CODES}"
-register("l3_unpivot_matrix", _long_day, "close", 7)(lambda t: ingest.unpivot_matrix(calc.wide(t.bars, "close", CODES)).withColumnRenamed("val", "close"))
-register("l4_append_version", f"select trade_date, stock_code, cast(null as double) as open, close from {{bars}} where {IN_CODES}", "open close", 7)(
-    lambda t: ingest.as_version(ingest.unpivot_matrix(calc.wide(t.bars, "close", CODES)), "close", "2024-01-01")[1].select("trade_date", "stock_code", "open", "close")
+_long_day = "select trade_date, stock_code, close from {bars}"
+register("l3_unpivot_matrix", _long_day, "close", 7)(lambda t: ingest.unpivot_matrix(calc.wide(t.bars, "close", t.codes())).withColumnRenamed("val", "close"))
+register("l4_append_version", "select trade_date, stock_code, cast(null as double) as open, close from {bars}", "open close", 7)(
+    lambda t: ingest.as_version(ingest.unpivot_matrix(calc.wide(t.bars, "close", t.codes())), "close", "2024-01-01")[1].select("trade_date", "stock_code", "open", "close")
 )
 _wide = "trade_date, stock_code, arg_max(factor_value, loaded_at) filter (where factor_name = 'PE') as PE, arg_max(factor_value, loaded_at) filter (where factor_name = 'PB') as PB"
 register("l5_column_upsert", f"select coalesce(w.trade_date, n.trade_date) as trade_date, coalesce(w.stock_code, n.stock_code) as stock_code, coalesce(n.v, PE) as PE, PB from (select {_wide} from {{factor_long}} where factor_name in ('PE', 'PB') group by 1, 2) w full join (select trade_date, stock_code, 99.0 as v from {{bars}} where {IN_CODES}) n on w.trade_date = n.trade_date and w.stock_code = n.stock_code", "PE PB")(
     lambda t: sinks.with_column_upserted(sinks.pivoted(t.factor_long, ["PE", "PB"]).drop("loaded_at"), members(t.bars, CODES).select("trade_date", "stock_code", F.lit(99.0).alias("factor_value")), "PE")
 )
-register("l6_factor_columns", "select unnest(['PE', 'PB', 'ROE']) as factor_name")(lambda t: t.spark.createDataFrame([(c,) for c in sinks.factor_columns(wide_factors(t))], "factor_name string"))
+register("l6_factor_columns", f"select 'PE' as field, count(PE) as n from (select {_wide} from {{factor_long}} group by 1, 2) w union all select 'PB', count(PB) from (select {_wide} from {{factor_long}} group by 1, 2) w2 union all select 'ROE', count(*) from (select distinct trade_date, stock_code from {{factor_long}} where factor_name = 'ROE') r union all select 'ROA', 0")(
+    lambda t: (lambda wide: sinks.field_counts(wide, sinks.factor_columns(wide)))(sinks.with_factor_column(sinks.with_factor_column(wide_factors(t), "ROA"), "ROA"))
+)
 register("l7_pivot", f"select {_wide}, arg_max(factor_value, loaded_at) filter (where factor_name = 'ROE') as ROE, cast(max(loaded_at) as date) as loaded from {{factor_long}} group by 1, 2", "PE PB ROE")(
     lambda t: wide_factors(t).withColumn("loaded", F.to_date("loaded_at")).drop("loaded_at")
 )
@@ -549,8 +555,12 @@ register("l23_market_factors", "select trade_date, 'MARKET' as stock_code, 'PMI'
 register("l25_macro_replace", "select trade_date, indicator_id, value_type, case when indicator_id = 'PMI' and value_type = 'raw' then 1.0 else value end as value from {macro_data}", "value")(
     lambda t: sinks.replaced_by_key(ingest.macro_rows(t.macro_data), ingest.macro_rows(t.macro_data.filter("indicator_id = 'PMI' and value_type = 'raw'").select(F.col("trade_date").alias("date"), F.col("indicator_id").alias("indicator"), F.lit(1.0).alias("val"))), ("trade_date", "indicator_id", "value_type")).select(*_mc)
 )
-register("l26_indicator_upsert", "select indicator_id, category from {macro_indicators} union all select 'NEW', 'other'")(
-    lambda t: sinks.ignored_if_exists(t.macro_indicators, t.spark.createDataFrame([("PMI", "ignored"), ("NEW", "other")], "indicator_id string, category string"), ("indicator_id",)).select("indicator_id", "category")
+register("l26_indicator_upsert", "select indicator_id, category from {macro_indicators} union all select distinct p_brand, 'brand' from {part}")(
+    lambda t: sinks.ignored_if_exists(
+        t.macro_indicators,
+        t.part.select(F.col("p_brand").alias("indicator_id"), F.lit("brand").alias("category")).union(t.macro_data.select("indicator_id", F.lit("ignored"))),
+        ("indicator_id",),
+    ).select("indicator_id", "category")
 )
 register("l27_news_rows", "select news_id, publish_date, title, stock_a as first_stock, stock_b as second_stock from {news_sentiment}")(
     lambda t: ingest.news_rows(t.news_sentiment.select(F.col("news_id").alias("id"), F.col("publish_date").alias("date"), "title", F.array_join("related_stocks", " , ").alias("stocks"))).select("news_id", "publish_date", "title", F.col("related_stocks")[0].alias("first_stock"), F.col("related_stocks")[1].alias("second_stock"))
@@ -570,7 +580,9 @@ register("l33_top_names", "select factor_name, count(*) as n from {factor_long}
 
 _bad = lambda t: t.bars.withColumn("high", F.when(F.col("volume") % 7 == 0, F.col("low") - 1).otherwise(F.col("high")))
 _badsql = "(select *, case when volume % 7 = 0 then low - 1 else high end as h from {bars})"
-register("v1_missing_columns", "select 'adj' as column_name")(lambda t: t.spark.createDataFrame([(c,) for c in checks.missing_columns(t.bars, ["close", "adj"])], "column_name string"))
+register("v1_missing_columns", "select 'adj' as column_name, count(*) as n_rows, count(*) = 0 as is_empty from {bars}")(
+    lambda t: t.bars.agg(F.count(F.lit(1)).alias("n_rows")).select(F.explode(F.array(*map(F.lit, checks.missing_columns(t.bars, ["close", "adj"])))).alias("column_name"), "n_rows", (F.col("n_rows") == 0).alias("is_empty"))
+)
 register("v2_price_checks", f"select 'high_below_others' as \"check\", 'warning' as severity, count(*) filter (where h < low or h < open or h < close) as n from {_badsql} a union all select 'low_above_others', 'warning', count(*) filter (where low > open or low > close) from {_badsql} b union all select 'negative_price', 'error', count(*) filter (where open < 0 or h < 0 or low < 0 or close < 0) from {_badsql} c union all select 'negative_volume', 'error', count(*) filter (where volume < 0) from {_badsql} d")(
     lambda t: checks.price_checks(_bad(t))
 )
@@ -587,6 +599,119 @@ register("v6_null_share", 'select \'close\' as "column", count(*) filter (where
     lambda t: checks.null_share(t.bars_versions, ["close", "adj_factor"], 0.8)
 )
 
+# --- queries that write and read back --------------------------------------------------------------------------
+
+def written(t: Tables, df: DataFrame, kind: str = "parquet") -> str:
+    path = f"{sinks.scratch(t.spark)}/table"
+    df.write.option("header", "true").format(kind).save(path)
+    return path
+
+
+_values = "trade_date, stock_code, pe, pb, roe"
+for _kind in ("csv", "json", "parquet"):
+    register(f"l1_{_kind}_source", f"select {_values} from {{factor_values}}", "pe pb roe")(
+        lambda t, kind=_kind: ingest.read(t.spark, written(t, t.factor_values, kind), kind, "trade_date date, stock_code string, pe double, pb double, roe double")
+    )
+
+
+def fields_written(t: Tables, kind: str) -> str:
+    """One table a field, in folders by category: valuation/pe, valuation/pb, quality/roe."""
+    root = sinks.scratch(t.spark)
+    for category, name in (("valuation", "pe"), ("valuation", "pb"), ("quality", "roe")):
+        rows = t.factor_values.select("trade_date", "stock_code", F.col(name).alias("val"))
+        rows.write.option("header", "true").format(kind).save(f"{root}/{category}/{name}.{kind}")
+    return root
+
+
+_field = "select '{c}' as category, '{f}' as field, trade_date, stock_code, {f} as val from {{factor_values}}"
+_fields_sql = " union all ".join(_field.replace("{c}", c).replace("{f}", f).replace("{{", "{").replace("}}", "}") for c, f in (("valuation", "pe"), ("valuation", "pb"), ("quality", "roe")))
+for _name, _kind in (("l2_directory_fields", "parquet"), ("l24_directory_categories", "csv")):
+    register(_name, _fields_sql, "val")(
+        lambda t, kind=_kind: ingest.read_fields(t.spark, fields_written(t, kind), kind, "trade_date date, stock_code string, val double").select("category", "field", "trade_date", "stock_code", "val")
+    )
+
+
+@register("l10_compatibility_view", f"select trade_date, stock_code, factor_name, factor_value from {newest('factor_long', LONG)} x", "factor_value")
+def l10(t: Tables) -> DataFrame:
+    sinks.compatibility_view(wide_factors(t), "factor_data_view")
+    return t.spark.sql("select trade_date, stock_code, factor_name, factor_value from factor_data_view")
+
+
+_tick_rows = "select event_id, trade_date, cast(trade_sec as bigint) as trade_sec, stock_code, close, volume from {ticks}"
+
+
+@register("l12_partitioned_sink", _tick_rows, "close")
+def l12(t: Tables) -> DataFrame:
+    """The first half of the days, then all, then all again: a day that is there is not written twice."""
+    rows = t.ticks.select("event_id", "trade_date", F.col("trade_sec").cast("long").alias("trade_sec"), "stock_code", "close", "volume")
+    path = f"{sinks.scratch(t.spark)}/ticks"
+    middle = rows.agg(F.percentile(F.datediff("trade_date", F.lit("1970-01-01")), 0.5).alias("m"))  # one row
+    first = rows.join(F.broadcast(middle), F.datediff("trade_date", F.lit("1970-01-01")) <= F.col("m"), "left_semi")
+    sinks.append_new_dates(first, path, None)
+    for _ in range(2):
+        sinks.append_new_dates(rows, path, t.spark.read.parquet(path))
+    return t.spark.read.parquet(path).select(*rows.columns)
+
+
+@register("l13_days_not_loaded", _tick_rows.replace("from {ticks}", "from {ticks} where extract(day from trade_date) % 2 = 1"), "close")
+def l13(t: Tables) -> DataFrame:
+    """The rows that a load would add to a table that holds the even days."""
+    rows = t.ticks.select("event_id", "trade_date", F.col("trade_sec").cast("long").alias("trade_sec"), "stock_code", "close", "volume")
+    return sinks.new_dates(rows, rows.filter(F.day("trade_date") % 2 == 0))
+
+
+register("l9_migrated_wide", f"select {_wide}, arg_max(factor_value, loaded_at) filter (where factor_name = 'ROE') as ROE from {{factor_long}} group by 1, 2", "PE PB ROE")(
+    lambda t: sinks.migrated(t.factor_long, ["PE", "PB", "ROE"], "2024-01-01")[0].select("trade_date", "stock_code", "PE", "PB", "ROE")
+)
+register("l9_migrated_history", "select trade_date, stock_code, factor_name, factor_value, cast(loaded_at as date) as loaded from {factor_long}", "factor_value")(
+    lambda t: sinks.migrated(t.factor_long, ["PE", "PB", "ROE"], "2024-01-01")[1].withColumn("loaded", F.to_date("loaded_at")).drop("loaded_at")
+)
+register("l30_registered_types", "select data_subtype as data_type, case when data_subtype like 'b%' then 'new' else 'old' end as type_name, count(*) as n from {alternative_data} group by 1")(
+    lambda t: sinks.replaced_by_key(
+        t.alternative_data.groupBy(F.col("data_subtype").alias("data_type")).agg(F.lit("old").alias("type_name"), F.count(F.lit(1)).alias("n")),
+        t.alternative_data.filter("data_subtype like 'b%'").groupBy(F.col("data_subtype").alias("data_type")).agg(F.lit("new").alias("type_name"), F.count(F.lit(1)).alias("n")),
+        ("data_type",),
+    )
+)
+
+
+@register("l31_active_sources", "select source_id, count(*) as n from {macro_data} where source_id <> 'src_b' group by source_id union all select unnest(['tushare', 'akshare', 'eastmoney', 'sina']), 0")
+def l31_sources(t: Tables) -> DataFrame:
+    """Default sources and those of the macro table, of which one is switched off, with the rows that each has."""
+    seen = t.macro_data.groupBy("source_id").agg(F.count(F.lit(1)).alias("n"))
+    given = seen.select("source_id", (F.col("source_id") != "src_b").alias("is_active"))
+    active = ingest.active_sources(sinks.replaced_by_key(ingest.default_metadata(t.spark)[1].select("source_id", "is_active"), given, ("source_id",)))
+    return active.join(seen, "source_id", "left").select("source_id", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+register("l31_fields_of_category", "select p_partkey as field_id, p_name as field_name from {part} where p_brand = 'Brand#1' or p_brand = 'Brand#11'")(
+    lambda t: ingest.fields_of(t.part.select(F.col("p_partkey").alias("field_id"), F.replace("p_brand", F.lit("Brand#11"), F.lit("Brand#1")).alias("category_id"), F.col("p_name").alias("field_name")), "Brand#1").select("field_id", "field_name")
+)
+
+
+@register("l34_recompressed", "select trade_date, stock_code, factor_name, factor_value from {factor_long}", "factor_value")
+def l34(t: Tables) -> DataFrame:
+    path, _ = sinks.recompressed(t.spark, written(t, t.factor_long), sinks.scratch(t.spark), ["stock_code", "trade_date"])
+    return t.spark.read.parquet(path).select("trade_date", "stock_code", "factor_name", "factor_value")
+
+
+@register("o7_ingest_outcome", "select 'macro' as source, 'macro_data' as table_name, count(*) as n from {macro_data} union all select 'news', 'news_sentiment', count(*) from {news_sentiment} union all select 'none', 'macro_data', 0 union all select 'odd', null, -1")
+def o7(t: Tables) -> DataFrame:
+    """Three sources that are stored, one of them without rows, and one that belongs to no table."""
+    news_in = t.news_sentiment.select("news_id", "publish_date", "title", F.array_join("related_stocks", ",").alias("stocks"))
+    sources = {"macro": t.macro_data, "news": news_in, "none": t.macro_data.filter("value is null"), "odd": t.part}
+    done = ingest.ingest(sources, lambda name, rows: t.spark.read.parquet(written(t, rows)), "2024-01-01")
+    return done.select("source", "table_name", "n")
+
+
+register("o8_world_rows", "select cast(date_trunc('year', trade_date) as date) as trade_date, 'POPULATION' as indicator_id, cast(n as double) as value, 'worldbank' as source_id from {macro_months}", "value")(
+    lambda t: ingest.world_rows(
+        t.macro_months.select(
+            F.format_string('[{"page": 1}, [{"indicator": {"id": "SP.POP.TOTL", "value": "Population"}, "date": "%d", "value": %d}, {"indicator": {"id": "XX", "value": "Other"}, "date": "%d", "value": null}]]', F.year("trade_date"), "n", F.year("trade_date")).alias("json")
+        )
+    ).select("trade_date", "indicator_id", "value", "source_id")
+)
+
 
 def timed(t: Tables) -> DataFrame:
     return t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.lpad(F.col("user_id").cast("string"), 6, "0").alias("stock_code"), (10 + F.col("value") / 100).alias("px"), (1 + F.col("event_id") % 50).alias("volume"))

@@ -44,7 +44,7 @@ SQL: dict[str, str] = {
  union all select trade_date, 'CPI_yoy', 'CPI_yoy', p / 125000, 'raw', 'src_a' from {macro_months}
  union all select trade_date, 'M2_yoy', 'M2_yoy', cast(n as double) / 10, 'raw', 'src_b' from {macro_months}
  union all select trade_date, 'PMI', 'PMI', (17 + 100 * f) / 100, 'change', 'src_a' from {macro_months}""",
-    "macro_indicators": """select 'PMI' as indicator_id, 'activity' as category, 'monthly' as frequency union all select 'CPI_yoy', 'price', 'monthly' union all select 'M2_yoy', 'money', 'monthly'""",
+    "macro_indicators": """select indicator_id, case indicator_id when 'PMI' then 'activity' when 'CPI_yoy' then 'price' else 'money' end as category, 'monthly' as frequency from {macro_data} group by indicator_id""",
     "news_sentiment": f"""select concat('n', cast(event_id as varchar(20))) as news_id, event_id, date '1998-01-01' + cast(extract(day from ts) - 1 as int) as publish_date,
  cast(extract(hour from ts) * 3600 + extract(minute from ts) * 60 as int) as publish_sec, event_type as title, {code('user_id % 100')} as stock_a, {code('event_id % 10')} as stock_b,
  least(value, 100) / 50 - 1 as sentiment_score, case when value >= 60 then 'positive' when value < 20 then 'negative' else 'neutral' end as sentiment_label,

@@ -30,6 +30,7 @@ WORLD_INDICATORS = {
     "NY.GDP.MKTP.CD": "GDP", "NY.GDP.MKTP.KD.ZG": "GDP_GROWTH", "FP.CPI.TOTL.ZG": "CPI", "FR.INR.RINR": "REAL_INTEREST_RATE", "SL.UEM.TOTL.ZS": "UNEMPLOYMENT",
     "FM.LBL.BMNY.CN": "M2", "NE.TRD.GNFS.ZS": "TRADE_PERCENT_GDP", "GC.DOD.TOTL.GD.ZS": "GOVT_DEBT_PERCENT_GDP", "SP.POP.TOTL": "POPULATION", "PA.NUS.FRTF": "EXCHANGE_RATE",
 }
+#: Words of date and value columns, and the categories and sources that every catalogue starts with.
 DATE_WORDS, VALUE_WORDS = ("日期", "date", "时间", "time", "年份"), ("值", "value", "数值", "同比", "增速")
 CATEGORIES = [("price", 1), ("factor", 2), ("macro", 3), ("sentiment", 4), ("alternative", 5)]
 SOURCES = [("tushare", "daily"), ("akshare", "daily"), ("eastmoney", "realtime"), ("sina", "realtime")]
@@ -44,16 +45,16 @@ def read(spark: SparkSession, path: str, kind: str | None = None, ddl: str | Non
     return reader.csv(path, header=True) if kind == "csv" else getattr(reader, kind)(path)
 
 
-def file_stem() -> Column:
-    return F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.[^.]+$", 1)
-
-
 def read_fields(spark: SparkSession, directory: str, kind: str = "parquet", ddl: str | None = None) -> DataFrame:
-    """Every file of a directory tree in one read; ``field`` is the file's stem, ``category`` its folder."""
+    """Every file of a directory tree in one read; ``field`` is the file's stem, ``category`` its folder.
+
+    A table that Spark wrote as a folder, ``pe.parquet/part-...``, counts as a file.
+    """
     reader = spark.read.option("recursiveFileLookup", "true")
     reader = reader.schema(ddl) if ddl else reader
     rows = reader.option("header", "true").format(kind).load(directory)
-    return rows.withColumns({"field": file_stem(), "category": F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1)})
+    place = r"([^/]+)/([^/]+?)\.[A-Za-z]+(?:/part-[^/]*)?$"
+    return rows.withColumns({"field": F.regexp_extract(F.input_file_name(), place, 2), "category": F.regexp_extract(F.input_file_name(), place, 1)})
 
 
 def renamed(df: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
@@ -233,16 +234,19 @@ def route(df: DataFrame) -> str:
 LOADERS: dict[str, Callable[[DataFrame], DataFrame]] = {"macro_data": macro_rows, "news_sentiment": news_rows, "report_sentiment": report_rows, "alternative_data": alternative_rows}
 
 
-def ingest(sources: Mapping[str, DataFrame], store: Callable[[str, DataFrame], None], run_at: str) -> DataFrame:
-    """Route and store each source; a row of outcome for each: rows stored, 0, or -1 and the error."""
+def ingest(sources: Mapping[str, DataFrame], store: Callable[[str, DataFrame], DataFrame | None], run_at: str) -> DataFrame:
+    """Route and store each source; a row of outcome for each: rows stored, 0, or -1 and the error.
+
+    ``store`` returns what it has stored, so that a source is not computed again to count it.
+    """
     spark, log = None, []
     for name, df in sources.items():
         spark = df.sparkSession
         try:
             table = route(df)
             rows = LOADERS[table](df)
-            store(table, rows)
-            log.append((name, table, rows.count(), None))
+            kept = store(table, rows)
+            log.append((name, table, (rows if kept is None else kept).count(), None))
         except Exception as e:  # one bad source must not stop the others; the outcome keeps the reason
             log.append((name, None, -1, str(e)[:200]))
     if spark is None:

@@ -6,6 +6,7 @@ old one, never over the files being read.
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Sequence
 
@@ -13,42 +14,51 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def one_of_each(df: DataFrame, key: Sequence[str], last: bool, order: str | None = None) -> DataFrame:
+    """One row of each key: the last (or first) by ``order`` and then by its other columns, so that reruns agree."""
+    way = F.desc_nulls_last if last else F.asc_nulls_last
+    rest = [c for c, t in df.dtypes if c not in key and c != order and not t.startswith(("map", "variant"))]
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*([way(order)] if order else []), *map(way, rest), F.lit(0)))
+    return df.withColumn("_n", place).filter("_n = 1").drop("_n")
+
+
 def replaced_by_key(old: DataFrame, new: DataFrame, key: Sequence[str], order: str | None = None) -> DataFrame:
-    """Rows of ``new`` take the place of those of ``old`` with their key; the last of equal keys in ``new`` wins."""
-    if order is not None:
-        last = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))
-        new = new.withColumn("_n", last).filter("_n = 1").drop("_n", order)
-    else:
-        new = new.dropDuplicates(list(key))
+    """Rows of ``new`` take the place of those of ``old`` with their key; of equal keys in ``new`` the last by ``order`` wins (else the greatest row)."""
+    new = one_of_each(new, key, True, order)
+    new = new.drop(order) if order else new
     return old.join(new.select(*key), list(key), "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def ignored_if_exists(old: DataFrame, new: DataFrame, *keys: Sequence[str]) -> DataFrame:
-    """``old`` plus the rows of ``new`` that no key of ``old`` has, nor an earlier row of ``new``."""
+    """``old`` plus the rows of ``new`` that no key of ``old`` has, nor another row of ``new`` (the least of equal keys stays)."""
     for key in keys:
-        new = new.dropDuplicates(list(key)).join(old.select(*key), list(key), "left_anti")
+        new = one_of_each(new, key, False).join(old.select(*key), list(key), "left_anti")
     return old.unionByName(new, allowMissingColumns=True)
 
 
 def with_column_upserted(wide: DataFrame, new: DataFrame, name: str, key: Sequence[str] = ("trade_date", "stock_code")) -> DataFrame:
-    """``wide`` with the non-null values of ``new(key, factor_value)`` in column ``name``; other columns are untouched."""
-    wide = wide if name in wide.columns else wide.withColumn(name, F.lit(None).cast("double"))
-    fresh = new.filter(F.col("factor_value").isNotNull()).select(*key, F.col("factor_value").alias("_new"))
+    """``wide`` with the non-null values of ``new(key, factor_value)`` in column ``name``, the greatest of a repeated key; other columns are untouched."""
+    wide = with_factor_column(wide, name)
+    fresh = new.groupBy(*key).agg(F.max("factor_value").alias("_new")).filter(F.col("_new").isNotNull())
     merged = wide.join(fresh, list(key), "full_outer")
     return merged.withColumn(name, F.coalesce("_new", name)).drop("_new").select(*wide.columns)
 
 
+def with_factor_column(wide: DataFrame, name: str) -> DataFrame:
+    """``wide`` with an empty factor column; one that is there stays as it is."""
+    return wide if name in wide.columns else wide.withColumn(name, F.lit(None).cast("double"))
+
+
 def factor_columns(wide: DataFrame) -> list[str]:
     return [c for c in wide.columns if c not in ("trade_date", "stock_code", "loaded_at")]
 
 
 def pivoted(long: DataFrame, names: Sequence[str], use_latest: bool = True) -> DataFrame:
     """Long factors as one row per date and stock; the newest version of each, or the largest over versions."""
-    pick = F.max_by("factor_value", "loaded_at") if use_latest else F.max("factor_value")
+    of = lambda name, c: F.when(F.col("factor_name") == name, F.col(c))
+    pick = lambda name: F.max_by(of(name, "factor_value"), of(name, "loaded_at")) if use_latest else F.max(of(name, "factor_value"))
     rows = long.filter(F.col("factor_name").isin(list(names)))
-    values = rows.groupBy("trade_date", "stock_code").pivot("factor_name", list(names)).agg(pick)
-    when = rows.groupBy("trade_date", "stock_code").agg(F.max("loaded_at").alias("loaded_at"))
-    return values.join(when, ["trade_date", "stock_code"])
+    return rows.groupBy("trade_date", "stock_code").agg(*(pick(n).alias(n) for n in names), F.max("loaded_at").alias("loaded_at"))
 
 
 def unpivoted(wide: DataFrame, skip_nulls: bool = True) -> DataFrame:
@@ -88,9 +98,22 @@ def recompressed(spark: SparkSession, source: str, root: str, sort_by: Sequence[
     return path, n
 
 
+def new_dates(df: DataFrame, have: DataFrame | None, date: str = "trade_date") -> DataFrame:
+    """Rows of the dates that ``have`` lacks."""
+    return df if have is None else df.join(have.select(date).distinct(), date, "left_anti")
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under spark.checkpoint.dir, or for a local session without one a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{root or tempfile.mkdtemp(prefix='spark-')}/tables-{uuid.uuid4().hex}"
+
+
 def append_new_dates(df: DataFrame, path: str, have: DataFrame | None, date: str = "trade_date") -> DataFrame:
     """Write the dates that ``have`` lacks, partitioned by date; returns the rows written, none on a second run."""
-    new = df if have is None else df.join(have.select(date).distinct(), date, "left_anti")
+    new = new_dates(df, have, date)
     new.repartition(date).sortWithinPartitions("stock_code").write.mode("append").partitionBy(date).parquet(path)
     return new
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quantloom.sources.sinks import one_of_each
+
 
 def minute_bars(ticks: DataFrame, minutes: int = 1, late: str = "10 minutes") -> DataFrame:
     """Bars and VWAP per stock and window of event time ``ts``; works on streams and on tables."""
@@ -31,7 +33,8 @@ def news_bursts(news: DataFrame, gap: str = "30 minutes", late: str = "1 hour")
 
 
 def first_only(rows: DataFrame, key: str = "news_id", late: str = "1 hour") -> DataFrame:
-    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if rows.isStreaming else rows.dropDuplicates([key])
+    """The first row of each key: as it arrives in a stream, by time (then by the other columns) in a table."""
+    return rows.withWatermark("ts", late).dropDuplicatesWithinWatermark([key]) if rows.isStreaming else one_of_each(rows, [key], False, "ts")
 
 
 def land_by_date(ticks: DataFrame, path: str, checkpoint: str):

@@ -165,8 +165,10 @@ def test_news_counts(spark):
     df = spark.createDataFrame(rows, "news_id string, publish_date date, sentiment_score double, sentiment_label string, related_stocks array<string>")
     day = news.aggregated(df).filter(F.col("bucket") == F.lit(D1)).first()
     assert day["n"] == 2 and abs(day["mean"] - 0.15) < 1e-12
-    top = news.sentiment_stocks(df, "positive").first()
+    top = news.sentiment_stocks(df, "positive", D1).first()
     assert (top["stock_code"], top["mean"], top["n"]) == ("000001", 0.8, 1)
+    assert news.sentiment_stocks(df, "positive").count() == 0  # the last day of all news has none
+    assert news.sentiment_stocks(df, "neutral").first()["stock_code"] == "600000"
 
 
 def test_quantile_and_ranks(spark):
@@ -247,3 +249,59 @@ def test_stream_lands_by_date(spark, tmp_path):
     for _ in range(2):  # the second run finds nothing new
         feeds.land_by_date(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == df.count()
+
+
+def closes(spark, values, code="000001"):
+    rows = [(D1 + dt.timedelta(k), code, x) for k, x in enumerate(values)]
+    return spark.createDataFrame(rows, "trade_date date, stock_code string, close double")
+
+
+def test_relative_strength_from_the_first_row(spark):
+    values = [10.0, 11.0, 10.5, 10.5, 12.0] + [12.0 + (k % 3) for k in range(15)]
+    moves = [0.0] + [b - a for a, b in zip(values, values[1:])]
+    want = []
+    for k in range(len(values)):
+        seen = moves[max(0, k - 13) : k + 1]
+        up, down = sum(max(x, 0) for x in seen) / len(seen), sum(max(-x, 0) for x in seen) / len(seen)
+        want.append(100 - 100 / (1 + up / (down + 1e-10)))
+    got = [r["rsi"] for r in calc.relative_strength(closes(spark, values)).orderBy("trade_date").collect()]
+    assert got[0] == 0.0 and all(abs(a - b) < 1e-6 for a, b in zip(got, want, strict=True))
+
+
+def test_macd_by_weights(spark):
+    values = [10.0, 11.0, 10.5, 10.7, 12.0, 11.0, 9.5]
+
+    def mean(x, span):
+        keep = 1 - 2 / (span + 1)
+        return [sum(x[i] * keep ** (k - i) for i in range(k + 1)) / sum(keep ** (k - i) for i in range(k + 1)) for k in range(len(x))]
+
+    line = [a - b for a, b in zip(mean(values, 12), mean(values, 26), strict=True)]
+    rows = calc.macd(closes(spark, values).unionByName(closes(spark, values[::-1], "000002"))).filter("stock_code = '000001'").orderBy("trade_date").collect()
+    assert all(abs(r["macd"] - a) < 1e-9 and abs(r["macd_signal"] - b) < 1e-9 for r, a, b in zip(rows, line, mean(line, 9), strict=True))
+
+
+def test_panel_with_versions_that_tie(spark):
+    rows = [(D1, "000001", 1.0), (D1, "000001", 2.0), (D2, "000002", 3.0)]
+    df = spark.createDataFrame(rows, "trade_date date, stock_code string, close double")
+    assert [tuple(r) for r in prices.panel(df, ["close"], ["000001", "000002"]).collect()] == [(D1, [2.0, None]), (D2, [None, 3.0])]
+
+
+def test_write_policies_with_repeated_keys(spark):
+    old = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double")
+    new = spark.createDataFrame([(2, 5.0, 1), (2, 4.0, 2), (3, 6.0, 1)], "k int, v double, seq int")
+    assert sorted(map(tuple, sinks.replaced_by_key(old, new, ["k"], "seq").collect())) == [(1, 1.0), (2, 4.0), (3, 6.0)]
+    assert sorted(map(tuple, sinks.replaced_by_key(old, new.drop("seq"), ["k"]).collect())) == [(1, 1.0), (2, 5.0), (3, 6.0)]
+    assert sorted(map(tuple, sinks.ignored_if_exists(old, new.drop("seq").filter("k > 2 or v < 5"), ["k"]).collect())) == [(1, 1.0), (2, 2.0), (3, 6.0)]
+    wide = spark.createDataFrame([(D1, "000001", 1.0)], "trade_date date, stock_code string, PE double")
+    fresh = spark.createDataFrame([(D1, "000001", 7.0), (D1, "000001", 8.0), (D2, "000001", None)], "trade_date date, stock_code string, factor_value double")
+    assert [tuple(r) for r in sinks.with_column_upserted(wide, fresh, "PE").collect()] == [(D1, "000001", 8.0)]
+
+
+def test_forward_returns_skip_stocks_without_the_date(spark):
+    days = [D1 + dt.timedelta(k) for k in range(4)]
+    rows = [(d, c, 10.0 + k + (3 if c == "b" else 0) * k) for k, d in enumerate(days) for c in "abc" if not (c == "c" and k in (1, 3))]
+    price = spark.createDataFrame(rows, "trade_date date, stock_code string, close double")
+    value = price.select("trade_date", "stock_code", F.col("close").alias("factor_value"))
+    got = {r["trade_date"]: r["n"] for r in factors.ic_series(value, price, 2).collect()}
+    assert got == {days[0]: 3, days[1]: 2}
+    assert {r["trade_date"]: r["n"] for r in factors.ic_series(value, price, 1).collect()} == {days[0]: 2, days[1]: 2, days[2]: 2}
