@@ -95,6 +95,8 @@ def blocks(page: str) -> list[tuple[str, str, int]]:
         if m[4] is None:
             continue
         tag, closing, given = m[4].lower(), bool(m[3]), m[5]
+        if silent == "select" and tag == "option":
+            continue
         if silent and (tag == silent or tag in BREAKS):
             silent = ""
             if tag in SILENT:
