@@ -66,10 +66,11 @@ def ic_series(values: DataFrame, prices: DataFrame, days: int = 1, start: dt.dat
     dates = prices.select("trade_date").distinct()
     later = dates.withColumn("next_date", F.lead("trade_date", days).over(Window.orderBy("trade_date")))  # a row per date
     # a stock's price on that date, if it has one, is among its next ``days`` prices
-    after = F.collect_list(F.struct("trade_date", "close")).over(Window.partitionBy("stock_code").orderBy("trade_date").rowsBetween(1, days))
-    moves = prices.withColumn("_after", after).join(F.broadcast(later), "trade_date")
-    moves = moves.withColumn("_then", F.filter("_after", lambda x: x["trade_date"] == F.col("next_date"))).filter(F.size("_then") > 0)
-    moves = moves.select("trade_date", "stock_code", (F.try_divide(F.col("_then")[0]["close"], "close") - 1).alias("forward"))
+    order = Window.partitionBy("stock_code").orderBy("trade_date")
+    there = lambda k: F.lead("trade_date", k).over(order) == F.col("next_date")
+    moves = prices.select("trade_date", "stock_code", "close").join(F.broadcast(later), "trade_date")
+    moves = moves.withColumns({"_is": F.coalesce(*(F.when(there(k), True) for k in range(1, days + 1))), "_then": F.coalesce(*(F.when(there(k), F.lead("close", k).over(order)) for k in range(1, days + 1)))})
+    moves = moves.filter("_is").select("trade_date", "stock_code", (F.try_divide("_then", "close") - 1).alias("forward"))
     both = between(values, start, end).join(moves, list(KEY))
     rank = lambda c: F.rank().over(Window.partitionBy("trade_date").orderBy(F.asc_nulls_last(c))).cast("double")
     ranked = both.select("trade_date", rank("factor_value").alias("x"), rank("forward").alias("y"))
