@@ -113,6 +113,15 @@ def chi2_cdf(x: float, p: int) -> float:
 BROADCAST_GROUPS = 10_000
 
 
+#: Tasks that a table of a row per group is gathered in, so that each of the many small steps is a few tasks and files.
+FEW_TASKS = 8
+
+
+def gathered(groups: DataFrame) -> DataFrame:
+    """A table of a row per group (and start), checkpointed in few parts."""
+    return cut(groups.coalesce(FEW_TASKS))
+
+
 def beside(groups: DataFrame) -> DataFrame:
     """``groups``, checkpointed, for a join on the group: broadcast if few, so that a large group is not dealt to one task."""
     return F.broadcast(groups) if groups.count() <= BROADCAST_GROUPS else groups
@@ -177,10 +186,10 @@ def concentrated(rows: DataFrame, est: DataFrame, keys: list[str], dims: list[st
     """
     far = F.round(F.log1p(distance(dims)), 3)
     near = rows.join(beside(est.select(*keys, "mu", "prec")), "grp").withColumn("far", far)
-    limit = cut(near.groupBy(*keys).agg(F.percentile("far", support).alias("limit")))
-    kept = rows.join(beside(cut(est.select(*keys, "mu", "prec").join(limit, keys))), "grp").filter(far <= F.col("limit"))
+    limit = gathered(near.groupBy(*keys).agg(F.percentile("far", support).alias("limit")))
+    kept = rows.join(beside(gathered(est.select(*keys, "mu", "prec").join(limit, keys))), "grp").filter(far <= F.col("limit"))
     got = moments_of(kept, keys, dims).withColumn("e", solve("cov"))
-    return cut(got.select(*keys, "n", "mean", "cov", F.col("mean").alias("mu"), "e.prec", "e.logdet"))
+    return gathered(got.select(*keys, "n", "mean", "cov", F.col("mean").alias("mu"), "e.prec", "e.logdet"))
 
 
 def mcd_estimates(rows: DataFrame, floors: dict[str, float] = FLOORS, support: float = 0.75, first_steps: int = 2, steps: int = 4) -> DataFrame:
@@ -194,15 +203,15 @@ def mcd_estimates(rows: DataFrame, floors: dict[str, float] = FLOORS, support: f
     quartiles = rows.groupBy("grp").agg(*(F.percentile(F.round(x, 3), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(x) for x in dims))
     spread = [F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(f)) for x, f in floors.items()]
     diag = [1 / (spread[i] * spread[i]) if i == j else F.lit(0.0) for i in range(p) for j in range(p)]
-    middle = cut(quartiles.select("grp", F.lit(0).alias("start"), F.array(*(F.col(x)[1] for x in dims)).alias("mu"), F.array(*diag).alias("prec")))
+    middle = gathered(quartiles.select("grp", F.lit(0).alias("start"), F.array(*(F.col(x)[1] for x in dims)).alias("mu"), F.array(*diag).alias("prec")))
     every = moments_of(rows.withColumn("start", F.lit(1)), ["grp", "start"], dims)
     inner = concentrated(rows, middle.withColumn("start", F.lit(2)), ["grp", "start"], dims, 0.5, solve)
     every = every.withColumn("e", solve("cov")).select("grp", "start", F.col("mean").alias("mu"), "e.prec")
-    est = cut(middle.unionByName(every).unionByName(inner.select("grp", "start", "mu", "prec")))
+    est = gathered(middle.unionByName(every).unionByName(inner.select("grp", "start", "mu", "prec")))
     for _ in range(first_steps):
         est = concentrated(rows, est, ["grp", "start"], dims, support, solve)
     # determinants that agree but for rounding are a tie, which goes to the first start
-    est = cut(est.groupBy("grp").agg(F.min_by(F.struct("mu", "prec"), F.struct(F.round("logdet", 6), "start")).alias("b")).select("grp", "b.mu", "b.prec"))
+    est = gathered(est.groupBy("grp").agg(F.min_by(F.struct("mu", "prec"), F.struct(F.round("logdet", 6), "start")).alias("b")).select("grp", "b.mu", "b.prec"))
     for _ in range(steps):
         est = concentrated(rows, est, ["grp"], dims, support, solve)
     return est.select("grp", "n", "mean", "cov")
@@ -218,6 +227,7 @@ def shrunk(small: DataFrame, large: DataFrame, weight: float) -> DataFrame:
 
 def judges(rows: DataFrame, support: float, shrink_rows: float) -> DataFrame:
     """(grp, mu, prec) for each language and source of ``rows``: its estimate shrunk toward its language's and that toward that of all."""
+    rows = rows.coalesce(max(FEW_TASKS, rows.count() // 50_000))  # numbers alone: some 5 MB a task
     levels = F.array("grp", language_of(F.col("grp")), F.lit(EVERYTHING))
     est = mcd_estimates(rows.select(F.explode(levels).alias("grp"), *DIMS), support=support)
     whole = est.filter(F.col("grp") == EVERYTHING).withColumn("part", F.lit(EVERYTHING))
@@ -225,7 +235,7 @@ def judges(rows: DataFrame, support: float, shrink_rows: float) -> DataFrame:
     tongues = shrunk(tongues, whole, shrink_rows).withColumn("part", F.col("grp"))
     groups = shrunk(est.filter(F.col("grp").startswith("source")).withColumn("part", language_of(F.col("grp"))), tongues, shrink_rows)
     solve = inverted(list(FLOORS.values()), consistency(support, len(DIMS)))
-    return cut(groups.withColumn("e", solve("cov")).select("grp", F.col("mean").alias("mu"), "e.prec"))
+    return gathered(groups.withColumn("e", solve("cov")).select("grp", F.col("mean").alias("mu"), "e.prec"))
 
 
 def judged(counts: DataFrame, judge: DataFrame, quantile: float) -> DataFrame:
