@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 import pytest
 
 from quantloom.llm import html_extraction, secrets, shingle_join
@@ -44,6 +45,31 @@ def edited():
     return texts
 
 
+def test_bitmap_filter_loses_no_similar_pair():
+    """Sketches never differ by more than the sets; posting pairs hold every similar pair that is not yet connected."""
+    rng = np.random.default_rng(4)
+    for least in (0.5, 0.8, 0.9):
+        sets = []
+        for n in (1, 5, 31, 33, 100, 700):
+            whole = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2)
+            sets += [np.unique(np.concatenate([whole[rng.random(n) < keep], rng.integers(0, 1 << 63, k, dtype=np.uint64), whole[:1]])) for keep in (1.0, 0.97, 0.9, 0.7) for k in (0, 1, 3, n // 10)]
+        sets.sort(key=len)
+        marks = [shingle_join.sketch(x) for x in sets]
+        pairs = set()
+        for i in range(len(sets)):
+            for j in range(i + 1, len(sets)):
+                size = min(len(marks[i]), len(marks[j]))
+                far = np.bitwise_count(shingle_join.halved(marks[i], size) ^ shingle_join.halved(marks[j], size)).sum()
+                assert far <= len(np.setxor1d(sets[i], sets[j]))
+                if i % 7 != j % 7 and shingle_join.similar(sets[i], sets[j], least):
+                    assert shingle_join.sketches_near(marks[i].tobytes(), len(sets[i]), marks[j].tobytes(), len(sets[j]), least)
+                    pairs.add((i, j))
+        n, k = [len(x) for x in sets], list(range(len(sets)))
+        a, b = shingle_join.posting_pairs(n, k, [0] * len(k), [i % 7 for i in k], [m.tobytes() for m in marks], least)
+        found = set(zip(a.tolist(), b.tolist(), strict=True))
+        assert pairs <= found and len(found) < len(k) ** 2 // 3 and all(x % 7 != y % 7 for x, y in found)
+
+
 @pytest.mark.parametrize(("often", "most"), [(4, 1_000_000), (1_000_000, 0)])
 def test_groups_by_brute_force_on_shingles(spark, often, most):
     texts = edited()
