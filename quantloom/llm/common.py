@@ -104,3 +104,21 @@ def row_key(*columns: str) -> Column:
 
 def ints(xs: list[int]) -> str:
     return ",".join(map(str, xs))
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, most: int = 100_000) -> DataFrame:
+    """Inner join of ``rows`` and ``groups`` on ``key``, with no key of many rows in one task; null keys meet.
+
+    ``groups`` has one row for each key of ``rows`` and counts its rows in ``size``. The groups of more
+    than a ``most``-th of all rows are fewer than ``most``, whatever the data, and are broadcast; the
+    rows of all others are dealt by key, where none is large. Both are read twice: checkpoint them before.
+    """
+    right = groups.withColumnRenamed(key, "_key")
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    same = F.col(key).eqNullSafe(F.col("_key"))
+    if groups.count() <= most:
+        return rows.join(F.broadcast(right), same).drop("_key")
+    large = F.broadcast(right.filter(F.col(size) * most > total))
+    hot = rows.join(large, same).drop("_key")
+    rest = rows.join(large.select("_key"), same, "left_anti").join(right.filter(F.col(size) * most <= total), same).drop("_key")
+    return hot.union(rest)

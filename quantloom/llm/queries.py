@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import chat, compression_classifier, context_mixing, decontamination, html_extraction, mixing, quality_rules, secrets, simhash, url_filter
+from quantloom.llm import chat, compression_classifier, context_mixing, decontamination, html_extraction, merkle, mixing, quality_rules, secrets, simhash, url_filter
 from quantloom.llm.common import table
 
 
@@ -65,6 +65,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+
+
 QUERIES = {
     "op1_compression_classifier": op1_compression_classifier,
     "op2_chat_formatting": op2_chat_formatting,
@@ -76,6 +80,7 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_quality_rules": op10_quality_rules,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": r"""
@@ -114,5 +119,33 @@ with d as (select doc_id, row_number() over () as rid,
 select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
        coalesce(items_sha256, sha256('')) as items_sha256, n_hit is not null as contaminated
 from d left join h using (rid) left join n using (rid)
+""",
+    "op13_merkle_manifest": r"""
+with recursive bits as (select i, list_reduce(list_prepend(cast(i as bigint), range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c from range(256) t(i)),
+     crcs as (select list(c order by i) as t from bits),
+     d as (select row_number() over () as rid, *, doc_id is not null and n_chars is not null
+             and xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(string_split(cast(doc_id as varchar), ''), lambda x: cast(ascii(x) as bigint))), lambda c, b: xor(t[1 + (xor(c, b) & 255)], c >> 8)), 4294967295) % 7 = 0 as touched
+           from documents, crcs),
+     h as (select *, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') as head,
+             coalesce(strlen(text) || ':' || text, '-') as tail from d),
+     f as (select rid, doc_id, lang, sha256(head || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') || tail) as leaf,
+             case when touched then sha256(head || strlen(cast(n_chars + 1 as varchar)) || ':' || (n_chars + 1) || tail) end as changed from h),
+     r as (select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n from f),
+     tree as (select 0 as level, lang, pos, leaf as hash, n from r
+              union all select level + 1, lang, pos // 2, sha256(string_agg(hash, '' order by pos)), (n + 1) // 2 from tree where n > 1 group by level, lang, pos // 2, n),
+     subs as (select lang, hash as subroot, row_number() over (order by lang nulls first) - 1 as lpos, count(*) over () as ln from tree where n = 1),
+     top as (select 0 as level, lpos as pos, subroot as hash, ln as n from subs
+             union all select level + 1, pos // 2, sha256(string_agg(hash, '' order by pos)), (n + 1) // 2 from top where n > 1 group by level, pos // 2, n),
+     walk as (select 0 as level, rid, lang, pos, n, '' as proof, coalesce(changed, leaf) as folded from r
+              union all select w.level + 1, w.rid, w.lang, w.pos // 2, (w.n + 1) // 2, w.proof || coalesce(t.hash, ''),
+                sha256(case when w.pos % 2 = 1 then t.hash || w.folded else w.folded || coalesce(t.hash, '') end)
+              from walk w left join tree t on t.level = w.level and t.lang is not distinct from w.lang and t.pos = xor(w.pos, 1) where w.n > 1),
+     climb as (select 0 as level, w.rid, s.subroot, s.lpos as pos, s.ln as n, w.proof, w.folded from walk w join subs s on s.lang is not distinct from w.lang where w.n = 1
+               union all select c.level + 1, c.rid, c.subroot, c.pos // 2, (c.n + 1) // 2, c.proof || coalesce(t.hash, ''),
+                 sha256(case when c.pos % 2 = 1 then t.hash || c.folded else c.folded || coalesce(t.hash, '') end)
+               from climb c left join top t on t.level = c.level and t.pos = xor(c.pos, 1) where c.n > 1)
+select f.doc_id, f.leaf, c.subroot, (select hash from top where n = 1) as root, sha256(c.proof) as proof_sha256, c.folded as folded_root,
+       c.folded = (select hash from top where n = 1) as verified
+from f join climb c on c.rid = f.rid and c.n = 1
 """,
 }
