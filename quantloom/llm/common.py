@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: XXH64 constants that spread a 64-bit integer (fixed values of the splitmix64 finalizer).
 MIX_1 = 0xBF58476D1CE4E5B9
@@ -82,6 +83,11 @@ def map_rows(df: DataFrame, work: Callable[..., tuple], schema: str) -> DataFram
     return df.mapInArrow(run, schema)
 
 
+def wider(df: DataFrame, ddl: str) -> StructType:
+    """The schema of ``df`` with more columns."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(ddl).fields])
+
+
 def arrow_type(name: str) -> pa.DataType:
     plain = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_()}
     return plain[name] if name in plain else pa.list_(plain[name.removeprefix("array<").removesuffix(">")])

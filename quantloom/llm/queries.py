@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantloom.llm import chat, compression_classifier, context_mixing, decontamination, html_extraction, merkle, mixing, quality_rules, secrets, simhash, url_filter
+from quantloom.llm import chat, compression_classifier, context_mixing, decontamination, html_extraction, merkle, mixing, quality_rules, secrets, simhash, url_filter, vector_codes, vector_links
 from quantloom.llm.common import table
 
 
@@ -65,6 +65,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_code_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_links.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
 
@@ -80,8 +88,29 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_code_compression": op11_vector_code_compression,
+    "op12_embedding_near_dedup": op12_embedding_near_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
+
+
+def codes_sql(rounds: int = 4) -> str:
+    """Integer codebooks round by round: every part against every entry, then the means rounded down."""
+    nearest = "select rid, part, label, v, min(d) as d, arg_min(entry, (d, entry)) as entry from (select p.rid, p.part, p.label, p.v, c.entry, list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))) as d from p join c{k} c using (part)) x group by rid, part, label, v"
+    step = """, a{k} as materialized ({nearest}),
+     m{k} as (select part, entry, list(cast(floor(s / n) as bigint) order by i) as v from (select part, entry, i, sum(v[i])::double as s, count(*) as n from (select part, entry, v, unnest(range(1, len(v) + 1)) as i from a{k}) y group by part, entry, i) z group by part, entry),
+     c{next} as materialized (select c.part, c.entry, coalesce(m.v, c.v) as v from c{k} c left join m{k} m using (part, entry))"""
+    sql = """with k as (select row_number() over (order by vec_id) as rid, vec_id, label, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v from embeddings
+       where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+     p as materialized (select rid, vec_id, label, part, v[1 + part * (len(v) // 4) : (part + 1) * (len(v) // 4)] as v from k, range(4) t(part)),
+     c0 as materialized (select part, rid - 1 as entry, v from p where rid <= 256)"""
+    for k in range(rounds):
+        sql += step.format(k=k, next=k + 1, nearest=nearest.format(k=k))
+    return sql + f""", e as (select rid, label, string_agg(printf('%02x', entry), '' order by part) as code, cast(sum(d) as bigint) as error from ({nearest.format(k=rounds)}) q group by rid, label)
+select k.vec_id, e.code, e.error, cast(sum(e.error) over (partition by e.label) as bigint) as label_error,
+       sha256((select string_agg(array_to_string(v, ','), ',' order by part, entry) from c{rounds})) as codebooks_sha256 from e join k using (rid)"""
+
+
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": r"""
 with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
@@ -119,6 +148,15 @@ with d as (select doc_id, row_number() over () as rid,
 select doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
        coalesce(items_sha256, sha256('')) as items_sha256, n_hit is not null as contaminated
 from d left join h using (rid) left join n using (rid)
+""",
+    "op11_vector_code_compression": codes_sql(),
+    "op12_embedding_near_dedup": """
+with recursive v as (select row_number() over () as rid, vec_id, case when embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+             and len(list_filter(embedding, lambda x: x <> 0)) > 0 then label end as label, cast(embedding as double[]) as x from embeddings),
+     l as materialized (select a.rid, b.rid as other, b.vec_id as id from v a join v b on a.label = b.label and a.rid <> b.rid and len(a.x) = len(b.x) where list_cosine_similarity(a.x, b.x) >= 0.98),
+     r as (select rid, rid as node, vec_id as id from v union select r.rid, l.other, l.id from r join l on l.rid = r.node),
+     n as (select rid, count(*) as n from l group by rid), c as (select rid, min(id) as component_id from r group by rid)
+select v.vec_id, coalesce(n, 0) as n_links, component_id, v.vec_id is not distinct from component_id as kept from v left join n using (rid) join c using (rid)
 """,
     "op13_merkle_manifest": r"""
 with recursive bits as (select i, list_reduce(list_prepend(cast(i as bigint), range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end) as c from range(256) t(i)),
