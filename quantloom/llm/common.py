@@ -54,9 +54,18 @@ def dropped(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def quoted(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def whole_row(docs: DataFrame) -> Column:
+    return F.struct(*map(quoted, docs.columns))
+
+
 def spread_by_key(docs: DataFrame) -> DataFrame:
     """(row, key): whole rows as a struct beside a 64-bit key of them, so that no name of theirs can clash."""
-    return docs.select(F.struct(*docs.columns).alias("row"), row_key(*docs.columns).alias("key"))
+    return docs.select(whole_row(docs).alias("row"), row_key(*docs.columns).alias("key"))
 
 
 def without_keys(docs: DataFrame, keys: DataFrame, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -105,7 +114,7 @@ def held_out(mod: int, rest: int) -> Column:
 
 def row_key(*columns: str) -> Column:
     """64-bit key of whole rows; nulls and empty values differ."""
-    return F.xxhash64(*(x for c in columns for x in (F.col(c).isNull(), F.col(c))))
+    return F.xxhash64(*(x for c in map(quoted, columns) for x in (c.isNull(), c)))
 
 
 def ints(xs: list[int]) -> str:

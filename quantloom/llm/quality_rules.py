@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import cut
+from quantloom.llm.common import cut, whole_row
 
 SYMBOLS = b"#*$%&|<>"
 UPPER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -271,4 +271,4 @@ def accepted(docs: DataFrame, shrink_rows: float = 100.0, quantile: float = 1 -
     """The rows of ``docs`` that are kept, with their own columns; texts are counted again and not shuffled."""
     counts = cut(text_counts(docs.withColumn("doc_id", F.lit(0)) if "doc_id" not in docs.columns else docs))
     judge = judges(with_base(counts).filter(~F.col("base_failed")), support, shrink_rows)
-    return judged(text_counts(docs, F.struct(*docs.columns)), judge, quantile).filter("kept").select("carried.*")
+    return judged(text_counts(docs, whole_row(docs)), judge, quantile).filter("kept").select("carried.*")

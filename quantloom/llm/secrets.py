@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import cut, map_rows
+from quantloom.llm.common import cut, map_rows, whole_row
 
 KINDS = ("assign", "access", "hex", "guess")
 #: What introduces a credential, the pattern kinds of the base, and keyboard rows.
@@ -65,16 +65,20 @@ def letter_cost(c: str) -> float:
     return math.log10(10 if c.isdigit() else 26 if c.islower() or c.isupper() else 33 if c.isascii() else 1000)
 
 
-def segments(value: str, i: int, ranks: dict[str, int], longest: int) -> Iterator[tuple[int, float]]:
-    """(end, log10 guesses) of every word, date, repeat and keyboard walk that begins at ``i``."""
+def heads_of(ranks: dict[str, int]) -> dict[str, int]:
+    """Length of the longest dictionary word for each beginning of three letters."""
+    out: dict[str, int] = {}
+    for w in ranks:
+        out[w[:3]] = max(out.get(w[:3], 0), len(w))
+    return out
+
+
+def plain_segments(value: str, i: int, ranks: dict[str, int], heads: dict[str, int], longest: int) -> Iterator[tuple[int, float]]:
+    """(end, log10 guesses) of every date, keyboard walk and word that begins at ``i``."""
     n, c = len(value), value[i]
-    ends = {m.end() for m in [DATE.match(value, i)] if m} | ({i + 4} if YEAR.match(value, i) else set())
-    yield from ((j, 2.0 if j - i <= 4 else 4.6) for j in ends)
-    j = n if i and value[i - 1] == c else i + 1
-    while j < n and value[j] == c:  # the same character again, from where it begins
-        j += 1
-        if j - i >= 3:
-            yield j, letter_cost(c) + math.log10(j - i)
+    if c.isdigit():
+        ends = {m.end() for m in [DATE.match(value, i)] if m} | ({i + 4} if YEAR.match(value, i) else set())
+        yield from ((j, 2.0 if j - i <= 4 else 4.6) for j in ends)
     row, place = WALKS.get(c.lower(), (-1, 0))
     for step in (1, -1):  # a walk along a row of keys
         j, at = i + 1, place + step
@@ -82,40 +86,117 @@ def segments(value: str, i: int, ranks: dict[str, int], longest: int) -> Iterato
             j, at = j + 1, at + step
             if j - i >= 3:
                 yield j, math.log10(4 * 10 * (j - i))
-    for j in range(i + 3, min(n, i + longest) + 1):
+    head = value[i : i + 3].lower()
+    for j in range(i + 3, min(n, i + min(longest, max(heads.get(head, 0), heads.get(head.translate(LEET), 0)))) + 1):
         cost = word_cost(value[i:j], ranks)
         if cost is not None:
             yield j, cost
-    for size in range(2, (n - i) // 2 + 1):  # a block that repeats at once, from where it begins
-        if value[i + size] != c or value[i : i + size] != value[i + size : i + 2 * size] or (i >= size and value[i - size : i] == value[i : i + size]):
-            continue
-        block, j = value[i : i + size], i + size
-        while value[j : j + size] == block:
-            j += size
-            yield j, size * math.log10(36) + math.log10((j - i) // size)
 
 
-def guess_cost(value: str, ranks: dict[str, int], longest: int = 48, enough: float | None = None) -> float:
+def repeat_cost(value: str, i: int, size: int) -> float | None:
+    """log10 guesses of the block of ``size`` at ``i`` that repeats at once, from where it begins, and is cheap to repeat; else None.
+
+    A single character must come three times, a longer block twice.
+    """
+    block = value[i : i + size]
+    if block != value[i + size : i + 2 * size] or (size == 1 and value[i + 2 : i + 3] != block) or (i >= size and value[i - size : i] == block):
+        return None
+    return letter_cost(block) if size == 1 else size * math.log10(36)
+
+
+def repeat_end(value: str, i: int, size: int) -> int:
+    """Where the repetition with period ``size`` that begins at ``i`` breaks off: by comparing slices that double."""
+    k, step = 0, 64
+    while step:
+        if i + size + k + step <= len(value) and value[i + k : i + k + step] == value[i + size + k : i + size + k + step]:
+            k, step = k + step, step * 2
+        else:
+            step //= 2
+    return i + size + k
+
+
+def segments(value: str, i: int, ranks: dict[str, int], longest: int, heads: dict[str, int] | None = None) -> Iterator[tuple[int, float]]:
+    """(end, log10 guesses) of every word, date, repeat and keyboard walk that begins at ``i``."""
+    yield from plain_segments(value, i, ranks, heads_of(ranks) if heads is None else heads, longest)
+    for size in range(1, (len(value) - i) // 2 + 1):
+        cost = repeat_cost(value, i, size)
+        if cost is not None:
+            for times in range(3 if size == 1 else 2, (repeat_end(value, i, size) - i) // size + 1):
+                yield i + times * size, cost + math.log10(times)
+
+
+def guess_cost(value: str, ranks: dict[str, int], longest: int = 48, enough: float | None = None, heads: dict[str, int] | None = None) -> float:
     """Least log10 guesses over all segmentations of ``value``; words are looked up to ``longest`` characters.
 
-    With ``enough`` the search ends as soon as it is known on which side of it the cost lies, and some
-    number on that side is returned: no later segment can lower what all segmentations so far have reached.
+    With ``enough`` only the side of it on which the cost lies is asked, and some number on that side is returned.
     """
+    heads = heads_of(ranks) if heads is None else heads
+    if enough is not None:
+        return side_of(value, ranks, longest, enough, heads)
     n = len(value)
     best = [0.0] + [math.inf] * n
-    reached = {}  # what segmentations have got to, beyond the place being looked at
     for i in range(n):
-        reached.pop(i, None)
         here = best[i] + (math.log10(2) if i else 0.0)  # another segment doubles what must be tried
-        best[i + 1] = reached[i + 1] = min(best[i + 1], best[i] + letter_cost(value[i]))
-        for j, cost in segments(value, i, ranks, longest):
-            if here + cost < best[j]:
-                best[j] = reached[j] = here + cost
-        if enough is not None and (best[n] < enough or min(reached.values()) >= enough):
-            return min(reached.values()) if best[n] >= enough else best[n]
+        best[i + 1] = min(best[i + 1], best[i] + letter_cost(value[i]))
+        for j, cost in segments(value, i, ranks, longest, heads):
+            best[j] = min(best[j], here + cost)
     return best[n]
 
 
+def side_of(value: str, ranks: dict[str, int], longest: int, enough: float, heads: dict[str, int]) -> float:
+    """A number on the side of ``enough`` (50 at most) on which the guess cost of ``value`` lies, in time linear in its length.
+
+    Places that cost enough are not followed up, so blocks that cost enough once are no repeats here, and a
+    repetition is carried along as what its next round costs. Deep inside one where nothing else has begun for
+    ``quiet`` characters, nothing else can begin until it breaks off, and single characters up to there would cost enough: the rest is skipped.
+    """
+    n, sizes, quiet = len(value), range(1, int(enough / math.log10(36)) + 1), longest + 12
+    if n == 0:
+        return 0.0
+    ahead = {0: 0.0}  # what segmentations have got to, from the place being looked at
+    repeats: list[tuple[int, int, float, int]] = []  # begin, size, cost but for the times, end
+    i, still, final = 0, 0, math.inf
+    while i < n:
+        now = ahead.pop(i, math.inf)
+        repeats = [r for r in repeats if r[3] >= i]
+        for begin, size, cost, _ in repeats:
+            times, part = divmod(i - begin, size)
+            if part == 0 and times >= (3 if size == 1 else 2):
+                now = min(now, cost + math.log10(times))
+        still += 1
+        if now < enough:
+            here = now + (math.log10(2) if i else 0.0)
+            steps = [(i + 1, now + letter_cost(value[i]))]
+            for j, cost in plain_segments(value, i, ranks, heads, longest):
+                steps.append((j, here + cost))
+                still = 0
+            for size in sizes:
+                cost = repeat_cost(value, i, size)
+                if cost is not None:
+                    still, end = 0, repeat_end(value, i, size)
+                    times = (end - i) // size
+                    repeats.append((i, size, here + cost, i + times * size))
+                    if i + times * size == n:
+                        steps.append((n, here + cost + math.log10(times)))
+            for j, cost in steps:
+                if j == n:
+                    final = min(final, cost)
+                elif cost < ahead.get(j, math.inf):
+                    ahead[j] = cost
+        elif any(True for _ in plain_segments(value, i, ranks, heads, longest)) or any(repeat_cost(value, i, size) is not None for size in sizes):
+            still = 0  # something begins here, though it is not followed up
+        if final < enough:
+            return final
+        i += 1
+        least = min([final, *ahead.values(), *(cost + math.log10(max(2, (i - begin) // size)) for begin, size, cost, end in repeats if end >= i)])
+        if least >= enough:
+            return least
+        far = max((end for begin, _, _, end in repeats if i - begin >= 2 * quiet), default=0) - 2 * quiet
+        if still >= quiet and far > i:
+            i, ahead = far, {}
+    return final
+
+
 WALKS = walks()
 
 
@@ -138,9 +219,9 @@ def matches_at(pattern: re.Pattern, text: bytes, starts: list[int]) -> Iterator[
             yield m
 
 
-def secret_spans(text: bytes | None, ranks: dict[str, int], least_cost: float = 8.0) -> list[tuple[str, int, int, int, int]]:
+def secret_spans(text: bytes | None, ranks: dict[str, int], least_cost: float = 8.0, heads: dict[str, int] | None = None) -> list[tuple[str, int, int, int, int]]:
     """(kind, start, end, value start, value end) in code points, by start and then kind as in KINDS."""
-    text = text or b""
+    text, heads = text or b"", heads_of(ranks) if heads is None else heads
     low = text.lower()
     found = []
     for m in matches_at(ASSIGN, text, starts_of(low, ASSIGN_STARTS)):
@@ -155,8 +236,7 @@ def secret_spans(text: bytes | None, ranks: dict[str, int], least_cost: float =
         b = a + len(value)
         if any(x <= a and b <= y for x, y in values):
             continue
-        partly = any(x < b and a < y for x, y in values)  # what the base patterns found is not all of the value
-        if partly or guess_cost(value.decode("utf-8", "replace"), ranks, enough=least_cost) >= least_cost:
+        if guess_cost(value.decode("utf-8", "replace"), ranks, enough=least_cost, heads=heads) >= least_cost:
             found.append(("guess", *m.span()[:1], b, a, b))
     if not text.isascii() and found:
         ends = sorted({x for _, *span in found for x in span})
@@ -201,13 +281,14 @@ def word_ranks(docs: DataFrame, top: int = 20_000) -> dict[str, int]:
 def scanned(docs: DataFrame, carry: Column, top: int = 20_000, least_cost: float = 8.0) -> DataFrame:
     """(carried, text, spans) for each row of ``docs``: spans are kind:start:end:value_start:value_end strings."""
     ranks = docs.sparkSession.sparkContext.broadcast(word_ranks(docs, top))
+    heads = docs.sparkSession.sparkContext.broadcast(heads_of(ranks.value))
     slim = docs.select(carry.alias("carried"), "text")
     fields = slim.withColumn("spans", F.array().cast("array<string>")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = b.column(1).cast(pa.binary()).to_pylist()
-            spans = [[":".join(map(str, s)) for s in secret_spans(t, ranks.value, least_cost)] for t in texts]
+            spans = [[":".join(map(str, s)) for s in secret_spans(t, ranks.value, least_cost, heads.value)] for t in texts]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(spans, pa.list_(pa.string()))], names=fields.names)
 
     return slim.mapInArrow(run, fields)
@@ -217,7 +298,7 @@ def secret_report(docs: DataFrame, top: int = 20_000, least_cost: float = 8.0) -
     """For each row of ``docs(doc_id, text)``: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Spans are those of whole matches; kind guess adds credential values that no base span covers
-    whole: those of high guess cost, and those of which a base span covers a part.
+    whole and whose guess cost is high.
     Null and empty texts have none; repeated rows each get their row; other columns are ignored;
     an empty table gives an empty result.
     """
@@ -234,7 +315,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", top: int = 20_000, least_c
 
     All columns stay, whatever their names; null texts stay null, and an empty table stays empty.
     """
-    found = scanned(docs, F.struct(*docs.columns), top, least_cost)
+    found = scanned(docs, whole_row(docs), top, least_cost)
     end = lambda s, i: F.element_at(F.split(s, ":"), i).cast("int")
     ends = F.transform("spans", lambda s: F.struct(end(s, 4).alias("a"), end(s, 5).alias("b")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
