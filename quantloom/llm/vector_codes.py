@@ -167,7 +167,7 @@ def refined(rows: DataFrame, pivots: list[np.ndarray], books: list[np.ndarray],
         )
 
     parts = rows.select("vec", "near").mapInArrow(run, "slot int, n long, sums array<long>")
-    total = parts.groupBy("slot").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("sums")[i]) for i in range(width))).alias("sums"))
+    total = parts.groupBy("slot").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("sums")[i]) for i in range(width))).cast("array<long>").alias("sums"))
     new = [b.copy() for b in books]
     for slot, n, sums in total.collect():  # a row for each entry of the codebooks at most
         new[slot // size][slot % size] = [s // n for s in sums]
@@ -200,7 +200,8 @@ def compressed(rows: DataFrame, parts: int = 4, entries: int = 256, rounds: int
         raise ValueError("a code has two hexadecimal digits: 1 to 256 entries")
     whole, width = integer_vectors(rows, parts)
     whole = stored(whole)
-    seeds = np.array([r["vec"] for r in whole.orderBy(F.asc_nulls_last("vec_id"), "vec").select("vec").limit(entries).collect()], dtype=np.int64).reshape(-1, width * parts)
+    first = [r["vec"] for r in whole.orderBy(F.asc_nulls_last("vec_id"), "vec").select("vec").limit(entries).collect()]
+    seeds = np.array(first, dtype=np.int64).reshape(len(first), width * parts)
     books = [seeds[:, k * width : (k + 1) * width] for k in range(parts)]
     fixed = [spread_pivots(b, pivots) for b in books]
     near = stored(with_pivot_distances(whole, fixed, width))
