@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.exprs import by_code, full_window, rolling
+from quantloom.operators import scans
 
 CODE, DATE = "stock_code", "trade_date"
 
@@ -39,7 +39,16 @@ def turnover_adjusted(df: DataFrame, window: int = 5) -> DataFrame:
 
 
 def volume_price_trend(df: DataFrame) -> DataFrame:
-    return with_volume_price_trend(df.withColumn("_ret", daily_return())).drop("_ret")
+    """Running sum of volume change times daily return, in stretches of days: a long history is many tasks."""
+    rows = scans.with_last_known(scans.stretched(df).withColumn("_priced", F.col("close")), ["close"])
+    rows = scans.with_last_known(rows, ["_priced"], before=True)
+    ends = {"_end": F.max_by("volume", DATE)}
+    rows = scans.with_carry(rows, ends, {"_end_before": F.last("_end").over(scans.earlier())})
+    first = F.row_number().over(scans.within()) == 1
+    earlier = F.when(first, F.col("_end_before")).otherwise(F.lag("volume").over(scans.within()))
+    moved = (F.col("volume") - earlier) * (F.try_divide("close_known", "_priced_known") - 1)
+    rows = rows.withColumn("_m", F.coalesce(moved, F.lit(0.0)))
+    return scans.with_running_sum(rows, "_m", "vpt").select(*df.columns, "vpt")
 
 
 def with_volume_price_trend(df: DataFrame) -> DataFrame:
@@ -106,22 +115,11 @@ def relative_strength(df: DataFrame, window: int = 14) -> DataFrame:
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> DataFrame:
-    """Difference of two exponentially weighted means (adjusted weights), its own such mean, and what is between them.
-
-    A recurrence over a stock's days, which no window frame expresses: one pass of a stock's history in pandas.
-    """
-    names = ("macd", "macd_signal", "macd_hist")
-    fields = df.drop(*names).schema
-    for name in names:
-        fields = fields.add(name, "double")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(DATE)
-        mean = lambda x, span: x.ewm(span=span, adjust=True).mean()
-        line = mean(pdf["close"], fast) - mean(pdf["close"], slow)
-        return pdf.assign(macd=line, macd_signal=mean(line, signal), macd_hist=line - mean(line, signal))
-
-    return df.drop(*names).groupBy(CODE).applyInPandas(run, fields)
+    """Difference of two exponentially weighted means (adjusted weights), its own such mean, and what is between them."""
+    df = df.drop("macd", "macd_signal", "macd_hist")
+    rows = scans.with_weighted_means(scans.stretched(df), "close", {"_fast": fast, "_slow": slow})
+    rows = scans.with_weighted_means(rows.withColumn("macd", F.col("_fast") - F.col("_slow")), "macd", {"macd_signal": signal})
+    return rows.select(*df.columns, "macd", "macd_signal", (F.col("macd") - F.col("macd_signal")).alias("macd_hist"))
 
 
 def period_end(date: str, freq: str) -> Column:
@@ -152,9 +150,9 @@ def filled_calendar(df: DataFrame, columns: Sequence[str] = ("close",)) -> DataF
     """Every calendar day between the first and last date of all, for each stock, carried forward; leading gaps stay null."""
     span = df.agg(F.min(DATE).alias("a"), F.max(DATE).alias("b"))
     grid = df.select(CODE).distinct().join(F.broadcast(span)).select(CODE, F.explode(F.sequence("a", "b")).alias(DATE))  # span is one row
-    joined = grid.join(df.select(CODE, DATE, *columns), [CODE, DATE], "left")
-    carried = by_code().rowsBetween(Window.unboundedPreceding, 0)
-    return joined.select(CODE, DATE, *(F.last(c, ignorenulls=True).over(carried).alias(c) for c in columns))
+    rows = scans.stretched(df.select(CODE, DATE, *columns))
+    joined = scans.stretched(grid).join(rows, [CODE, scans.STRETCH, DATE], "left")
+    return scans.with_last_known(joined, columns).select(CODE, DATE, *(F.col(f"{c}_known").alias(c) for c in columns))
 
 
 def wide(df: DataFrame, value: str, codes: Sequence[str]) -> DataFrame:
