@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quantloom.functions.exprs import guarded_corr
 from quantloom.functions.predicates import between, members
 from quantloom.operators.pit import latest
+from quantloom.operators.selection import quantiles
 
 KEY = ("trade_date", "stock_code")
 LONG_KEY = ("trade_date", "stock_code", "factor_name")
@@ -47,10 +48,16 @@ def factor_matrix(names: Sequence[str], long: DataFrame, codes: Sequence[str] =
 
 
 def value_stats(rows: DataFrame, value: str, *by: str) -> DataFrame:
-    """Count, mean, sample deviation, least, most, median; one row of nulls for no rows and no ``by``."""
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"), F.median(value).alias("median")
-    )
+    """Count, mean, sample deviation, least, most, median; one row of nulls for no rows and no ``by``.
+
+    The median is exact and found by selection, so that no task holds the values of a group.
+    """
+    stats = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("least"), F.max(value).alias("most"))
+    middle = quantiles(rows, value, 0.5, by, "median").withColumnsRenamed({c: f"_{c}" for c in by})
+    same = F.lit(True)
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return stats.join(middle, same, "left").drop(*(f"_{c}" for c in by))
 
 
 def factor_stats(name: str, long: DataFrame, date: dt.date | None = None) -> DataFrame:
@@ -119,6 +126,6 @@ def industry_distribution(info: DataFrame, codes: Sequence[str]) -> DataFrame:
 def quantile_stocks(long: DataFrame, name: str, date: dt.date, q: float, top: bool = True) -> DataFrame:
     """Stocks at or beyond the quantile of the date's values: the upper ``q`` share, or the lower."""
     rows = factor(name, long, start=date, end=date)
-    edge = rows.agg(F.percentile("factor_value", 1 - q if top else q).alias("edge"))
+    edge = quantiles(rows, "factor_value", 1 - q if top else q, name="edge")
     joined = rows.join(F.broadcast(edge))  # one row
     return joined.filter(F.col("factor_value") >= F.col("edge") if top else F.col("factor_value") <= F.col("edge")).select("stock_code", "factor_value")
