@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quantloom.functions import exprs
 from quantloom.functions.predicates import QueryFilter, between, members
-from quantloom.operators import calc, checks, factors, fusion, macro, news, pit, prices
+from quantloom.operators import calc, checks, factors, fusion, macro, matrix, news, pit, prices
 from quantloom.plans.fixtures import frame, with_fixtures
 from quantloom.sources import ingest, sinks
 from quantloom.streaming import feeds
@@ -49,10 +49,6 @@ class Tables:
     def latest_bars(self) -> DataFrame:
         return pit.latest(self.bars_versions, non_null=("close",))
 
-    def codes(self) -> list[str]:
-        """All stock codes: the columns of a matrix of prices."""
-        return [r["stock_code"] for r in self.stock_info.select("stock_code").orderBy("stock_code").collect()]
-
     def pe(self, date: dt.date) -> DataFrame:
         return factors.factor("PE", self.factor_long, start=date, end=date)
 
@@ -428,7 +424,7 @@ register("c15_filled_calendar", f"select stock_code, trade_date, last_value(clos
 )
 _cw = ", ".join(f"max(case when stock_code = '{c}' then close end) as \"{c}\"" for c in CODES)
 register("c16_long_to_wide", f"select trade_date, {_cw} from {{bars}} where {IN_CODES} group by trade_date", " ".join(f'"{c}"' for c in CODES), 7)(lambda t: calc.wide(t.bars, "close", CODES))
-register("c16_wide_to_long", "select trade_date, stock_code, close from {bars}", "close", 7)(lambda t: calc.long(calc.wide(t.bars, "close", t.codes()), "close"))
+register("c16_wide_to_long", "select trade_date, stock_code, close from {bars}", "close", 7)(lambda t: matrix.unblocked(matrix.blocked(t.bars, ["close"], (d := matrix.places(t.bars))), ["close"], d))
 
 # --- X: multi-source ---------------------------------------------------------------------------------------------
 
@@ -502,9 +498,22 @@ register(
 # --- L: loading --------------------------------------------------------------------------------------------------
 
 _long_day = "select trade_date, stock_code, close from {bars}"
-register("l3_unpivot_matrix", _long_day, "close", 7)(lambda t: ingest.unpivot_matrix(calc.wide(t.bars, "close", t.codes())).withColumnRenamed("val", "close"))
+
+
+def landed_matrix(t: Tables) -> str:
+    """The close of all stocks as text files of a year each, a header and a line a date."""
+    path = f"{sinks.scratch(t.spark)}/matrix"
+    lines = matrix.matrix_lines(t.bars, "close", matrix.places(t.bars))
+    lines.repartition("year").sortWithinPartitions("year", F.desc("head"), "trade_date").select("year", "line").write.partitionBy("year").text(path)
+    return path
+
+
+register("l3_unpivot_matrix", _long_day, "close", 7)(lambda t: ingest.read_matrix(t.spark, landed_matrix(t)).withColumnRenamed("val", "close"))
 register("l4_append_version", "select trade_date, stock_code, cast(null as double) as open, close from {bars}", "open close", 7)(
-    lambda t: ingest.as_version(ingest.unpivot_matrix(calc.wide(t.bars, "close", t.codes())), "close", "2024-01-01")[1].select("trade_date", "stock_code", "open", "close")
+    lambda t: ingest.as_version(ingest.read_matrix(t.spark, landed_matrix(t)), "close", "2024-01-01")[1].select("trade_date", "stock_code", "open", "close")
+)
+register("p4_all_stocks", f"select trade_date, stock_code, close, volume from {BARS_NOW} x where {IN_RANGE}", "close", 7)(
+    lambda t: matrix.unblocked(matrix.blocked(pit.latest(between(t.bars_versions, START, END), non_null=("close",)), ["close", "volume"], (d := matrix.places(t.stock_info))), ["close", "volume"], d)
 )
 _wide = "trade_date, stock_code, arg_max(factor_value, loaded_at) filter (where factor_name = 'PE') as PE, arg_max(factor_value, loaded_at) filter (where factor_name = 'PB') as PB"
 register("l5_column_upsert", f"select coalesce(w.trade_date, n.trade_date) as trade_date, coalesce(w.stock_code, n.stock_code) as stock_code, coalesce(n.v, PE) as PE, PB from (select {_wide} from {{factor_long}} where factor_name in ('PE', 'PB') group by 1, 2) w full join (select trade_date, stock_code, 99.0 as v from {{bars}} where {IN_CODES}) n on w.trade_date = n.trade_date and w.stock_code = n.stock_code", "PE PB")(

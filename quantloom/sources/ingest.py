@@ -79,6 +79,23 @@ def unpivot_matrix(wide: DataFrame, date: str = "trade_date", value: str = "val"
     return long.withColumn("stock_code", normalize_code("stock_code"))
 
 
+def read_matrix(spark: SparkSession, path: str, date: str = "trade_date", value: str = "val") -> DataFrame:
+    """Landed text matrices, dates by codes, as (trade_date, stock_code, value) like ``unpivot_matrix``, whatever their width.
+
+    Lines are split into cells by position, and a cell's code is that of the header of its own file, so that columns
+    are data: the plan does not grow with them. A header begins with ``date``, wherever a split of the file begins.
+    """
+    lines = spark.read.text(path).withColumns({"cells": F.split("value", ","), "file": F.col("_metadata.file_path")})
+    heads = lines.filter(F.trim(F.col("cells")[0]) == date).select("file", F.posexplode("cells").alias("at", "code")).filter("at > 0")
+    heads = heads.select("file", "at", normalize_code("code").alias("stock_code"))
+    twice = heads.groupBy("file", "stock_code").count().filter("count > 1").limit(1).collect()
+    if twice:
+        raise ValueError(f"two columns of {twice[0]['file']} are the same stock code")
+    rows = lines.select("file", F.expr("try_cast(trim(cells[0]) as date)").alias("trade_date"), F.posexplode("cells").alias("at", "cell")).filter("at > 0 and trade_date is not null")
+    typed = rows.withColumn(value, F.expr("try_cast(cell as double)")).filter(F.col(value).isNotNull())
+    return typed.join(heads, ["file", "at"]).select("trade_date", "stock_code", value)
+
+
 def as_version(long: DataFrame, field: str, loaded_at: str, value: str = "val") -> tuple[str, DataFrame]:
     """(table, rows): a price field becomes a version with that field alone, any other a factor."""
     at = F.lit(loaded_at).cast("timestamp").alias("loaded_at")
