@@ -32,6 +32,12 @@ def level1(ticks: DataFrame, codes: Sequence[str] = (), date: dt.date | None = N
     return rows.select(*fields).orderBy("trade_date", "trade_sec", "stock_code")
 
 
+def level1_of(ticks: DataFrame, days: DataFrame, fields: Sequence[str] = TICK) -> DataFrame:
+    """Ticks of the dates in ``days``, a row a date: of a table partitioned by date only their folders are read."""
+    rows = ticks.join(F.broadcast(days.select("trade_date")), "trade_date", "left_semi")
+    return rows.select(*fields).orderBy("trade_date", "trade_sec", "stock_code")
+
+
 def price_matrix(versions: DataFrame, field: str, codes: Sequence[str], start: dt.date | None = None, end: dt.date | None = None, adjust: str = "none", as_of: str | None = None) -> DataFrame:
     """Dates by the given codes; an explicit list keeps the pivot to one job and a known width."""
     rows = latest(members(between(versions, start, end), codes), as_of=as_of, non_null=(field,))

@@ -15,7 +15,7 @@ from quantloom.functions import exprs
 from quantloom.functions.predicates import QueryFilter, between, members
 from quantloom.operators import calc, checks, factors, fusion, macro, matrix, news, pit, prices
 from quantloom.plans.fixtures import frame, with_fixtures
-from quantloom.sources import ingest, sinks
+from quantloom.sources import ingest, sinks, stored
 from quantloom.streaming import feeds
 
 MAKE: dict[str, Callable] = {}
@@ -722,6 +722,139 @@ register("o8_world_rows", "select cast(date_trunc('year', trade_date) as date) a
 )
 
 
+# --- stored tables: written in parts and read back ---------------------------------------------------------------
+
+
+def stored_months(t: Tables, df: DataFrame) -> str:
+    """A table of versions in folders by month, sorted as loaded."""
+    path = f"{sinks.scratch(t.spark)}/months"
+    stored.with_month(df).repartition("month").sortWithinPartitions("month", "stock_code", "trade_date").write.partitionBy("month").parquet(path)
+    return path
+
+
+_compacted = f"(select *, max(case when loaded_at < timestamp '{AS_OF} 00:00:00' then loaded_at end) over (partition by trade_date, stock_code) as old from {{bars_versions}})"
+_stays = f"(loaded_at >= timestamp '{AS_OF} 00:00:00' or loaded_at = old)"
+register(
+    "b8_compacted_partitions",
+    f"select cast(date_trunc('month', trade_date) as date) as month, count(*) filter (where {_stays}) as n_kept, count(*) filter (where not {_stays}) as n_dropped from {_compacted} x group by 1 having count(*) filter (where not {_stays}) > 0",
+)(lambda t: stored.compact_table(t.spark, stored_months(t, t.bars_versions), AS_OF))
+
+
+@register("b8_compacted_table", f"select {_versions} from {_compacted} x where {_stays}", BAR.replace("volume, ", ""), 7)
+def b8_table(t: Tables) -> DataFrame:
+    """The stored table after compaction, and after another that finds nothing to do."""
+    path = stored_months(t, t.bars_versions)
+    for _ in range(2):
+        stored.compact_table(t.spark, path, AS_OF)
+    return _loaded(t.spark.read.parquet(path))
+
+
+def dual_written(t: Tables) -> str:
+    """Two factors stored one after the other, then an update of one for some stocks in a few months, twice."""
+    root = sinks.scratch(t.spark)
+    day = lambda name: t.factor_values.select("trade_date", "stock_code", F.col(name).alias("factor_value"))
+    stored.store_factor(t.spark, root, day("pe"), "PE", "2024-01-01 00:00:00")
+    stored.store_factor(t.spark, root, between(day("pb"), START), "PB", "2024-01-02 00:00:00")
+    for _ in range(2):
+        stored.store_factor(t.spark, root, members(between(day("roe"), START, END), CODES), "PE", "2024-01-03 00:00:00")
+    return root
+
+
+_updated = f"{IN_CODES} and {IN_RANGE}"
+register("l5_dual_write_wide", f"select trade_date, stock_code, case when {_updated} then roe else pe end as PE, case when trade_date >= date '{START}' then pb end as PB from {{factor_values}}", "PE PB", 7)(
+    lambda t: stored.stored_wide(t.spark, dual_written(t)).select("trade_date", "stock_code", "PE", "PB")
+)
+register(
+    "l5_dual_write_history",
+    f"select trade_date, stock_code, 'PE' as factor_name, pe as factor_value, 1 as day from {{factor_values}} union all select trade_date, stock_code, 'PB', pb, 2 from {{factor_values}} where trade_date >= date '{START}' union all select trade_date, stock_code, 'PE', roe, 3 from {{factor_values}} where {_updated}",
+    "factor_value", 7,
+)(lambda t: stored.stored_history(t.spark, dual_written(t)).withColumn("day", F.day("loaded_at")).drop("loaded_at"))
+
+
+def stored_ticks(t: Tables) -> DataFrame:
+    """Ticks in folders by date, read back."""
+    path = f"{sinks.scratch(t.spark)}/ticks"
+    sinks.append_new_dates(t.ticks.withColumn("trade_sec", F.col("trade_sec").cast("long")), path, None)
+    return t.spark.read.parquet(path)
+
+
+_fields = ("event_id", "trade_date", "trade_sec", "stock_code", "close", "volume", "amount")
+register("p2_level1_partitioned", f"select {_tick} from {{ticks}} where trade_date = date '2024-01-03' and trade_sec between 36000 and 37800", "close amount")(
+    lambda t: prices.level1(stored_ticks(t), (), dt.date(2024, 1, 3), 36000, 37800, _fields)
+)
+register("p2_month_end_ticks", f"select {_tick} from {{ticks}} where trade_date in (select max(trade_date) from {{ticks}} group by date_trunc('month', trade_date))", "close amount")(
+    lambda t: (lambda ticks: prices.level1_of(ticks, ingest.trade_calendar(t.ticks).filter("is_month_end"), _fields))(stored_ticks(t))
+)
+
+
+def rolled_partials(t: Tables) -> DataFrame:
+    """Partial bars of three batches: most ticks, late ones, and the late ones again."""
+    root = f"{sinks.scratch(t.spark)}/partials"
+    late = F.col("event_id") % 7 == 3
+    stored.store_partials(t.ticks.filter(~late), root, "day")
+    for _ in range(2):
+        stored.store_partials(t.ticks.filter(late), root, "late")
+    return stored.stored_partials(t.spark, root)
+
+
+_bars = f"{_agg}, count(*) as n_ticks"
+register("p11_rolled_day", f"select stock_code, trade_date, {_bars} from {{ticks}} group by all", "open high low close amount vwap", 5)(lambda t: stored.merged_bars(rolled_partials(t)))
+register("p11_rolled_hour", f"select stock_code, trade_date, cast(trade_sec - trade_sec % 3600 as bigint) as bar_sec, {_bars} from {{ticks}} group by all", "open high low close amount vwap", 5)(
+    lambda t: stored.merged_bars(rolled_partials(t), 60).withColumn("bar_sec", F.col("bar_sec").cast("long"))
+)
+
+
+def logged_runs(t: Tables) -> str:
+    """Two runs: in the first the news are broken, in the second all are whole and only these two tables are run."""
+    root = sinks.scratch(t.spark)
+    news_in = t.news_sentiment.select("news_id", "publish_date", "title", F.array_join("related_stocks", ",").alias("stocks"))
+    broken = news_in.withColumn("publish_date", F.raise_error(F.lit("feed is down")).cast("date"))
+    macro_in = t.macro_data.select("trade_date", "indicator_id", "value", "value_type")
+    ingest.stored_run({"macro": macro_in, "news": broken, "none": macro_in.filter("value is null"), "odd": t.part}, root, "r1", "2024-01-01")
+    ingest.stored_run({"macro": macro_in.filter("indicator_id = 'PMI'"), "news": news_in, "odd": t.part}, root, "r2", "2024-01-02", ("macro_data", "news_sentiment"))
+    return root
+
+
+register(
+    "o7_ingest_log",
+    """select 'macro' as source, 'macro_data' as table_name, count(*) as n, 'r1' as run, false as failed from {macro_data} union all select 'news', 'news_sentiment', -1, 'r1', true union all select 'none', 'macro_data', 0, 'r1', false
+ union all select 'odd', null, -1, 'r1', true union all select 'macro', 'macro_data', count(*), 'r2', false from {macro_data} where indicator_id = 'PMI' union all select 'news', 'news_sentiment', count(*), 'r2', false from {news_sentiment}""",
+)(lambda t: ingest.ingest_log(t.spark, logged_runs(t)).select("source", "table_name", "n", "run", F.col("error").isNotNull().alias("failed")))
+register(
+    "o7_ingest_status",
+    """select 'macro' as source, count(*) filter (where indicator_id = 'PMI') as last_n, 2 as last_run, 2 as last_success, 2 as n_runs, 0 as n_failed, count(*) + count(*) filter (where indicator_id = 'PMI') as n_stored from {macro_data}
+ union all select 'news', count(*), 2, 2, 2, 1, count(*) from {news_sentiment} union all select 'none', 0, 1, 1, 1, 0, 0 union all select 'odd', -1, 1, null, 1, 1, 0""",
+)(lambda t: ingest.ingest_status(t.spark, logged_runs(t)).withColumns({c: F.day(c) for c in ("last_run", "last_success")}))
+register("o7_stored_rows", "select trade_date, indicator_id, value_type, value from {macro_data}", "value")(
+    lambda t: ingest.stored_rows(t.spark, logged_runs(t), "macro_data").select("trade_date", "indicator_id", "value_type", "value")
+)
+
+
+@register("l21_vendor_files", "select stock_code, trade_date, high as hi, case when extract(year from trade_date) % 2 = 0 then low end as lo from {bars}", "hi lo", 7)
+def l21_files(t: Tables) -> DataFrame:
+    """Vendor files of a year each, with two lines that describe the columns, of two kinds; some codes are no more than their digits."""
+    path = f"{sinks.scratch(t.spark)}/vendor"
+    even = F.year("trade_date") % 2 == 0
+    lines = t.bars.select(F.year("trade_date").alias("year"), F.lit(3).alias("k"), F.concat_ws(",", F.col("stock_code").cast("int").cast("string"), F.col("trade_date").cast("string"), F.col("high").cast("string"), F.when(even, F.col("low").cast("string"))).alias("line"))
+    tops = t.bars.select(F.year("trade_date").alias("year"), even.alias("even")).distinct()
+    head = lambda k, names: tops.select("year", F.lit(k).alias("k"), F.when(F.col("even"), F.lit(names)).otherwise(F.lit(names.rpartition(",")[0])).alias("line"))
+    files = lines.union(head(0, "Stkcd,Trddt,hi,lo")).union(head(1, "code,date,highest,lowest")).union(head(2, "none,none,yuan,yuan"))
+    files.repartition("year").sortWithinPartitions("year", "k").select("year", "line").write.partitionBy("year").text(path)
+    return ingest.vendor_rows(ingest.read_vendor(t.spark, path)).select("stock_code", "trade_date", "hi", "lo")
+
+
+@register("l11_dated_files", "select trade_date, cast(trade_sec as int) as trade_sec, stock_code, open, volume from {ticks}", "open")
+def l11_files(t: Tables) -> DataFrame:
+    """Level-1 files in folders whose names hold their dates, and nothing inside does."""
+    root = f"{sinks.scratch(t.spark)}/level1"
+    raw = t.level1.select("trade_date", F.col("time_int").alias("time"), F.col("raw_code").alias("stock_code"), *(F.col("px").alias(c) for c in ("open", "high", "low", "close")), "volume", F.col("px").alias("amount"))
+    dated = raw.withColumn("day", F.date_format("trade_date", "yyyyMMdd")).drop("trade_date")
+    dated.repartition("day").write.partitionBy("day").csv(root, header=True)
+    ddl = "time int, stock_code string, open double, high double, low double, close double, volume long, amount double"
+    landed = t.spark.read.schema(ddl).option("header", "true").option("recursiveFileLookup", "true").csv(root)
+    return ingest.level1_rows(landed).select("trade_date", "trade_sec", "stock_code", "open", "volume")
+
+
 def timed(t: Tables) -> DataFrame:
     return t.events.select(F.col("ts").cast("timestamp").alias("ts"), "event_id", F.lpad(F.col("user_id").cast("string"), 6, "0").alias("stock_code"), (10 + F.col("value") / 100).alias("px"), (1 + F.col("event_id") % 50).alias("volume"))
 

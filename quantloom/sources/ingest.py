@@ -4,16 +4,17 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quantloom.functions.exprs import content_id, normalize_code
 from quantloom.schemas import KEYS, schema
 
 DAILY_FIELDS = ("open", "high", "low", "close", "volume", "amount", "adj_factor", "turnover")
-#: Header aliases of landed files.
+#: Header aliases of landed files, and the indicators of the World Bank.
 MACRO_ALIASES = {"date": "trade_date", "日期": "trade_date", "indicator": "indicator_id", "指标": "indicator_id", "指标名称": "indicator_name", "数值": "value", "val": "value"}
 NEWS_ALIASES = {"id": "news_id", "date": "publish_date", "time": "publish_time", "source": "source_id", "stocks": "related_stocks", "industries": "related_industries", "score": "sentiment_score", "label": "sentiment_label"}
 REPORT_ALIASES = {"id": "report_id", "date": "publish_date", "stock": "related_stock"}
@@ -36,6 +37,10 @@ CATEGORIES = [("price", 1), ("factor", 2), ("macro", 3), ("sentiment", 4), ("alt
 SOURCES = [("tushare", "daily"), ("akshare", "daily"), ("eastmoney", "realtime"), ("sina", "realtime")]
 
 
+#: Columns of the log of ingest runs.
+OUTCOME = "source string, table_name string, n long, error string"
+
+
 def read(spark: SparkSession, path: str, kind: str | None = None, ddl: str | None = None) -> DataFrame:
     """A csv, json or Parquet file or directory; other formats are converted beforehand."""
     kind = kind or path.rsplit(".", 1)[-1].lower()
@@ -106,10 +111,13 @@ def as_version(long: DataFrame, field: str, loaded_at: str, value: str = "val")
 
 
 def level1_rows(raw: DataFrame, date: Column | None = None) -> DataFrame:
-    """HHMMSS integers to seconds of the day, codes to six digits, the date from the file name unless given."""
+    """HHMMSS integers to seconds of the day, codes to six digits, the date from the file name unless given.
+
+    The date is the eight digits of the file's name, or of the folder's, for a table that Spark wrote as ``20240103.csv/part-...``.
+    """
     t = F.col("time")
     sec = F.floor(t / 10000) * 3600 + F.floor(t / 100) % 100 * 60 + t % 100
-    day = date if date is not None else F.to_date(F.regexp_extract(F.col("_metadata.file_name"), r"(\d{8})", 1), "yyyyMMdd")
+    day = date if date is not None else F.to_date(F.regexp_extract(F.col("_metadata.file_path"), r"(\d{8})[^/]*(?:/part-[^/]*)?$", 1), "yyyyMMdd")
     return raw.select(day.alias("trade_date"), sec.cast("int").alias("trade_sec"), normalize_code("stock_code").alias("stock_code"), "open", "high", "low", "close", F.col("volume").cast("long").alias("volume"), F.col("amount").cast("double").alias("amount"))
 
 
@@ -271,6 +279,94 @@ def ingest(sources: Mapping[str, DataFrame], store: Callable[[str, DataFrame], D
     return spark.createDataFrame(log, "source string, table_name string, n long, error string").withColumn("run_at", F.lit(run_at).cast("timestamp"))
 
 
+def stored_run(sources: Mapping[str, DataFrame], root: str, run: str, run_at: str, tables: Sequence[str] = (), at_once: int = 4) -> DataFrame:
+    """Route and store each source under ``root``, several at once, and add their outcomes to the stored log, which is returned as of this run.
+
+    With ``tables`` only the sources of these tables are run. Rows are counted while they are written. A source that
+    fails is logged with -1 and its error, and does not stop the others. Each source and run has a folder of
+    its own, so that a run can be repeated and writers do not meet.
+    """
+    if not sources:
+        raise ValueError("no sources")
+    spark = next(iter(sources.values())).sparkSession
+
+    def one(item: tuple[str, DataFrame]) -> tuple | None:
+        name, df = item
+        try:
+            table = route(df)
+        except Exception as e:  # logged: one bad source must not stop the others
+            return None if tables else (name, None, -1, str(e)[:200])
+        if tables and table not in tables:
+            return None
+        try:
+            counted = Observation()
+            rows = LOADERS[table](df).observe(counted, F.count(F.lit(1)).alias("n"))
+            rows.write.mode("overwrite").parquet(f"{root}/{table}/source={name}/run={run}")
+            return name, table, counted.get["n"], None
+        except Exception as e:
+            return name, table, -1, str(e)[:200]
+
+    with ThreadPoolExecutor(at_once) as pool:
+        log = [x for x in pool.map(one, sources.items()) if x is not None]
+    done = spark.createDataFrame(log, OUTCOME).withColumn("run_at", F.lit(run_at).cast("timestamp"))
+    done.coalesce(1).write.mode("overwrite").parquet(f"{root}/ingest_log/run={run}")
+    return done
+
+
+def ingest_log(spark: SparkSession, root: str, source: str | None = None, failed: bool = False) -> DataFrame:
+    """Outcomes of all runs, newest first; of one source, or failures alone."""
+    log = spark.read.schema(f"{OUTCOME}, run_at timestamp, run string").parquet(f"{root}/ingest_log")
+    if source is not None:
+        log = log.filter(F.col("source") == source)
+    return (log.filter("n < 0") if failed else log).orderBy(F.desc("run_at"), "source")
+
+
+def ingest_status(spark: SparkSession, root: str) -> DataFrame:
+    """Per source the last outcome, the last success, and how often it ran, failed and what it stored."""
+    log = ingest_log(spark, root)
+    return log.groupBy("source").agg(
+        F.max_by("n", F.struct("run_at", "run")).alias("last_n"), F.max("run_at").alias("last_run"), F.max(F.when(F.col("n") >= 0, F.col("run_at"))).alias("last_success"),
+        F.count(F.lit(1)).alias("n_runs"), F.count(F.when(F.col("n") < 0, 1)).alias("n_failed"), F.sum(F.greatest("n", F.lit(0))).alias("n_stored"),
+    )
+
+
+def stored_rows(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """What all runs have stored of a table; of rows with one key those of the newest run count."""
+    rows = spark.read.schema(f"{schema(table).toDDL()}, source string, run string").parquet(f"{root}/{table}")
+    newest = F.rank().over(Window.partitionBy(*KEYS[table]).orderBy(F.desc("run")))
+    return rows.withColumn("_newest", newest).filter("_newest = 1").drop("_newest", "source", "run")
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, at) of text files; ``at`` numbers the lines of each file's first split from 0, and is null in later ones.
+
+    Lines of a split are read in order by one task, so their running ids are consecutive, whatever the splits.
+    """
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    starts = lines.filter("block = 0").groupBy(F.col("file").alias("_file")).agg(F.min("id").alias("start"))
+    joined = lines.join(starts, F.col("file") == F.col("_file"))
+    return joined.select("file", "line", F.when(F.col("block") == 0, F.col("id") - F.col("start")).alias("at"))
+
+
+def read_vendor(spark: SparkSession, path: str, metadata_rows: int = 2) -> DataFrame:
+    """Vendor CSV files as text columns: the first line of each file names them, the next ``metadata_rows`` describe them and are skipped.
+
+    Files may differ in their columns; those of one kind are parsed together, and there are as many kinds as different headers.
+    """
+    lines = numbered_lines(spark, path)
+    heads = lines.filter("at = 0").select(F.col("file").alias("_file"), F.regexp_replace("line", "^\ufeff", "").alias("head"))
+    kinds = [r["head"] for r in heads.select("head").distinct().orderBy("head").collect()]  # a row a kind of file
+    body = lines.filter((F.col("at").isNull() | (F.col("at") > metadata_rows)) & (F.trim("line") != "")).join(heads, F.col("file") == F.col("_file"))
+    parts = []
+    for head in kinds:
+        names = [x.strip().strip('"') for x in head.split(",")]
+        ddl = ", ".join(f"`{x.replace('`', '``')}` string" for x in names)
+        parts.append(body.filter(F.col("head") == head).select(F.from_csv("line", ddl).alias("r")).select("r.*"))
+    if not parts:
+        raise ValueError(f"{path} has no lines")
+    return combined(parts)
+
+
 def world_rows(raw: DataFrame, column: str = "json") -> DataFrame:
     """Landed World-Bank responses, [header, records], as macro rows."""
     record = "array<struct<indicator:struct<id:string,value:string>,date:string,value:double>>"
