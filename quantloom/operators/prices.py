@@ -33,8 +33,12 @@ def level1(ticks: DataFrame, codes: Sequence[str] = (), date: dt.date | None = N
 
 
 def level1_of(ticks: DataFrame, days: DataFrame, fields: Sequence[str] = TICK) -> DataFrame:
-    """Ticks of the dates in ``days``, a row a date: of a table partitioned by date only their folders are read."""
-    rows = ticks.join(F.broadcast(days.select("trade_date")), "trade_date", "left_semi")
+    """Ticks of the dates in ``days``, a row a date: of a table partitioned by date only their folders are read.
+
+    The comparison drops nothing but nulls; only with one does Catalyst count on the dates being few and prune by them.
+    """
+    dates = days.select("trade_date").filter(F.col("trade_date") >= F.lit("0001-01-01").cast("date"))
+    rows = ticks.join(F.broadcast(dates), "trade_date", "left_semi")
     return rows.select(*fields).orderBy("trade_date", "trade_sec", "stock_code")
 
 

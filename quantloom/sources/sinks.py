@@ -78,20 +78,36 @@ def compatibility_view(wide: DataFrame, name: str = "factor_data") -> DataFrame:
     return view
 
 
-def publish(df: DataFrame, root: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()) -> str:
-    """Write a new version directory under ``root`` and return its path; Zstandard, sorted so that row groups can be skipped."""
+def publish(df: DataFrame, root: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = (), files: int | None = None, group_rows: int | None = None) -> str:
+    """Write a new version directory under ``root`` and return its path; Zstandard, sorted so that row groups can be skipped.
+
+    ``files`` sets the number of ranges of ``sort_by``, ``group_rows`` the most rows of a row group.
+    """
     path = f"{root}/v-{uuid.uuid4().hex}"
     if sort_by:
-        df = (df.repartition(*partition_by) if partition_by else df.repartitionByRange(*sort_by)).sortWithinPartitions(*partition_by, *sort_by)
+        ranges = df.repartitionByRange(*([files] if files else []), *sort_by)
+        df = (df.repartition(*partition_by) if partition_by else ranges).sortWithinPartitions(*partition_by, *sort_by)
     writer = df.write.option("compression", "zstd")
+    if group_rows:
+        writer = writer.option("parquet.block.row.count.limit", group_rows)
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     return path
 
 
-def recompressed(spark: SparkSession, source: str, root: str, sort_by: Sequence[str]) -> tuple[str, int]:
-    """Rewrite a table sorted and compressed; fails unless the counts agree."""
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+def recompressed(spark: SparkSession, source: str, root: str, sort_by: Sequence[str], group_rows: int = 1_000_000, file_bytes: int = 512 << 20) -> tuple[str, int]:
+    """Rewrite a table compressed and sorted by ranges; fails unless the counts agree.
+
+    There is a range for each ``file_bytes`` of the source, and row groups hold ``group_rows`` rows at most, so that a
+    reader with a filter on the sort key opens few files and few groups of them. Both counts are read from footers.
+    """
     before = spark.read.parquet(source)
-    path = publish(before, root, sort_by=sort_by)
+    ranges = max(1, -(-stored_bytes(spark, source) // file_bytes))
+    path = publish(before, root, sort_by=sort_by, files=ranges, group_rows=group_rows)
     n = spark.read.parquet(path).count()
     if n != before.count():
         raise RuntimeError(f"{path} has {n} rows, {source} has another number")

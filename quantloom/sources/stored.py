@@ -54,7 +54,7 @@ def compact_table(spark: SparkSession, path: str, keep_before: str, by: Sequence
     if before.isEmpty():
         return before.select(*by, F.lit(0).cast("long").alias("n_kept"), F.lit(0).cast("long").alias("n_dropped"))
     seen, kept = Observation(), Observation()
-    pruned = table.join(F.broadcast(before.select(*by)), list(by), "left_semi").observe(seen, F.count(F.lit(1)).alias("n"))
+    pruned = table.join(F.broadcast(before.filter("n_before > 0").select(*by)), list(by), "left_semi").observe(seen, F.count(F.lit(1)).alias("n"))
     staged = replaced_partitions(compacted(pruned, keep_before, key, version).observe(kept, F.count(F.lit(1)).alias("n")), path, by, key)
     out = before.join(staged.groupBy(*by).agg(F.count(F.lit(1)).alias("n_kept")), list(by), "left").select(*by, F.coalesce("n_kept", F.lit(0)).alias("n_kept"), "n_before")
     total = out.agg(F.sum("n_kept"), F.sum("n_before")).first()
@@ -77,7 +77,7 @@ def store_factor(spark: SparkSession, root: str, new: DataFrame, name: str, load
     history.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("factor_name", "load").parquet(f"{root}/history")
     path = f"{root}/wide"
     if exists(spark, path):
-        months = with_month(rows).select("month").distinct()
+        months = with_month(rows).select("month").filter(F.col("month") >= F.lit("0001-01-01").cast("date")).distinct()  # the comparison lets Catalyst prune by it
         old = stored_wide(spark, root).join(F.broadcast(months), "month", "left_semi")  # a row a month: prunes partitions as it runs
     else:
         old = with_month(rows).limit(0).select("trade_date", "stock_code", "month")
