@@ -132,10 +132,16 @@ def period_end(date: str, freq: str) -> Column:
     raise ValueError(f"unknown frequency: {freq}")
 
 
-def resampled(df: DataFrame, freq: str, empty: bool = False) -> DataFrame:
-    """Bars of a week, month or quarter, named by its last day; ``empty`` adds periods without rows (null prices, zero sums)."""
+#: Aggregates of the close of a period.
+CLOSES = {"last": lambda: F.max_by("close", DATE), "first": lambda: F.min_by("close", DATE), "mean": lambda: F.avg("close"), "max": lambda: F.max("close"), "min": lambda: F.min("close"), "sum": lambda: F.sum("close")}
+
+
+def resampled(df: DataFrame, freq: str, empty: bool = False, close: str = "last") -> DataFrame:
+    """Bars of a week, month or quarter, named by its last day; ``empty`` adds periods without rows (null prices, zero sums), ``close`` names its aggregate."""
+    if close not in CLOSES:
+        raise ValueError(f"unknown aggregate: {close}")
     out = df.groupBy(CODE, period_end(DATE, freq).alias("period_end")).agg(
-        F.min_by("open", DATE).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", DATE).alias("close"), F.sum("volume").alias("volume"), F.sum("amount").alias("amount")
+        F.min_by("open", DATE).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), CLOSES[close]().alias("close"), F.sum("volume").alias("volume"), F.sum("amount").alias("amount")
     )
     if not empty:
         return out

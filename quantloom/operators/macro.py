@@ -117,8 +117,10 @@ def latest_macro(macro: DataFrame, dimension: DataFrame, ids: Sequence[str] = ()
     return rows.orderBy(F.desc("trade_date"), "indicator_id", "value_type").limit(limit)
 
 
-def cross_source(macro: DataFrame, factors: DataFrame, ids: Sequence[str], names: Sequence[str], code: str) -> DataFrame:
-    """Indicators and one stock's factors side by side on the date."""
+def cross_source(macro: DataFrame, factors: DataFrame, ids: Sequence[str], names: Sequence[str], code: str | None = None) -> DataFrame:
+    """Indicators and one stock's factors side by side on the date; without a stock the indicators as long rows."""
+    if code is None:
+        return members(macro.filter("value_type = 'raw'"), ids, "indicator_id").select("trade_date", "indicator_id", "value").orderBy("trade_date", "indicator_id")
     left = macro.filter("value_type = 'raw'").groupBy("trade_date").pivot("indicator_id", list(ids)).agg(F.avg("value"))
     right = factors.filter(F.col("stock_code") == code).groupBy("trade_date").pivot("factor_name", list(names)).agg(F.avg("factor_value"))
     return left.join(right, "trade_date", "full_outer")

@@ -722,6 +722,56 @@ register("o8_world_rows", "select cast(date_trunc('year', trade_date) as date) a
 )
 
 
+# --- paths of operators that the queries above do not take --------------------------------------------------------
+
+register("f1_wide_route", "select trade_date, stock_code, 'PE' as factor_name, arg_max(factor_value, loaded_at) as factor_value from {factor_long} where factor_name = 'PE' group by 1, 2", "factor_value")(
+    lambda t: factors.factor("PE", t.factor_long, wide_factors(t), t.factor_long)
+)
+_roe = newest("factor_long", LONG, "factor_name = 'ROE'")
+register("f1_long_route", f"select trade_date, stock_code, factor_name, factor_value from {_roe} x", "factor_value")(lambda t: factors.factor("ROE", t.factor_long, sinks.pivoted(t.factor_long, ["PE", "PB"])))
+register("o3_without_stock", "select trade_date, indicator_id, value from {macro_data} where indicator_id in ('PMI', 'M2_yoy') and value_type = 'raw'", "value")(
+    lambda t: macro.cross_source(t.macro_data, t.factor_long, ["PMI", "M2_yoy"], [])
+)
+
+
+def classed_pages(t: Tables) -> DataFrame:
+    """The pages, with a class on list items and on links, as policy sites have them."""
+    return t.pages.withColumn("html", F.replace(F.replace("html", F.lit("<li>"), F.lit('<li class="x">')), F.lit("<a href"), F.lit('<a class="y" href')))
+
+
+register(
+    "o10_classed_elements",
+    r"""select page_id, cast(place as int) as place, trim(regexp_replace(element, '<[^>]*>', '', 'g')) as value_text from (select page_id, unnest(els) as element, unnest(generate_series(0, len(els) - 1)) as place
+ from (select page_id, regexp_extract_all(replace(replace(html, '<li>', '<li class="x">'), '<a href', '<a class="y" href'), '(?is)<a\b[^>]*?class\s*=[^>]*>.*?</a>|<li\b[^>]*?class\s*=[^>]*>.*?</li>')[1:20] as els from {pages}) e) x
+ where length(trim(regexp_replace(element, '<[^>]*>', '', 'g'))) >= 5""",
+)(lambda t: ingest.policy_rows(classed_pages(t), START).select("page_id", "place", "value_text"))
+register(
+    "l14_adj_factor_version",
+    f"select trade_date, stock_code, cast(loaded_at as date) as loaded, close, adj_factor from {{bars_versions}} union all select trade_date, stock_code, date '2024-01-01', close, 2.0 from {newest('bars_versions')} v where {IN_CODES}",
+    "close adj_factor", 7,
+)(
+    lambda t: ingest.with_adj_factor(t.bars_versions, members(t.bars, CODES).select("trade_date", "stock_code", F.lit(2.0).alias("adj_factor")), "2024-01-01").select("trade_date", "stock_code", F.to_date("loaded_at").alias("loaded"), "close", "adj_factor")
+)
+
+
+@register("l20_deleted_factors", "select trade_date, stock_code, factor_name, factor_value from {factor_long} where factor_name not in ('PB', 'ROE')", "factor_value")
+def l20_deleted(t: Tables) -> DataFrame:
+    """A stored long table from which two factors were deleted, twice."""
+    path = stored_months(t, t.factor_long)
+    for _ in range(2):
+        stored.delete_factors(t.spark, path, ["PB", "ROE"])
+    return t.spark.read.parquet(path).select("trade_date", "stock_code", "factor_name", "factor_value")
+
+
+_week = "cast(date_trunc('week', trade_date) + interval 6 day as date)"
+register(
+    "c14_resample_empty",
+    f"""select g.stock_code, g.period_end, open, high, low, close, coalesce(volume, 0) as volume, coalesce(amount, 0) as amount
+ from (select stock_code, cast(unnest(generate_series(min({_week}), max({_week}), interval 7 day)) as date) as period_end from {{bars}} group by 1) g
+ left join (select stock_code, {_week} as period_end, {_ohlc.replace("arg_max(close, trade_date) as close", "avg(close) as close")} from {{bars}} group by 1, 2) r on r.stock_code = g.stock_code and r.period_end = g.period_end""",
+    "open high low close amount", 7,
+)(lambda t: calc.resampled(t.bars, "W", empty=True, close="mean"))
+
 # --- stored tables: written in parts and read back ---------------------------------------------------------------
 
 

@@ -63,6 +63,26 @@ def compact_table(spark: SparkSession, path: str, keep_before: str, by: Sequence
     return out.select(*by, "n_kept", (F.col("n_before") - F.col("n_kept")).alias("n_dropped"))
 
 
+def delete_factors(spark: SparkSession, path: str, names: Sequence[str], by: Sequence[str] = ("month",)) -> DataFrame:
+    """Take mis-routed factors out of a stored long table; (by, n_deleted) of the partitions that held them, the only ones rewritten.
+
+    A partition that holds nothing else goes with its folder. Run again, it finds nothing to do.
+    """
+    table = spark.read.parquet(path)
+    wrong = F.coalesce(F.col("factor_name").isin(list(names)), F.lit(False))
+    report = f"{scratch(spark)}/deleted"
+    table.filter(wrong).groupBy(*by).agg(F.count(F.lit(1)).alias("n_deleted")).write.parquet(report)
+    deleted = spark.read.parquet(report)
+    if deleted.isEmpty():
+        return deleted
+    rows = table.join(F.broadcast(deleted.filter("n_deleted > 0").select(*by)), list(by), "left_semi").filter(~wrong)
+    staged = replaced_partitions(rows, path, by)
+    for part in deleted.join(staged.select(*by).distinct(), list(by), "left_anti").select(*by).collect():  # partitions of nothing else
+        where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/" + "/".join(f"{c}={part[c]}" for c in by))
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return deleted
+
+
 def store_factor(spark: SparkSession, root: str, new: DataFrame, name: str, loaded_at: str) -> None:
     """Write ``new(trade_date, stock_code, factor_value)`` to the history and into the column ``name`` of the wide table under ``root``.
 
