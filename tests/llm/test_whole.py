@@ -135,3 +135,30 @@ def test_nothing_of_the_article_is_dropped(spark, page, want):
     html = "<html><body><nav><a href=x>menu</a></nav>" + fill(page, LONG) + "<footer>foot</footer></body></html>"
     df = spark.createDataFrame([(k, f"http://h.com/{k}", html) for k in range(2)], "page_id long, url string, html string")
     assert {r["text"] for r in html_extraction.main_text(df).collect()} == {fill(want, LONG.strip())}
+
+
+def test_a_common_shingle_is_many_small_comparisons(spark, monkeypatch):
+    monkeypatch.setattr(shingle_join, "BLOCK", 8)
+    rng = random.Random(8)
+    rows, base = [], "all of these texts begin with the very same words"
+    for k in range(150):
+        words = [f"w{rng.randint(0, 10**9)}" for _ in range(rng.choice([1, 2, 3, 30]))]
+        rows.append((k, k, f"{base} {' '.join(words)}"))
+        if k % 10 == 0:
+            rows.append((1000 + k, 1000 + k, f"{base} {' '.join(words)} " + words[-1]))
+    df = spark.createDataFrame(rows, "row long, doc_id long, text string")
+    got = {r["row"]: r["group"] for r in shingle_join.similar_groups(df, often=10**9).collect()}
+    sets = {i: shingle_join.shingle_set(t.encode()) for i, _, t in rows}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and shingle_join.similar(sets[i], sets[j], 0.8):
+                root[find(j)] = find(i)
+    assert len(set(got.values())) == len({find(i) for i in sets}) > 20
+    assert all((got[i] == got[j]) == (find(i) == find(j)) for i in sets for j in sets)
