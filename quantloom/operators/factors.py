@@ -70,7 +70,7 @@ def ic_series(values: DataFrame, prices: DataFrame, days: int = 1, start: dt.dat
     values(trade_date, stock_code, factor_value), prices(trade_date, stock_code, close), one row
     per key. Dates filter the factor date; ties take the least rank; nulls rank last.
     """
-    dates = prices.select("trade_date").distinct()
+    dates = prices.select("trade_date").distinct()  # a row a date: some hundred kilobytes in a century, so that it may be broadcast
     later = dates.withColumn("next_date", F.lead("trade_date", days).over(Window.orderBy("trade_date")))  # a row per date
     # a stock's price on that date, if it has one, is among its next ``days`` prices
     order = Window.partitionBy("stock_code").orderBy("trade_date")

@@ -52,7 +52,7 @@ def macro_factor(macro: DataFrame, ids: list[str], lookback: int = 20) -> DataFr
 
 def macro_factor_pca(macro: DataFrame, ids: list[str], lookback: int = 20) -> DataFrame:
     """First principal component of the centred z-scores; its largest loading is positive."""
-    z = z_scores(macro, ids, lookback).cache()
+    z = z_scores(macro, ids, lookback)  # a row a date, computed again rather than kept
     means = z.agg(*(F.avg(c).alias(c) for c in ids)).first()  # one row
     if means[0] is None:
         return z.select("trade_date", F.lit(None).cast("double").alias("macro_factor"))

@@ -158,3 +158,16 @@ def test_landed_matrices_have_their_own_headers(spark, tmp_path):
     (tmp_path / "m" / "c.csv").write_text("trade_date,1,000001.SH\n")
     with pytest.raises(ValueError):
         ingest.read_matrix(spark, str(tmp_path / "m"))
+
+
+def test_scores_read_only_the_days_they_need(spark, tmp_path):
+    """The price score needs twenty days before its date: that filter reaches the scan of a table in folders by date."""
+    from quantloom.operators import fusion, pit
+
+    rows = [(D1 + dt.timedelta(d), f"{k:06d}", 10.0 + d, dt.datetime(2021, 1, 1)) for d in range(60) for k in range(3)]
+    df = spark.createDataFrame(rows, "trade_date date, stock_code string, close double, loaded_at timestamp")
+    df.repartition("trade_date").write.partitionBy("trade_date").parquet(str(tmp_path / "bars"))
+    score = fusion.price_score(pit.latest(spark.read.parquet(str(tmp_path / "bars")), non_null=("close",)), D1 + dt.timedelta(50))
+    filters = [x.split("]")[0] for x in plan_of(score).split("PartitionFilters: [")[1:]]
+    assert filters and all("trade_date" in x and ">=" in x and "<=" in x for x in filters)
+    assert score.count() == 3
