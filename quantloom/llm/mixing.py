@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quantloom.llm.common import MIX_1, MIX_2, cut
+from quantloom.llm.common import MIX_1, MIX_2, cut, map_rows, with_groups
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -42,7 +42,7 @@ def targets(rows: DataFrame, weights: tuple[float, ...], share: float, most: flo
     level at which that comes out even is found on the sources sorted by what a unit of weight
     can take. One row per source.
     """
-    by = rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
+    by = rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
     w = F.element_at(F.array(*map(F.lit, map(float, weights))), (F.row_number().over(Window.orderBy("skey")) - 1) % len(weights) + 1)
     by = by.withColumn("w", w).withColumn("cap", most * F.col("source_size")).withColumn("r", F.col("cap") / F.col("w"))
     whole = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -51,7 +51,7 @@ def targets(rows: DataFrame, weights: tuple[float, ...], share: float, most: flo
     level = left / (F.sum("w").over(whole) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
     by = by.withColumn("level", level)
     even = F.min_by("level", F.when(F.col("level") <= F.col("r") * (1 + 1e-12), F.col("r"))).over(whole)
-    return by.withColumn("target", F.least("cap", F.coalesce(even, F.lit(0.0)) * F.col("w"))).select("skey", "source", "source_size", "target")
+    return by.withColumn("target", F.least("cap", F.coalesce(even, F.lit(0.0)) * F.col("w"))).select("skey", "source", "source_size", "target", "n_rows")
 
 
 def placed(rows: DataFrame, bucket_rows: int = 20_000) -> DataFrame:
@@ -95,35 +95,80 @@ def block_of(slot: pd.Series, key: pd.Series, blocks: pd.Series) -> pd.Series:
     return pd.Series(permuted(slot.to_numpy() % b, key.to_numpy() + epoch * 1_000_003, b))
 
 
-def drawn_slots(goals: DataFrame, shard_slots: int, seed: int, most_sources: int = 1_000_000) -> DataFrame:
-    """(skey, shard, slot, block) for all ``goals(skey, blocks, slots)``: multinomial counts per shard.
+def shares_of(slots: list[int]) -> np.ndarray:
+    return np.array(slots, dtype=float) / max(sum(slots), 1)
 
-    A source's slots end exactly at its goal: what the shards drew beyond is left out, and what
-    they fell short goes to one more shard. One row per source reaches the driver, ``most_sources``
-    at most; a shard has a row for each source that it drew, so no more than it has slots.
-    """
-    spark = goals.sparkSession
-    rows = goals.orderBy("skey").limit(most_sources + 1).collect()
-    if len(rows) > most_sources:
-        raise ValueError(f"more than {most_sources} sources: group them first")
-    total = sum(r["slots"] for r in rows)
-    schema = "shard long, i int, n long"
+
+def generator(*key: int) -> np.random.Generator:
+    return np.random.Generator(np.random.Philox(key=[x & ((1 << 64) - 1) for x in key]))
+
+
+def drawn_counts(spark: SparkSession, slots: list[int], shard_slots: int, seed: int) -> tuple[DataFrame, int]:
+    """((shard, i, n), shards): how often each shard draws place i of ``slots``, by a multinomial for each shard."""
+    total, chance = sum(slots), shares_of(slots)
     shards = -(-total // shard_slots) if total else 0
-    chance = np.array([r["slots"] / max(total, 1) for r in rows])
 
     def draw(frames):
         for f in frames:
             for shard in f["id"]:
-                size = min(shard_slots, total - shard * shard_slots)
-                n = np.random.Generator(np.random.Philox(key=[seed, int(shard)])).multinomial(size, chance)
+                n = generator(seed, int(shard)).multinomial(min(shard_slots, total - shard * shard_slots), chance)
                 drew = np.nonzero(n)[0]
                 yield pd.DataFrame({"shard": int(shard), "i": drew.astype(np.int32), "n": n[drew]})
 
-    counts = spark.range(shards).mapInPandas(draw, schema) if shards else spark.createDataFrame([], schema)
-    names = spark.createDataFrame([(i, r["skey"], r["blocks"], r["slots"]) for i, r in enumerate(rows)], "i int, skey string, blocks long, slots long")
-    rest = names.select(F.lit(shards).cast("long").alias("shard"), "i", F.col("slots").alias("n"))
-    first = F.coalesce(F.sum("n").over(Window.partitionBy("i").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    spans = counts.union(rest).withColumn("first", first).join(names, "i").withColumn("end", F.least(F.col("first") + F.col("n"), F.col("slots")))
+    schema = "shard long, i int, n long"
+    return (spark.range(shards).mapInPandas(draw, schema) if shards else spark.createDataFrame([], schema)), shards
+
+
+def drawn_in_two_steps(goals: DataFrame, shard_slots: int, seed: int, bins: int) -> tuple[DataFrame, int]:
+    """((shard, skey, n), shards) for more sources than reach the driver: shards draw bins of sources, and a bin's draws are divided among its own.
+
+    A multinomial in two steps is the same multinomial. A bin is an array of its sources, sorted.
+    """
+    binned = goals.withColumn("i", F.pmod(F.xxhash64("skey"), F.lit(bins)).cast("int"))
+    held = cut(binned.groupBy("i").agg(F.array_sort(F.collect_list(F.struct("skey", "slots"))).alias("m"), F.sum("slots").alias("s")))
+    slots = [0] * bins
+    for r in held.select("i", "s").collect():  # a row a bin
+        slots[r["i"]] = r["s"]
+    counts, shards = drawn_counts(goals.sparkSession, slots, shard_slots, seed)
+    times = cut(counts.groupBy("i").agg(F.count(F.lit(1)).alias("times")))
+    rows = with_groups(counts, held.join(times, "i").select("i", "m", "times"), "i", "times")
+
+    def divide(shard, i, n, m):
+        out: tuple[list, list, list] = ([], [], [])
+        for s, b, k, members in zip(shard, i, n, m, strict=True):
+            own = generator(seed + 1, (s << 24) ^ b).multinomial(k, shares_of([x["slots"] for x in members]))
+            for place in np.nonzero(own)[0]:
+                for column, x in zip(out, (s, members[place]["skey"], int(own[place])), strict=True):
+                    column.append(x)
+        return out
+
+    return map_rows(rows.select("shard", "i", "n", "m"), divide, "shard long, skey string, n long"), shards
+
+
+def drawn_slots(goals: DataFrame, shard_slots: int, seed: int, most_sources: int = 1_000_000) -> DataFrame:
+    """(skey, shard, slot, block) for all ``goals(skey, blocks, slots)``: multinomial counts per shard.
+
+    A source's slots end exactly at its goal: what the shards drew beyond is left out, and what
+    they fell short goes to one more shard. One row per source reaches the driver, up to ``most_sources``; of
+    more, one row per bin of sources, which then divide what their bin drew. A shard has a row for each source that it
+    drew, so no more than it has slots. Slots are numbered along a source in stretches of shards, so that none is one task.
+    """
+    spark = goals.sparkSession
+    rows = goals.orderBy("skey").limit(most_sources + 1).collect()
+    if len(rows) > most_sources:
+        counts, shards = drawn_in_two_steps(goals, shard_slots, seed, most_sources)
+    else:
+        counts, shards = drawn_counts(spark, [r["slots"] for r in rows], shard_slots, seed)
+        names = spark.createDataFrame([(i, r["skey"]) for i, r in enumerate(rows)], "i int, skey string")
+        counts = counts.join(F.broadcast(names), "i").select("shard", "skey", "n")  # ``most_sources`` rows at most
+    rest = goals.select(F.lit(shards).cast("long").alias("shard"), "skey", F.col("slots").alias("n"))
+    counts = counts.union(rest).withColumn("stretch", F.floor(F.col("shard") / 4096))
+    sums = counts.groupBy("skey", "stretch").agg(F.sum("n").alias("s"))
+    base = F.coalesce(F.sum("s").over(Window.partitionBy("skey").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.coalesce(F.sum("n").over(Window.partitionBy("skey", "stretch").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = counts.withColumn("inside", first).join(sums.select("skey", "stretch", base.alias("base")), ["skey", "stretch"])
+    few = F.broadcast(goals) if len(rows) <= 100_000 else goals
+    spans = numbered.withColumn("first", F.col("base") + F.col("inside")).join(few, "skey").withColumn("end", F.least(F.col("first") + F.col("n"), F.col("slots")))
     slots = spans.filter(F.col("end") > F.col("first")).select("skey", "shard", "blocks", F.explode(F.sequence("first", F.col("end") - 1)).alias("slot"))
     return slots.withColumn("block", F.pandas_udf(block_of, "long")("slot", F.xxhash64(F.lit(seed), "skey"), "blocks")).drop("blocks")
 
@@ -175,7 +220,7 @@ def mixed_counts(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     taken = pieces.join(takes, ["skey", "block"]).groupBy("skey", "start").agg(F.sum(F.col("n_words") * F.col("times")).alias("taken"))
     with_words = rows.filter(F.col("size") > 0).join(taken, ["skey", "start"], "left").select("doc_id", "size", "skey", "taken")
     without = rows.filter(F.col("size") == 0).select("doc_id", "size", "skey", F.lit(0).cast("long").alias("taken"))
-    return with_words.union(without).join(goals, "skey").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return with_groups(with_words.union(without), goals, "skey", "n_rows").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def mixed_blocks(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 128, shard_slots: int = 4096, seed: int = 17) -> DataFrame:

@@ -4,7 +4,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
-from quantloom.llm import chat, simhash, url_filter
+from quantloom.llm import chat, mixing, simhash, url_filter
 from quantloom.llm.queries import URL_RULES
 
 URLS = [(1, "http://a.com/en/1"), (2, None), (3, "x://b.net/de/1")]
@@ -33,3 +33,14 @@ def test_conversations_of_nothing_and_of_clashing_columns(spark):
     clash = df.select("*", *(F.lit("z").alias(c) for c in ("tree", "node", "parent", "leaf", "score", "rank", "formatted", "a.b")))
     both = [Counter(map(str, chat.digests(chat.format_trees(chat.as_chain(x))).collect())) for x in (df, clash)]
     assert both[0] == both[1] and chat.digests(chat.format_trees(chat.as_chain(df.limit(0)))).count() == 0
+
+
+def test_more_sources_than_reach_the_driver(spark):
+    """Bins of sources are drawn first: every source still gets its slots, each once, and the same again."""
+    goals = spark.createDataFrame([(f"s{k}", 10 + k, 20 + 3 * k) for k in range(40)], "skey string, blocks long, slots long")
+    drawn = [mixing.drawn_slots(goals, 64, 17, most_sources=7) for _ in range(2)]
+    got = {r["skey"]: (r["n"], r["slots"], r["b"]) for r in drawn[0].groupBy("skey").agg(F.count("slot").alias("n"), F.countDistinct("slot").alias("slots"), F.countDistinct("block").alias("b")).collect()}
+    assert got == {f"s{k}": (20 + 3 * k, 20 + 3 * k, 10 + k) for k in range(40)}
+    assert sorted(map(str, drawn[0].collect())) == sorted(map(str, drawn[1].collect()))
+    sizes = {r["shard"]: r["count"] for r in drawn[0].groupBy("shard").count().collect()}
+    assert all(n <= 64 for shard, n in sizes.items() if shard < max(sizes))
