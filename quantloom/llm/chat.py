@@ -99,13 +99,16 @@ def read_back(text: Column) -> Column:
 def format_trees(messages: DataFrame, best: int | None = None, learn: str = "assistant") -> DataFrame:
     """tree, leaf, rank, formatted, loss: one row per chosen root-to-leaf path of ``messages``.
 
-    messages(tree, node, parent, role, text, score): node is a long, unique within its tree; a
-    parent that is null or unknown makes a root. Null roles and texts are empty; messages of a
-    cycle have no leaf and do not appear; an empty table gives an empty result.
+    messages(tree, node, parent, role, text, score): node is a long; a parent that is null or unknown
+    makes a root. Rows that share a tree and node are turns of that one node, by role and text, under the
+    least of their parents. Branches that tie rank by leaf. Null roles and texts are empty; messages of a
+    cycle have no leaf and do not appear; texts of any length stay whole, and a path is one row, so its
+    turns must fit into one; an empty table gives an empty result.
     """
     nodes = messages.select("tree", "node", "parent", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"), "score")
-    have = nodes.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
-    links = nodes.select("tree", "node", "parent").join(have, ["tree", "parent"], "left")
+    once = nodes.groupBy("tree", "node").agg(F.min("parent").alias("parent"))
+    have = once.select("tree", F.col("node").alias("parent"), F.lit(True).alias("_known"))
+    links = once.join(have, ["tree", "parent"], "left")
     links = cut(links.select("tree", "node", F.when(F.col("_known"), F.col("parent")).alias("parent")))
     members = paths(links).join(nodes.drop("parent"), ["tree", "node"])
     if best is not None:

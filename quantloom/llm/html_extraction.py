@@ -302,7 +302,8 @@ def main_text(pages: DataFrame, broadcast_hosts: int = 100_000) -> DataFrame:
     """page_id, url, text, n_chars for each row of ``pages(page_id, url, html)``.
 
     Null and empty html give an empty text. Pages without a host form a group of their own.
-    Repeated rows each get their row; other columns are ignored; an empty table gives an empty
+    Pages of any length and depth are read whole, in time in proportion to their length. Paths that tie in votes go by
+    share, then by name. Repeated rows each get their row; other columns are ignored; an empty table gives an empty
     result. The winners, a row per host,
     are broadcast up to ``broadcast_hosts`` hosts and joined by a shuffle beyond.
     """

@@ -208,7 +208,7 @@ def mixed_counts(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share:
     """For each row of ``docs(doc_id, source, text)``: doc_id, size, source_size, target, taken.
 
     ``taken`` counts the row's words that the mix takes, repeats included; no word is taken more
-    than twice. Null texts have no words; a null source is a source of its own, last in order;
+    than twice. Texts of any length are packed whole; rows that tie in the order go by doc_id. Null texts have no words; a null source is a source of its own, last in order;
     repeated rows are packed each for themselves; other columns are ignored; a table without
     words takes nothing. The same table gives the same mix.
     """

@@ -258,7 +258,7 @@ def quality_verdicts(docs: DataFrame, shrink_rows: float = 100.0, quantile: floa
     do not count in any estimate. kept: not base_failed and within the chi-square ``quantile`` of
     the robust distance of its language and source, whose estimate is shrunk as if ``shrink_rows``
     more rows were as its language's. Null text is empty; null language or source is a group of
-    its own. Repeated rows each get the same verdict; other columns are ignored; an empty table
+    its own. Texts of any length are counted whole. Repeated rows each get the same verdict; other columns are ignored; an empty table
     gives an empty result.
     """
     counts = cut(text_counts(docs))

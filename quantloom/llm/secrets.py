@@ -299,7 +299,7 @@ def secret_report(docs: DataFrame, top: int = 20_000, least_cost: float = 8.0) -
 
     Spans are those of whole matches; kind guess adds credential values that no base span covers
     whole and whose guess cost is high.
-    Null and empty texts have none; repeated rows each get their row; other columns are ignored;
+    Texts and values of any length are read whole; spans that begin together go by kind. Null and empty texts have none; repeated rows each get their row; other columns are ignored;
     an empty table gives an empty result.
     """
     found = scanned(docs, F.col("doc_id").cast("long"), top, least_cost)

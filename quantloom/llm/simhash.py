@@ -143,6 +143,7 @@ def near_duplicates(docs: DataFrame, bits: int = 2, width: int = 3) -> DataFrame
     component_id is the least doc_id reachable over links of ``bits`` differing bits or fewer.
     Null and empty texts have fingerprint zero, which links like any other; repeated rows stay;
     a null doc_id takes part but never names a component unless all of its members are null;
+    texts of any length are read whole, their bits summed in blocks of 65,536 shingles;
     other columns are ignored; an empty table gives an empty result.
     """
     if not 1 <= bits <= 2:

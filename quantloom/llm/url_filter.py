@@ -153,7 +153,9 @@ def url_verdicts(pages: DataFrame, rules: Iterable[Rule], shard_keys: int = 200_
     Where a rule fits, its verdict holds, the longest first. Other pages are blocked when their
     host is listed: the list holds the hosts of which rules block more pages than they allow. A
     null url, or one without ``://``, has an empty host and path, is never listed, and is allowed.
-    Repeated rows each get their row; other columns are ignored.
+    Rules that fit at equal length go by the order of (verdict, host, path), the last wins. Urls of any
+    length are read whole. Repeated rows each get their row; other columns are ignored; an empty table gives an
+    empty result.
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rows = rows.withColumn("fit", rule_for(F.col("host"), F.col("path"), rules)).select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.col("fit.verdict").alias("ruled"))

@@ -44,3 +44,11 @@ def test_more_sources_than_reach_the_driver(spark):
     assert sorted(map(str, drawn[0].collect())) == sorted(map(str, drawn[1].collect()))
     sizes = {r["shard"]: r["count"] for r in drawn[0].groupBy("shard").count().collect()}
     assert all(n <= 64 for shard, n in sizes.items() if shard < max(sizes))
+
+
+def test_rows_of_one_node_are_its_turns(spark):
+    rows = [("t", 1, None, "user", "b"), ("t", 1, None, "user", "a"), ("t", 2, 1, "assistant", "c"), ("t", 2, 1, "assistant", "c")]
+    df = spark.createDataFrame([(*r, 1.0) for r in rows], "tree string, node long, parent long, role string, text string, score double")
+    for best in (None, 1):
+        got = chat.format_trees(df, best=best).withColumn("back", chat.read_back(F.col("formatted"))).collect()
+        assert [[t["text"] for t in r["back"]] for r in got] == [["a", "b", "c", "c"]]
