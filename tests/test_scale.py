@@ -171,3 +171,21 @@ def test_scores_read_only_the_days_they_need(spark, tmp_path):
     filters = [x.split("]")[0] for x in plan_of(score).split("PartitionFilters: [")[1:]]
     assert filters and all("trade_date" in x and ">=" in x and "<=" in x for x in filters)
     assert score.count() == 3
+
+
+def test_landed_lines_grow_with_their_length_alone(spark, tmp_path):
+    """40,000 stocks, of which a date has few, others all: gaps at either end, and no look-up of each stock among all of a date's."""
+    import time
+
+    n = 40_000
+    codes = spark.range(n).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("stock_code"), F.col("id").cast("double").alias("close"))
+    days = [codes.withColumn("trade_date", F.lit(D1 + dt.timedelta(k))) for k in range(3)]
+    df = days[0].union(days[1]).union(days[2].filter("close % 9973 = 17 or close = 39999"))
+    path, begun = str(tmp_path / "m"), time.time()
+    matrix.matrix_lines(df, "close", matrix.places(df)).repartition("year").sortWithinPartitions("year", F.desc("head")).select("year", "line").write.partitionBy("year").text(path)
+    landed = ingest.read_matrix(spark, path).select("trade_date", "stock_code", F.col("val").alias("close"))
+    same = df.select("trade_date", "stock_code", "close")
+    assert landed.exceptAll(same).count() == same.exceptAll(landed).count() == 0
+    assert time.time() - begun < 15
+    with pytest.raises(Exception, match="two rows"):
+        matrix.matrix_lines(df.union(days[0].limit(1).select(*df.columns)), "close", matrix.places(df)).collect()
