@@ -32,7 +32,8 @@ def test_calendar_days_are_made_after_the_shuffle(spark):
 
 def test_blocks_look_nothing_up_by_slot(spark):
     df = bars(spark)
-    assert "map_from_entries" not in plan_of(matrix.blocked(df, ["close"], matrix.places(df)))
+    blocks = matrix.blocked(df, ["close"], matrix.places(df))
+    assert "map_from_entries" not in blocks._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_names_of_files_are_read_once(spark, tmp_path):
