@@ -42,7 +42,11 @@ def shingle_hashes(text: bytes | None, width: int) -> list[int]:
 
 def fingerprint(text: bytes | None, width: int = 3) -> int:
     """Signed 64-bit SimHash of the text's word shingles (XXH64, seed 42)."""
-    hashes = shingle_hashes(text, width)
+    return majority(shingle_hashes(text, width))
+
+
+def majority(hashes: list[int]) -> int:
+    """Signed 64-bit SimHash of shingle hashes: a bit is 1 if set in over half of them; none: zero."""
     if not hashes:
         return 0
     h = np.array(hashes, dtype=np.uint64)

@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from quantloom.llm import html_extraction, secrets, shingle_join
+from quantloom.llm import html_extraction, secrets, shingle_join, simhash
 
 DATA = "/root/testdata/sf0.001"
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
@@ -162,3 +162,41 @@ def test_a_common_shingle_is_many_small_comparisons(spark, monkeypatch):
                 root[find(j)] = find(i)
     assert len(set(got.values())) == len({find(i) for i in sets}) > 20
     assert all((got[i] == got[j]) == (find(i) == find(j)) for i in sets for j in sets)
+
+
+def test_links_leave_a_block_as_a_forest():
+    rng = np.random.default_rng(6)
+    whole = rng.integers(0, 1 << 63, 200, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([np.delete(whole, rng.integers(0, 200, 12)), rng.integers(0, 1 << 63, 6, dtype=np.uint64)])) for _ in range(60)]
+    sets += [rng.integers(0, 1 << 63, 190, dtype=np.uint64) for _ in range(5)]
+    sets[-5:] = map(np.unique, sets[-5:])
+    roots = [k // 3 * 3 if k < 60 else k for k in range(65)]
+    links = shingle_join.block_forest(list(range(65)), roots, [x.tobytes() for x in sets], 0.8)
+    root = {r: r for r in roots}
+    for a, b in links:
+        assert shingle_join.similar(sets[a], sets[b], 0.8)
+        old, new = root[roots[b]], root[roots[a]]
+        assert old != new
+        root = {k: new if v == old else v for k, v in root.items()}
+    assert len(links) == 19 and len({root[r] for r in roots}) == 6
+
+
+def test_a_pair_is_taken_where_its_first_shared_shingles_meet():
+    held = np.sort(np.random.default_rng(7).integers(0, 1 << 63, 50, dtype=np.uint64))
+    marks = [shingle_join.sketch(held).tobytes()] * 3
+    pairs = lambda early: sorted(zip(*(x.tolist() for x in shingle_join.posting_pairs([50] * 3, [1, 2, 3], [2] * 3, [1, 2, 3], marks, 0.8, early=early)), strict=True))
+    assert pairs(None) == pairs([[], [], []]) == [(1, 2), (1, 3), (2, 3)]
+    assert pairs([[7, 8], [8], [9]]) == [(1, 3), (2, 3)]
+
+
+def test_near_duplicates_use_the_fingerprint_index(spark, monkeypatch):
+    fps = [0, 1, 3, 1 << 40, 0, 0xFF << 20, 0x7F << 20]
+    df = spark.createDataFrame([(10 + k, fp) for k, fp in enumerate(fps)], "sig long, fp long")
+    got = {(r["a"], r["b"]) for r in shingle_join.simhash_pairs(df).collect()}
+    near = {(10 + i, 10 + j) for i in range(7) for j in range(i + 1, 7) if (fps[i] ^ fps[j]).bit_count() <= 2}
+    assert got <= near and (10, 14) in got and (15, 16) in got
+    assert {x for pair in got for x in pair} == set(range(10, 17))
+    asked = []
+    monkeypatch.setattr(shingle_join, "near_links", lambda fps, *a: asked.append(fps.count()) or simhash.near_links(fps, *a))
+    docs = spark.createDataFrame([(k, f"one text of some words that is here {'once' if k else 'twice'}") for k in range(3)], "doc_id long, text string")
+    assert corpus_pipeline.near_duplicate_stage(spark, docs, DATA).count() == 2 and asked == [2]
