@@ -209,3 +209,16 @@ def test_chunks_depend_on_words_alone(trained):
     assert starts[0] == 0 and len(words) in starts.tolist() and len(keys) == len(starts)
     again = cm.chunks(cm.tokens([words], codes), codes)
     assert again[1].tolist() == keys[: len(again[1])].tolist()
+
+
+def test_counts_are_added_in_place(spark, monkeypatch):
+    monkeypatch.setattr(cm, "CHUNK_CELLS", 4)
+    df = spark.range(30).selectExpr("id % 10 as k").repartition(3)
+
+    def add(total, batch):
+        np.add.at(total, batch.column(0).to_numpy(), np.uint32(1))
+
+    once = cm.summed(df, add, 10)
+    assert once.tolist() == [3] * 10
+    twice = cm.summed(df, add, 10, once)
+    assert twice is once and once.tolist() == [6] * 10
