@@ -6,7 +6,7 @@ import corpus_pipeline
 import numpy as np
 import pytest
 
-from quantloom.llm import html_extraction, secrets, shingle_join, simhash
+from quantloom.llm import common, html_extraction, secrets, shingle_join, simhash
 
 DATA = "/root/testdata/sf0.001"
 ROW = "doc_id long, text string, lang string, source string, n_chars long"
@@ -200,3 +200,23 @@ def test_near_duplicates_use_the_fingerprint_index(spark, monkeypatch):
     monkeypatch.setattr(shingle_join, "near_links", lambda fps, *a: asked.append(fps.count()) or simhash.near_links(fps, *a))
     docs = spark.createDataFrame([(k, f"one text of some words that is here {'once' if k else 'twice'}") for k in range(3)], "doc_id long, text string")
     assert corpus_pipeline.near_duplicate_stage(spark, docs, DATA).count() == 2 and asked == [2]
+
+
+def test_blocks_reach_python_in_small_batches(spark, monkeypatch):
+    """Rows of the near-duplicate steps are wide, so batches are bounded by bytes, not by 10,000 rows or 64 MB; a block's pairs are not held."""
+    name, before, seen = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch"), []
+    plain = shingle_join.map_rows
+    monkeypatch.setattr(shingle_join, "map_rows", lambda *a: (seen.append(spark.conf.get(name)), plain(*a))[1])
+    df = spark.createDataFrame([(k, k, t) for k, t in enumerate(edited()[:40])], "row long, doc_id long, text string")
+    shingle_join.similar_groups(df).count()
+    assert seen and set(seen) == {str(common.BATCH_BYTES)} and spark.conf.get(name) == before
+    wide = spark.range(0, 40, 1, 1).selectExpr("cast(repeat('x', 1000000) as binary) as x")
+    with common.small_batches(spark):
+        sizes = [r["n"] for r in common.map_rows(wide, lambda x: ([len(x)],), "n int").collect()]
+    assert sum(sizes) == 40 and max(sizes) <= 5
+    some = [np.frombuffer(np.arange(k, k + 50, dtype=np.uint64).tobytes(), np.uint64) for k in range(600)]
+    marks = [shingle_join.sketch(x).tobytes() for x in some]
+    largest = max(len(x) for _, x in shingle_join.meetings([50] * 600, list(range(600)), [0] * 600, list(range(600)), marks, 0.8))
+    assert largest < 600
+    near = shingle_join.posting_pairs([50] * 600, list(range(600)), [0] * 600, list(range(600)), marks, 0.8)
+    assert shingle_join.meeting([50] * 600, list(range(600)), [0] * 600, list(range(600)), marks, 0.8) == np.unique(np.concatenate(near)).tolist()
