@@ -222,3 +222,21 @@ def test_counts_are_added_in_place(spark, monkeypatch):
     assert once.tolist() == [3] * 10
     twice = cm.summed(df, add, 10, once)
     assert twice is once and once.tolist() == [6] * 10
+
+
+def test_the_driver_holds_no_counts(spark, trained, monkeypatch):
+    """Tables are added up and turned into predictions in tasks; put together they are what the counts give at once."""
+    lists, codes, total = trained
+    df = spark.createDataFrame([(b" ".join(words[:-1]),) for words in lists[5:]], "text binary").repartition(3)
+
+    def add(into, batch):
+        cm.count_texts([cm.tokens_of(x) for x in batch.column(0).to_pylist()], codes, into)
+
+    sums = cm.chunk_sums(df, add, cm.cells(codes))
+    once, twice = (cm.assembled(codes, cm.packed_tables(x), *cm.unlearned()) for x in (sums, cm.chunk_sums(df, add, cm.cells(codes), sums)))
+    for got, want in ((once, cm.fresh(codes, total)), (twice, cm.fresh(codes, 2 * total))):
+        for held, known in zip([*got.orders, got.zero], [*want.orders, want.zero], strict=True):
+            assert all(np.array_equal(x, y) for x, y in zip(held, known, strict=True))
+    for name in ("summed", "fresh"):
+        monkeypatch.setattr(cm, name, None)
+    assert cm.text_scores(spark.createDataFrame([(k, "a b c " * k) for k in range(30)], "doc_id long, text string")).count() == 30
